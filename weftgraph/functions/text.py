@@ -40,10 +40,14 @@ def sentence_offsets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(F.col(id_col), "pos", before.alias("start"), F.length("part").alias("length"))
 
 
-@F.pandas_udf("string")
-def nfkc(s: pd.Series) -> pd.Series:
-    """Compatibility normal form; no built-in has it."""
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+def nfkc(text: Column) -> Column:
+    """Compatibility normal form; no built-in has it, so it is an Arrow UDF (made here: workers import this module)."""
+
+    @F.pandas_udf("string")
+    def form(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+    return form(text)
 
 
 def normalise_name(name: Column, compatibility: bool = True) -> Column:
