@@ -19,6 +19,7 @@ def strip(c: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Parts after 。！？!? and newline, stripped, of at least 5 characters; the whole text if there is none."""
+    text = F.coalesce(text, F.lit(""))
     parts = F.filter(F.transform(F.split(text, r"(?<=[。！？!?\n])"), strip), lambda s: F.length(s) >= C.MIN_SENTENCE)
     return F.when(F.length(strip(text)) == 0, F.array().cast("array<string>")).when(F.size(parts) > 0, parts).otherwise(F.array(strip(text)))
 
