@@ -11,7 +11,7 @@ from weftgraph.llm.common import fold, python_ready
 from weftgraph.llm.quality import sampled_labels
 
 #: Hashed character n-grams inside words, their orders and the width of their vectors.
-BITS, ORDERS, WIDTH = 16, (3, 4, 5), 8
+BITS, ORDERS, WIDTH = 16, (3, 4), 8
 DIM = 1 << BITS
 #: Labelled rows the model is fitted on: of label 1 and of label 0.
 FIT_TOXIC, FIT_CLEAN = 2000, 8000
@@ -52,14 +52,14 @@ def subwords(text: str):
                 yield ((h ^ (h >> np.uint32(16))) * np.uint32(0x27D4EB2F) >> np.uint32(32 - BITS))[whole]
 
 
-def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct subwords of a text and their shares."""
+def bag(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Distinct subwords of a text, how often each occurs (at most 65535), and their number."""
     parts = list(subwords(text)) if text else []
-    at, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint32), np.zeros(0))
-    return at.astype(np.uint16), (n / (n.sum() + PADDING)).astype(np.float32)
+    at, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+    return at.astype(np.uint16), np.minimum(n, 65535).astype(np.uint16), int(n.sum())
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rate: float = 0.5, seed: int = 5) -> tuple[np.ndarray, float]:
+def train(bags: list[tuple[np.ndarray, np.ndarray, int]], y: np.ndarray, rate: float = 0.5, seed: int = 5) -> tuple[np.ndarray, float]:
     """Fit embeddings and softmax together by AdaGrad; returns the evidence of each subword for label 1, and the bias.
 
     The softmax is linear in the averaged embeddings, so a text's log odds are
@@ -79,7 +79,8 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rate: float
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in rng.permutation(len(bags)):
-            at, share = bags[i]
+            at, n, total = bags[i]
+            share = n.astype(np.float32) / (total + PADDING)
             ei = e[at]
             mean = share @ ei
             s = mean @ w + b
@@ -115,14 +116,16 @@ def score_toxicity(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", t
     def bags(batches):
         for b in batches:
             got = [bag(t) for t in b["text"]]
-            yield pd.DataFrame({"id": b["id"], "y": b["y"], "at": [g[0].tobytes() for g in got], "share": [g[1].tobytes() for g in got]})
+            yield pd.DataFrame({"id": b["id"], "y": b["y"], "at": [g[0].tobytes() for g in got], "n": [g[1].tobytes() for g in got], "total": [g[2] for g in got]})
 
     kind = labelled.schema["id"].dataType.simpleString()
-    rows = labelled.select("id", "y", "text").mapInPandas(bags, f"id {kind}, y int, at binary, share binary").collect()
-    rows.sort(key=lambda r: (r["id"], r["y"], bytes(r["at"])))  # the same order in every run
+    found = labelled.select("id", "y", "text").mapInPandas(bags, f"id {kind}, y int, at binary, n binary, total long")
+    # partition by partition, so that the driver holds the sample once; sorted for the same order in every run
+    rows = sorted(((r["id"], r["y"], bytes(r["at"]), bytes(r["n"]), r["total"]) for r in found.toLocalIterator()), key=lambda r: r[:3])
     if rows:
-        y = np.array([r["y"] for r in rows])
-        evidence, bias = train([(np.frombuffer(r["at"], np.uint16), np.frombuffer(r["share"], np.float32)) for r in rows], y)
+        y = np.array([r[1] for r in rows])
+        evidence, bias = train([(np.frombuffer(r[2], np.uint16), np.frombuffer(r[3], np.uint16), r[4]) for r in rows], y)
+        del rows
     else:
         evidence, bias = np.zeros(DIM, np.float32), -np.inf
     shared = spark.sparkContext.broadcast((evidence, bias))
@@ -136,7 +139,8 @@ def score_toxicity(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", t
                 for g in subwords(t) if t else ():
                     total += float(evidence[g].sum(dtype=np.float64))
                     n += len(g)
-                score.append(float(1 / (1 + np.exp(-np.clip(total / (n + PADDING) + bias, -700, 700)))))
+                odds = total / (n + PADDING) + bias
+                score.append(float(1 / (1 + np.exp(-np.clip(odds, -700, 700)))) if np.isfinite(odds) else 0.0)
             s = np.array(score)
             yield b.drop(columns=["__text"]).assign(score=s, predicted=(s >= 0.5).astype(np.int32))
 
