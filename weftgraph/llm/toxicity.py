@@ -17,6 +17,8 @@ DIM = 1 << BITS
 FIT_TOXIC, FIT_CLEAN = 2000, 8000
 #: Steps of the training, whatever the number of rows.
 STEPS = 40_000
+#: Evidence below this share of the strongest subword's is noise and set to 0, larger evidence shrinks by it.
+SHRINK = 0.06
 #: Neutral subwords added to every average, so that a text of few words is not judged by one odd n-gram.
 PADDING = 50
 PIECE = 1 << 20
@@ -65,7 +67,9 @@ def train(bags: list[tuple[np.ndarray, np.ndarray, int]], y: np.ndarray, rate: f
     The softmax is linear in the averaged embeddings, so a text's log odds are
     the average of its subwords' evidence plus the bias. AdaGrad's sums start
     well above one gradient, so a subword seen once moves little. The rarer
-    class weighs more, by the root of the ratio.
+    class weighs more, by the root of the ratio. After training the collapsed
+    evidence is soft-thresholded, which silences the noise of clean subwords,
+    and slope and bias are fitted again.
     """
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.01, (DIM, WIDTH)).astype(np.float32)
@@ -99,7 +103,25 @@ def train(bags: list[tuple[np.ndarray, np.ndarray, int]], y: np.ndarray, rate: f
                 acc = e2[at] + ge * ge
                 e2[at] = acc
                 e[at] = ei - step * ge / np.sqrt(acc)
-    return (e @ (w[:, 1] - w[:, 0])).astype(np.float32), float(b[1] - b[0])
+    evidence = (e @ (w[:, 1] - w[:, 0])).astype(np.float64)
+    evidence = np.sign(evidence) * np.maximum(np.abs(evidence) - SHRINK * np.abs(evidence).max(), 0)
+    slope, bias = rescale(np.array([(n / (total + PADDING)) @ evidence[at] for at, n, total in bags]), y, weigh)
+    return (slope * evidence).astype(np.float32), bias
+
+
+def rescale(s: np.ndarray, y: np.ndarray, weigh: tuple[float, float]) -> tuple[float, float]:
+    """Slope and bias of a logistic fit of y on s, by Newton steps with a small ridge."""
+    width = float(s.std()) or 1.0
+    x = np.stack([s / width, np.ones(len(s))], 1)
+    k, ridge, w = np.zeros(2), np.array([1e-2, 1e-6]), np.where(y == 1, weigh[1], weigh[0])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ k, -50, 50)))
+        hessian = (x * (w * p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(ridge)
+        step = np.linalg.solve(hessian, x.T @ (w * (p - y)) + ridge * k)
+        k -= np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-8:
+            break
+    return float(k[0] / width), float(k[1])
 
 
 def score_toxicity(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
