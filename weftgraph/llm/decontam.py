@@ -21,6 +21,8 @@ BLOCK_BITS = 64 // BLOCKS
 RADIUS = BLOCKS * (FLIPS + 1) - 1
 #: The items' shingles are broadcast up to this many; beyond it the joins shuffle.
 BROADCAST_SHINGLES = 2_000_000
+#: Hashes of the texts with windows are broadcast up to this many (about 24 bytes each); beyond it the join shuffles.
+BROADCAST_ROWS = 2_000_000
 
 
 def words(text: Column) -> Column:
@@ -108,10 +110,13 @@ def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     windows = spots.select("id", "row", "size", "m", F.explode_outer(F.array_distinct(starts)).alias("start")).where("start is not null").distinct()
     windows = materialise(windows, "decontam-windows")
 
-    # the windows' shingles come from their own documents only
+    # the windows' shingles come from their own documents only: few texts pass the semi join, which
+    # shuffles none of the others while the hit texts' hashes are a bounded broadcast
     text = docs.withColumn("row", F.xxhash64("text"))
     cuts = windows.groupBy("id", "row").agg(F.collect_set(F.struct("size", "m", "start")).alias("cuts"))
-    whole = text.join(cuts.withColumnsRenamed({"id": "__id", "row": "__row"}), F.col("id").eqNullSafe(F.col("__id")) & (F.col("row") == F.col("__row"))).dropDuplicates(["id", "row"])
+    rows = materialise(windows.select("row").distinct(), "decontam-rows")
+    few = text.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, "row", "left_semi").dropDuplicates(["id", "row"])
+    whole = few.join(cuts.withColumnsRenamed({"id": "__id", "row": "__row"}), F.col("id").eqNullSafe(F.col("__id")) & (F.col("row") == F.col("__row")))
     cut = with_shingles(whole.select("id", "cuts", "text"), "text", "all").select("id", "all", F.explode_outer("cuts").alias("c"))
     cut = cut.select("id", F.col("c.m").alias("m"), F.col("c.start").alias("start"), F.slice("all", F.col("c.start") + 1, F.col("c.size")).alias("h"))
     cut = materialise(cut, "decontam-shingled")
