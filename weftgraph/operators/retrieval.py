@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -65,3 +67,53 @@ def cite(fact: Column, title: Column, confidence: Column) -> Column:
     titled = F.concat(fact, F.lit("[來源：《"), title, F.lit("》"), F.when(confidence > 1, F.concat(F.lit("，信心 "), confidence.cast("string"))).otherwise(F.lit("")), F.lit("]"))
     plain = F.when(confidence > 1, F.concat(fact, F.lit("[信心 "), confidence.cast("string"), F.lit("]"))).otherwise(fact)
     return F.when(F.coalesce(title, F.lit("")) != "", titled).otherwise(plain)
+
+
+def pick_chunks(docs: DataFrame, id_col: str, text_col: str, queries: list[tuple[str, list[float]]], entities: list[str], most: int, embed, target: int = 400, cap: int = 200) -> DataFrame:
+    """(id, snippet): chunks of each document by query hits and score, within `most` characters.
+
+    queries: (name, vector); embed: column of texts to column of vectors. A
+    document beyond `cap` chunks is narrowed to chunks with hits, their
+    neighbours and a uniform sample before its chunks are embedded. Documents
+    of one chunk, or whose best chunk is too long, give their beginning.
+    """
+    from weftgraph.functions import text as X
+    from weftgraph.functions.vectors import cosine
+
+    names = [n for n, _ in queries if len(n.strip()) > 1]
+    clean = docs.select(F.col(id_col), X.nfkc(F.col(text_col)).alias("content"))
+    packed = clean.select(id_col, "content", X.pack(X.paragraphs(F.col("content"), target), target).alias("parts"))
+    many = packed.where(F.size("parts") > 1).select(id_col, F.size("parts").alias("n"), F.posexplode("parts").alias("idx", "chunk"))
+    hit = hits(F.col("chunk"), names + entities) > 0
+    w = W.partitionBy(id_col).orderBy("idx")
+    many = many.withColumn("hit", hit).withColumn("near", F.col("hit") | F.coalesce(F.lag("hit").over(w), F.lit(False)) | F.coalesce(F.lead("hit").over(w), F.lit(False)))
+    hits_of = F.count_if("near").over(W.partitionBy(id_col))
+    step = F.greatest(F.lit(1), F.floor(F.col("n") / F.greatest(F.lit(1), F.lit(cap) - hits_of)))
+    wanted = (F.col("n") <= cap) | F.col("near") | (F.col("idx") % step == 0)
+    many = many.withColumn("wanted", wanted).where("wanted").withColumn("k", F.row_number().over(w)).where((F.col("n") <= cap) | (F.col("k") <= cap))
+    vector = embed(F.substring("chunk", 1, 512))
+    best = F.array_max(F.array(*[cosine(F.col("v"), F.array(*[F.lit(float(x)) for x in q])) for _, q in queries]))
+    scored = many.withColumn("v", vector).withColumn("q_hits", hits(F.col("chunk"), names)).withColumn("score", chunk_score(best, F.col("q_hits"), hits(F.col("chunk"), entities), F.col("chunk")))
+    scored = scored.withColumn("n_chars", F.length("chunk"))
+    taken = budget(scored, [id_col], [F.desc("q_hits"), F.desc("score"), F.col("idx")], "n_chars", most)
+    rank = F.row_number().over(W.partitionBy(id_col).orderBy(F.desc("q_hits"), F.desc("score"), "idx"))
+    joined = taken.withColumn("rank", rank).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("rank", "chunk"))).alias("c"))
+    joined = joined.select(id_col, F.array_join(F.transform("c", lambda x: x["chunk"]), "\n\n---\n\n").alias("picked"))
+    return clean.join(joined, id_col, "left").select(id_col, F.coalesce("picked", F.substring("content", 1, most)).alias("snippet"))
+
+
+def entity_names(fact: Column) -> Column:
+    """Subject and object of a rendered fact."""
+    m = F.regexp_extract(fact, r"^([^(]+)\([^)]*\)\s*-\[[^\]]*\]→\s*([^(]+)\(", 1), F.regexp_extract(fact, r"^([^(]+)\([^)]*\)\s*-\[[^\]]*\]→\s*([^(]+)\(", 2)
+    return F.filter(F.array(*[F.trim(x) for x in m]), lambda x: x != "")
+
+
+def sentence_of(fact: Column) -> Column:
+    """A rendered fact as a sentence by its label's template, else `subject label object。`; null for chains and other texts."""
+    pattern = r"^([^(]+)\([^)]*\)\s*-\[([^:]+):[^\]]*\]→\s*([^(]+)\([^)]*\)"
+    s, label, o = (F.trim(F.regexp_extract(fact, pattern, i)) for i in (1, 2, 3))
+    out = F.concat(s, F.lit(" "), label, F.lit(" "), o, F.lit("。"))
+    for name, template in C.SENTENCES.items():
+        parts = [{"{s}": s, "{o}": o}.get(p, F.lit(p)) for p in re.split(r"(\{[so]\})", template) if p]
+        out = F.when(label == name, F.concat(*parts)).otherwise(out)
+    return F.when(fact.rlike(pattern) & ~fact.startswith("[推理鏈]"), out)

@@ -57,15 +57,15 @@ def rate_limited(events: DataFrame, limit: int = RATE_LIMIT, window: float = RAT
     return rows.repartition("user_id").sortWithinPartitions("user_id", "at", "event_id").mapInPandas(run, "user_id long, event_id long, allowed boolean")
 
 
-def rate_limit_stream(events: DataFrame, limit: int = RATE_LIMIT, window: float = RATE_WINDOW) -> DataFrame:
-    """The limiter over a stream (user_id, event_id, ts): the window of each key is its state and times out with it."""
+def rate_limit_stream(events: DataFrame, limit: int = RATE_LIMIT, window: float = RATE_WINDOW, late: str = "1 minute") -> DataFrame:
+    """The limiter over a stream (user_id, event_id, ts): the window of each key is its state and goes when the watermark has passed it."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key, batches, state: GroupState):
-        kept = list(state.get[0]) if state.exists else []
         if state.hasTimedOut:
             state.remove()
             return
+        kept = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
         allowed = []
         for at in rows["at"]:
@@ -75,11 +75,12 @@ def rate_limit_stream(events: DataFrame, limit: int = RATE_LIMIT, window: float
                 kept.append(float(at))
             allowed.append(ok)
         state.update((kept,))
-        state.setTimeoutDuration(int(window * 1000))
+        state.setTimeoutTimestamp(max(int((rows["at"].max() + window) * 1000), state.getCurrentWatermarkMs() + 1))
         yield rows[["user_id", "event_id"]].assign(allowed=allowed)
 
-    rows = events.select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
-    return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, allowed boolean", "kept array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
+    rows = rows.withColumn("at", F.unix_micros("ts") / 1e6)
+    return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, allowed boolean", "kept array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def upsert_edges(triples: DataFrame, table: str, checkpoint: str):
