@@ -303,7 +303,7 @@ def _terms(t):
 
 @query("expand_terms", "SELECT pos, k, term FROM (SELECT *, row_number() OVER (PARTITION BY lower(term) ORDER BY pos, k) AS rn FROM expanded) WHERE rn = 1", **TERMS)
 def expand_terms(t):
-    return D.expand_terms(_terms(t), D.synonym_table(t.spark)).select(F.col("pos").cast("long").alias("pos"), F.col("k").cast("long").alias("k"), "term")
+    return D.expand_terms(_terms(t), D.synonym_table(t.spark)).select("pos", F.col("k").cast("long").alias("k"), "term")
 
 
 @query("synonym_lookup", "SELECT t.term, coalesce((SELECT string_agg(s.member, '|' ORDER BY encode(s.member)) FROM syn s WHERE s.gid = g.gid), '') AS members FROM terms t LEFT JOIN syn g ON g.member = lower(t.term)", **TERMS)
