@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -27,7 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder shared by the driver and all executors")
         base = getattr(sc, "_weftgraph_dir", None)
         if base is None:
-            base = "file://" + tempfile.mkdtemp(prefix="weftgraph-")
+            folder = tempfile.mkdtemp(prefix="weftgraph-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            base = f"file://{folder}"
             sc._weftgraph_dir = base
             sc.setCheckpointDir(base)
     return base.rstrip("/")
