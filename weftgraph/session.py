@@ -44,12 +44,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path through Hadoop's file system, if the session is still up."""
+    """Delete a path through Hadoop's file system; it works after the session was stopped, while its JVM lives."""
+    jvm = spark.sparkContext._jvm
     try:
-        jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the JVM is gone already; the folder's owner cleans up
+        where.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
+    except Exception:  # the JVM is gone; the folder's owner cleans up
         pass
 
 
