@@ -10,7 +10,7 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import BLANK, materialise
+from weftgraph.llm.common import BLANK, materialise, without_ids
 
 #: Words of a shingle, and the similarity from which a window counts as the item.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -138,8 +138,7 @@ def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
 def decontaminate(df: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """df without the documents that hold a benchmark item; columns unchanged."""
-    gone = contaminated(df, items, id_col, **options).select(F.col(id_col).alias("__gone")).distinct()
-    return df.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    return without_ids(df, contaminated(df, items, id_col, **options).select(id_col), id_col)
 
 
 def op7_decontam(spark, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import BLANK, materialise
+from weftgraph.llm.common import BLANK, materialise, without_ids
 
 
 def normalised(text: Column) -> Column:
@@ -51,9 +51,8 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without the exact copies that `exact_groups` does not keep; columns unchanged."""
-    gone = exact_groups(df, id_col, text_col).where("not kept").select(F.col(id_col).alias("__gone"))
-    return df.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """df without the exact copies that `exact_groups` does not keep; columns unchanged. An id stands for one row."""
+    return without_ids(df, exact_groups(df, id_col, text_col).where("not kept").select(id_col), id_col)
 
 
 def op6_exact(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import materialise, python_ready
+from weftgraph.llm.common import materialise, python_ready, without_ids
 from weftgraph.operators.components import connected_components
 
 #: Shingles hashed at once, so that memory doesn't follow the longest text.
@@ -180,8 +180,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with one document of each component: the one with the smallest id; columns unchanged."""
-    gone = near_duplicates(df, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone"))
-    return df.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    return without_ids(df, near_duplicates(df, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(id_col), id_col)
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
