@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from weftgraph.llm import decontam, entries, exactdup, langid, mixing, neardup, quality, tokens, toxicity, urlfilter, warc
+from weftgraph.llm import decontam, entries, exactdup, langid, mixing, neardup, quality, similar, tokens, toxicity, urlfilter, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -382,3 +382,48 @@ def test_simhash_in_pieces(monkeypatch):
     text = " ".join(f"w{i * i % 997}" for i in range(2000))
     monkeypatch.setattr(neardup, "PIECE", 64)
     assert neardup.simhash(text) == plain_print(text)
+
+
+# --- near copies of the pipeline
+
+
+def plain_components(rows):
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t, *_ in rows for w in [t.lower().split()]}
+    group = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = {i: new if g == old else g for i, g in group.items()}
+    return group
+
+
+@pytest.mark.parametrize("limit, order", [(64, 10_000), (4, 10_000), (4, 0)])
+def test_drop_near_equals_brute_force(docs, monkeypatch, limit, order):
+    monkeypatch.setattr(similar, "GROUP_LIMIT", limit)
+    monkeypatch.setattr(similar, "ORDER_ROWS", order)
+    rng = random.Random(8)
+    vocabulary = [f"W{i}" for i in range(200)]
+    passage = rng.choices(vocabulary, k=40)
+    bases = [rng.choices(vocabulary, k=rng.randrange(3, 120)) + (passage if i % 3 == 0 else []) for i in range(30)]
+    texts = []
+    for i in range(240):
+        words = list(bases[min(rng.randrange(40), 29)])
+        for _ in range(rng.randrange(5)):
+            at, kind = rng.randrange(len(words)), rng.randrange(3)
+            words[at : at + (kind != 0)] = [] if kind == 1 and len(words) > 1 else ["zz" + str(i % 3)]
+        texts.append(" ".join(words))
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts)]
+    want = plain_components(rows)
+    got = {r["doc_id"]: r["component_id"] for r in table(similar.similar_components(docs(rows)))}
+    assert got == want and 20 < len(set(want.values())) < 200
+    assert {r["doc_id"] for r in table(neardup.drop_near(docs(rows)))} == set(want.values())
+    assert similar.similar_components(docs([])).count() == 0
+
+
+def test_drop_near_has_the_pipelines_similarity(docs):
+    words = [f"w{i}" for i in range(200)]
+    other = lambda k: " ".join("zz" if i % 40 == 20 and i < 40 * k else w for i, w in enumerate(words))
+    rows = [(1, other(0), "en", "a"), (2, other(4), "en", "a"), (3, other(5), "en", "a")]  # 1 and 2: 176 of 216 shingles; 1 and 3: 171 of 221
+    assert {r["doc_id"] for r in table(neardup.drop_near(docs(rows[:2])))} == {1}
+    assert {r["doc_id"] for r in table(neardup.drop_near(docs([rows[0], rows[2]])))} == {1, 3}
