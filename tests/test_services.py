@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import constants as C
 from weftgraph.operators import federation, retrieval, services
+from weftgraph.plans import service_queries, views
 from weftgraph.streaming import streams
 
 
@@ -124,3 +125,9 @@ def test_limiter_stream(spark, tmp_path):
     q = streams.rate_limit_stream(stream, limit=4, window=100).writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "mark")).start()
     q.awaitTermination()
     assert sorted((r["event_id"], r["allowed"]) for r in spark.table("limited").collect()) == [(i, i < 4) for i in range(6)]
+
+
+def test_snippets_of_every_document(spark, data):
+    t = views.Tables(spark, data)
+    got = service_queries.pick_chunks(t).select("doc_id")
+    assert got.count() == t.docs.count() and t.docs.select("doc_id").exceptAll(got).isEmpty()
