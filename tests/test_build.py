@@ -1,6 +1,7 @@
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
@@ -32,3 +33,13 @@ def test_build_reads_every_documents_text(spark, data):
     got = build_queries.build_documents(t).where("subject = 'Zulu' and object = 'yankee'").select("source_doc_id")
     got = got.intersectAll(build_queries.build_documents(t).where("subject = 'alpha' and object = 'beta'").select("source_doc_id"))
     assert got.count() == t.docs.count() and got.exceptAll(t.docs.select("doc_id")).isEmpty()
+
+
+def test_communities_use_all_edges_and_walks_their_defaults(spark):
+    edges = spark.createDataFrame([(0, s, o, 150) for s, o in ("ab", "bc", "ac")], "kg_id long, subject string, object string, source_doc_id long")
+    links = spark.createDataFrame([(1, "x"), (1, "y"), (2, "y")], "owner_id long, name string")
+    t = SimpleNamespace(spark=spark, edges=edges, links=links)
+    assert {r["node"] for r in build_queries.communities(t).collect()} == {"a", "b", "c"}
+    walked = build_queries.walks(t).collect()
+    assert len(walked) == 4 * 10 and {len(r["nodes"]) for r in walked} == {40}
+    assert {len(r["vector"]) for r in build_queries.graph_vectors(t).collect()} == {384}
