@@ -427,3 +427,14 @@ def test_drop_near_has_the_pipelines_similarity(docs):
     rows = [(1, other(0), "en", "a"), (2, other(4), "en", "a"), (3, other(5), "en", "a")]  # 1 and 2: 176 of 216 shingles; 1 and 3: 171 of 221
     assert {r["doc_id"] for r in table(neardup.drop_near(docs(rows[:2])))} == {1}
     assert {r["doc_id"] for r in table(neardup.drop_near(docs([rows[0], rows[2]])))} == {1, 3}
+
+
+def test_rows_go_by_id_and_text(spark, docs):
+    item = " ".join(f"k{i}" for i in range(12))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, "before " + item, "en", "a"), (5, item + " after", "en", "a"), (5, "a clean text", "en", "a"), (None, "another clean text", "en", "a")]
+    assert {r["doc_id"] for r in table(decontam.contaminated(docs(rows), bench))} == {None, 5}
+    left = lambda df: sorted(r["text"] for r in table(df))
+    assert left(decontam.decontaminate(docs(rows), bench)) == ["a clean text", "another clean text"]
+    copies = [(1, "one text", "en", "a"), (2, "one text", "en", "a"), (2, "two other words", "en", "a"), (None, "one text", "en", "a")]
+    assert left(exactdup.drop_exact(docs(copies))) == left(neardup.drop_near(docs(copies))) == ["one text", "two other words"]

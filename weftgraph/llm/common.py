@@ -37,16 +37,16 @@ def hash_sample(df: DataFrame, key: Column, rows: int, bound: int, seed: int) ->
     return df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < F.lit(int(bound / rows * (1 << 30))))
 
 
-#: Ids to drop are broadcast up to this many (about 24 bytes each); beyond it the anti join shuffles.
+#: Ids to drop are broadcast up to this many (about 32 bytes each); beyond it the anti join shuffles.
 BROADCAST_IDS = 2_000_000
 
 
-def without_ids(df: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
-    """df without the rows whose id is in `gone` (one column); columns unchanged, null ids stay.
+def without_rows(df: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """df without the rows whose (id, xxhash64 of the text) is in `gone` (id, row); columns unchanged, null ids compare as equal.
 
-    The ids to drop are usually few beside the texts: while their counted
+    The rows to drop are usually few beside the texts: while their counted
     number is small they are broadcast and no text is shuffled.
     """
-    ids = materialise(gone.toDF("__gone").where("__gone is not null").distinct(), "gone-ids")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return df.join(ids, F.col(id_col) == F.col("__gone"), "left_anti")
+    keys = materialise(gone.toDF("__id", "__row").distinct(), "gone-rows")
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+    return df.join(keys, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__row")), "left_anti")

@@ -10,7 +10,7 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import BLANK, materialise, without_ids
+from weftgraph.llm.common import BLANK, materialise, without_rows
 
 #: Words of a shingle, and the similarity from which a window counts as the item.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -62,7 +62,7 @@ def _blocks(fp: Column) -> Column:
     return F.array(*[F.struct(F.lit(b).alias("block"), F.shiftrightunsigned(fp, b * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int").alias("value")) for b in range(BLOCKS)])
 
 
-def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def matches(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The (document, item) pairs in which some window of the document is similar enough to the item.
 
     A window has as many words as the item (a shorter document is one
@@ -83,7 +83,7 @@ def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     Null or blank documents and items match nothing; null ids are reported as
     null; repeated rows of one id are one document with several texts. An
     empty table on either side gives no rows.
-    Returns id, item, similarity, start (word position of the best window).
+    Returns id, row (hash of the text), item, similarity, start (word position) of every such window.
     """
     item = with_shingles(items.select(F.col(item_col).alias("item"), F.col(item_text).alias("t")), "t", "h").where(F.size("h") > 0).distinct()
     item = materialise(item.withColumn("m", F.size("h")).withColumn("k", F.monotonically_increasing_id()), "decontam-shingles")
@@ -117,28 +117,36 @@ def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     rows = materialise(windows.select("row").distinct(), "decontam-rows")
     few = text.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, "row", "left_semi").dropDuplicates(["id", "row"])
     whole = few.join(cuts.withColumnsRenamed({"id": "__id", "row": "__row"}), F.col("id").eqNullSafe(F.col("__id")) & (F.col("row") == F.col("__row")))
-    cut = with_shingles(whole.select("id", "cuts", "text"), "text", "all").select("id", "all", F.explode_outer("cuts").alias("c"))
-    cut = cut.select("id", F.col("c.m").alias("m"), F.col("c.start").alias("start"), F.slice("all", F.col("c.start") + 1, F.col("c.size")).alias("h"))
+    cut = with_shingles(whole.select("id", "row", "cuts", "text"), "text", "all").select("id", "row", "all", F.explode_outer("cuts").alias("c"))
+    cut = cut.select("id", "row", F.col("c.m").alias("m"), F.col("c.start").alias("start"), F.slice("all", F.col("c.start") + 1, F.col("c.size")).alias("h"))
     cut = materialise(cut, "decontam-shingled")
     cut = materialise(cut.withColumn("fp", fingerprint(F.col("h"))), "decontam-cuts")
 
     flips = [0, *(sum(1 << b for b in c) for f in range(1, FLIPS + 1) for c in itertools.combinations(range(BLOCK_BITS), f))]
     probes = item.select("k", "m", F.col("fp").alias("item_fp"), F.explode(_blocks(F.col("fp"))).alias("b"))
     probes = probes.select("k", "m", "item_fp", F.col("b.block").alias("block"), F.explode(F.array(*[F.col("b.value").bitwiseXOR(F.lit(f)) for f in flips])).alias("value"))
-    looked = cut.select("id", "m", "start", "fp", F.explode(_blocks(F.col("fp"))).alias("b")).select("id", "m", "start", "fp", F.col("b.block").alias("block"), F.col("b.value").alias("value"))
+    looked = cut.select("id", "row", "m", "start", "fp", F.explode(_blocks(F.col("fp"))).alias("b")).select("id", "row", "m", "start", "fp", F.col("b.block").alias("block"), F.col("b.value").alias("value"))
     near = looked.join(hint(probes), ["m", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    near = near.select("id", "m", "start", "fp", "k").distinct()
+    near = near.select("id", "row", "m", "start", "fp", "k").distinct()
 
-    full = near.join(cut.select("id", "m", "start", "fp", "h").distinct(), ["id", "m", "start", "fp"]).join(hint(item.select("k", "item", F.col("h").alias("g"))), "k")
+    own = cut.select("id", "row", "m", "start", "h").distinct().withColumnsRenamed({c: f"__{c}" for c in ("id", "row", "m", "start")})
+    same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("row") == F.col("__row")) & (F.col("m") == F.col("__m")) & (F.col("start") == F.col("__start"))
+    full = near.join(own, same).join(hint(item.select("k", "item", F.col("h").alias("g"))), "k")
     both = F.expr("aggregate(array_distinct(array_intersect(h, g)), 0, (a, x) -> a + least(size(filter(h, y -> y = x)), size(filter(g, y -> y = x))))")
     full = full.withColumn("both", both).withColumn("similarity", F.col("both") / (F.size("h") + F.size("g") - F.col("both")))
-    best = full.where(F.col("similarity") >= similarity - 1e-12).groupBy("id", "item").agg(F.max(F.struct("similarity", F.negative("start").alias("s"))).alias("b"))
+    return full.where(F.col("similarity") >= similarity - 1e-12).select("id", "row", "item", "similarity", "start")
+
+
+def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The (document, item) pairs with a similar window: `matches` with the best window of each. Returns id, item, similarity, start."""
+    found = matches(df, items, id_col, text_col, item_col, item_text, similarity)
+    best = found.groupBy("id", "item").agg(F.max(F.struct("similarity", F.negative("start").alias("s"))).alias("b"))
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("b.similarity").alias("similarity"), F.negative("b.s").alias("start"))
 
 
-def decontaminate(df: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def decontaminate(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """df without the documents that hold a benchmark item; columns unchanged."""
-    return without_ids(df, contaminated(df, items, id_col, **options).select(id_col), id_col)
+    return without_rows(df, matches(df, items, id_col, text_col, **options).select("id", "row"), id_col, text_col)
 
 
 def op7_decontam(spark, sf_dir: str) -> DataFrame:

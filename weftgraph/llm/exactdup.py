@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import BLANK, materialise, without_ids
+from weftgraph.llm.common import BLANK, materialise, without_rows
 
 
 def normalised(text: Column) -> Column:
@@ -28,13 +28,13 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null text counts as empty, null ids lose every tie (if a group has only
     null ids, keep_id is null and every such row is kept), and repeated rows
     with one id are each reported. An empty table gives no rows.
-    Returns id, keep_id, group_size, kept, text_sha256.
+    Returns id, keep_id, group_size, kept, text_sha256, row (hash of the text).
     """
     norm = normalise(F.col(text_col))
-    raw = df.select(F.col(id_col).alias("id"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("len"), norm.alias("norm"))
+    raw = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("len"), norm.alias("norm"))
     raw = raw.withColumn("h", F.unhex(F.md5("norm")))
     order = F.struct(F.col("len"), F.bitwise_not(F.col("id")), F.col("id"))  # ~id falls as id grows
-    rows = materialise(raw.select("id", "len", "h", F.unhex(F.sha2("norm", 256)).alias("sha")), "exact-rows")
+    rows = materialise(raw.select("id", "row", "len", "h", F.unhex(F.sha2("norm", 256)).alias("sha")), "exact-rows")
     groups = raw.groupBy("h").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).select("h", (F.col("lo") == F.col("hi")).alias("same"))
     clashes = materialise(groups.where(~F.col("same")), "exact-clashes")
     clash_free = clashes.isEmpty()
@@ -47,12 +47,12 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = best.select(*key, F.col("best.id").alias("keep_id"), "group_size")
     out = keyed.join(best, key)
     kept = F.col("id").eqNullSafe(F.col("keep_id"))
-    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "row")
 
 
 def drop_exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without the exact copies that `exact_groups` does not keep; columns unchanged. An id stands for one row."""
-    return without_ids(df, exact_groups(df, id_col, text_col).where("not kept").select(id_col), id_col)
+    """df without the exact copies that `exact_groups` does not keep; columns unchanged. Rows are told apart by id and text."""
+    return without_rows(df, exact_groups(df, id_col, text_col).where("not kept").select(id_col, "row"), id_col, text_col)
 
 
 def op6_exact(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import materialise, python_ready, without_ids
+from weftgraph.llm.common import materialise, python_ready, without_rows
 from weftgraph.llm.similar import similar_components
 from weftgraph.operators.components import connected_components
 
@@ -181,7 +181,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with one document of each component of near copies by exact Jaccard: the one with the smallest id; columns unchanged."""
-    return without_ids(df, similar_components(df, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(id_col), id_col)
+    return without_rows(df, similar_components(df, id_col, text_col).where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col, "row"), id_col, text_col)
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
