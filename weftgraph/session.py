@@ -8,9 +8,13 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Scratch paths that still exist, in the order of their creation.
+_paths: list[str] = []
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -38,11 +42,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; it is removed when the application ends."""
+    if not _paths:
+        atexit.register(_remove_all, spark)
     path = f"{shared_dir(spark)}/weftgraph-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    atexit.register(remove, spark, path)
+    _paths.append(path)
     return path
 
 
+def _remove_all(spark: SparkSession) -> None:
+    for path in list(_paths):
+        remove(spark, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path through Hadoop's file system; it works after the session was stopped, while its JVM lives."""
     jvm = spark.sparkContext._jvm
@@ -51,6 +62,8 @@ def remove(spark: SparkSession, path: str) -> None:
         where.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
     except Exception:  # the JVM is gone; the folder's owner cleans up
         pass
+    if path in _paths:
+        _paths.remove(path)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -58,14 +71,38 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._weftgraph_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table that `materialise` wrote for df."""
+    remove(df.sparkSession, df._weftgraph_path)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Scratch tables that are made inside go at the end, but those of the frames added to the list that is given."""
+    before, kept = set(_paths), []
+    try:
+        yield kept
+    finally:
+        stay = {k._weftgraph_path for k in kept}
+        for path in [p for p in _paths if p not in before and p not in stay]:
+            remove(spark, path)
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package, wherever the driver was started from."""
-    roots = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    """Let Python workers import this package, wherever the driver was started from.
+
+    Workers of a local master share the driver's path; executors of a cluster
+    get the package as a zip, whatever folders the driver itself sees.
+    """
     sc = spark.sparkContext
-    if os.path.realpath(_ROOT) in [*roots, os.path.realpath(os.getcwd())] or getattr(sc, "_weftgraph_shipped", False):
+    roots = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    here = sc.master.startswith("local") and not sc.master.startswith("local-cluster") and os.path.realpath(_ROOT) in [*roots, os.path.realpath(os.getcwd())]
+    if here or getattr(sc, "_weftgraph_shipped", False):
         return
     target = os.path.join(tempfile.mkdtemp(prefix="weftgraph-ship-"), "weftgraph.zip")
     with zipfile.ZipFile(target, "w") as z:
@@ -75,4 +112,5 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(folder, n)
                     z.write(full, os.path.relpath(full, _ROOT))
     sc.addPyFile(target)
+    atexit.register(shutil.rmtree, os.path.dirname(target), ignore_errors=True)
     sc._weftgraph_shipped = True
