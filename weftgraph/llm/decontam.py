@@ -10,19 +10,19 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import BLANK, materialise, without_rows
+from weftgraph.llm.common import BLANK, few, materialise, row_hash, temporary, without_rows
 
 #: Words of a shingle, and the similarity from which a window counts as the item.
 SHINGLE, SIMILARITY = 5, 0.8
 #: The fingerprint's blocks and the bits that may differ in one: all fingerprints
 #: within RADIUS differ in at most FLIPS bits of some block.
-BLOCKS, FLIPS = 8, 2
+BLOCKS, FLIPS = 8, 3
 BLOCK_BITS = 64 // BLOCKS
 RADIUS = BLOCKS * (FLIPS + 1) - 1
-#: The items' shingles are broadcast up to this many; beyond it the joins shuffle.
-BROADCAST_SHINGLES = 2_000_000
-#: Hashes of the texts with windows are broadcast up to this many (about 24 bytes each); beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
+#: Fingerprints speak for a text of at least so many distinct shingles, few of them repeated.
+LEAST_DISTINCT = 24
+#: A table of the items is broadcast up to this many values; beyond it its join shuffles. Each table is counted.
+BROADCAST_VALUES = 4_000_000
 
 
 def words(text: Column) -> Column:
@@ -62,6 +62,23 @@ def _blocks(fp: Column) -> Column:
     return F.array(*[F.struct(F.lit(b).alias("block"), F.shiftrightunsigned(fp, b * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int").alias("value")) for b in range(BLOCKS)])
 
 
+def telling(hashes: Column) -> Column:
+    """Whether the text has enough distinct shingles, and few enough repeats, for its fingerprint to be near those of similar texts.
+
+    With at least LEAST_DISTINCT distinct shingles and at most a quarter of
+    their root as repeats, the sums behind the bits of two texts of similarity
+    0.8 are correlated by 0.82 or more (0.89 without repeats), so a bit differs
+    with probability 0.19 at most (0.15), and over RADIUS of 64 bits in one of
+    10^7 pairs at the worst (10^10).
+    """
+    distinct = F.size(F.array_distinct(hashes))
+    return (distinct >= LEAST_DISTINCT) & (F.pow(F.size(hashes) - distinct, F.lit(2)) * 16 <= distinct)
+
+
+def _small(table: DataFrame, values: int) -> DataFrame:
+    return F.broadcast(table) if values <= BROADCAST_VALUES else table
+
+
 def matches(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The (document, item) pairs in which some window of the document is similar enough to the item.
 
@@ -77,61 +94,60 @@ def matches(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     length. Its SimHash then meets all items' fingerprints within RADIUS bits
     by multi-index hashing (the items list every value of each block with up
     to FLIPS bits changed; windows only look their blocks up), and the pairs
-    found are checked exactly. At the similarity limit fingerprints differ in
-    about 10 bits with deviation 3, so 23 bits leave out one pair in a million.
+    found are checked exactly. Fingerprints say little about texts of few
+    distinct or many repeated shingles (`telling`): where the window or the
+    item is such a text, the item that the window was cut for is checked
+    without them, so that no pair depends on a fingerprint that can't vouch.
 
     Null or blank documents and items match nothing; null ids are reported as
-    null; repeated rows of one id are one document with several texts. An
-    empty table on either side gives no rows.
-    Returns id, row (hash of the text), item, similarity, start (word position) of every such window.
+    null; repeated rows of one id are one document with several texts. Texts
+    are read whole however long; one row's shingles are an array in one task.
+    Other columns only tell rows apart. An empty table on either side gives
+    no rows.
+    Returns id, row (its hash), item, similarity, start (word position) of every such window.
     """
-    item = with_shingles(items.select(F.col(item_col).alias("item"), F.col(item_text).alias("t")), "t", "h").where(F.size("h") > 0).distinct()
+    item = with_shingles(items.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{item_text}`").alias("t")), "t", "h").where(F.size("h") > 0).distinct()
     item = materialise(item.withColumn("m", F.size("h")).withColumn("k", F.monotonically_increasing_id()), "decontam-shingles")
-    item = materialise(item.withColumn("fp", fingerprint(F.col("h"))), "decontam-items")
+    item = materialise(item.withColumn("fp", fingerprint(F.col("h"))).withColumn("telling", telling(F.col("h"))), "decontam-items")
+    n_items, n_shingles = item.agg(F.count("*"), F.coalesce(F.sum("m"), F.lit(0))).first()
     marks = item.select("k", "m", F.explode(F.array_distinct("h")).alias("x"))
-    n_marks = marks.count()
-    hint = F.broadcast if n_marks <= BROADCAST_SHINGLES else (lambda x: x)
 
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    flat = with_shingles(docs.withColumn("row", F.xxhash64("text")), "text", "all")
+    docs = df.select(F.col(f"`{id_col}`").alias("id"), row_hash(df).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    flat = with_shingles(docs, "text", "all")
     flat = flat.select("id", "row", F.size("all").alias("of"), "all")  # the size first: exploded rows must not carry the array
     # outer: else the optimiser computes the arrays once more, and inside a lambda, for a filter on their size
     flat = flat.select("id", "row", "of", F.posexplode_outer("all").alias("pos", "x")).where("x is not null")
-    distinct_marks = marks.select("x").distinct()
-    met = flat.join(hint(distinct_marks), "x", "left_semi") if n_marks else flat.limit(0)
-    met = materialise(met.distinct(), "decontam-met")
+    met = flat.join(_small(marks.select("x").distinct(), n_shingles), "x", "left_semi") if n_shingles else flat.limit(0)
+    met = materialise(met, "decontam-met")
     # a shingle that many items share meets each of them: the sums below are per document and item
-    spots = met.join(hint(marks), "x").groupBy("id", "row", "of", "k", "m").agg(F.array_sort(F.collect_set("pos")).alias("spots"))
+    spots = met.join(_small(marks, n_shingles), "x").groupBy("id", "row", "of", "k", "m").agg(F.array_sort(F.collect_set("pos")).alias("spots"))
     size = F.least(F.col("m"), F.col("of"))
     share = similarity / (1 + similarity)
     need = F.greatest(F.lit(1), F.ceil(F.lit(share) * (F.col("m") + size) - 1e-9).cast("int"))
     spots = spots.withColumn("size", size).withColumn("need", need).where(F.size("spots") >= F.col("need"))
     starts = F.expr("transform(filter(sequence(0, size(spots) - need), i -> spots[i + need - 1] - spots[i] < size), i -> least(spots[i], of - size))")
-    windows = spots.select("id", "row", "size", "m", F.explode_outer(F.array_distinct(starts)).alias("start")).where("start is not null").distinct()
+    windows = spots.select("id", "row", "size", "m", "k", F.explode_outer(F.array_distinct(starts)).alias("start")).where("start is not null")
     windows = materialise(windows, "decontam-windows")
 
     # the windows' shingles come from their own documents only: few texts pass the semi join, which
     # shuffles none of the others while the hit texts' hashes are a bounded broadcast
-    text = docs.withColumn("row", F.xxhash64("text"))
-    cuts = windows.groupBy("id", "row").agg(F.collect_set(F.struct("size", "m", "start")).alias("cuts"))
+    cuts = windows.select("row", "size", "m", "start").distinct().groupBy("row").agg(F.collect_set(F.struct("size", "m", "start")).alias("cuts"))
     rows = materialise(windows.select("row").distinct(), "decontam-rows")
-    few = text.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, "row", "left_semi").dropDuplicates(["id", "row"])
-    whole = few.join(cuts.withColumnsRenamed({"id": "__id", "row": "__row"}), F.col("id").eqNullSafe(F.col("__id")) & (F.col("row") == F.col("__row")))
-    cut = with_shingles(whole.select("id", "row", "cuts", "text"), "text", "all").select("id", "row", "all", F.explode_outer("cuts").alias("c"))
+    hit = docs.join(few(rows), "row", "left_semi").dropDuplicates(["row"]).join(cuts, "row")
+    cut = with_shingles(hit.select("id", "row", "cuts", "text"), "text", "all").select("id", "row", "all", F.explode_outer("cuts").alias("c"))
     cut = cut.select("id", "row", F.col("c.m").alias("m"), F.col("c.start").alias("start"), F.slice("all", F.col("c.start") + 1, F.col("c.size")).alias("h"))
     cut = materialise(cut, "decontam-shingled")
-    cut = materialise(cut.withColumn("fp", fingerprint(F.col("h"))), "decontam-cuts")
+    cut = materialise(cut.withColumn("fp", fingerprint(F.col("h"))).withColumn("telling", telling(F.col("h"))), "decontam-cuts")
 
     flips = [0, *(sum(1 << b for b in c) for f in range(1, FLIPS + 1) for c in itertools.combinations(range(BLOCK_BITS), f))]
-    probes = item.select("k", "m", F.col("fp").alias("item_fp"), F.explode(_blocks(F.col("fp"))).alias("b"))
+    probes = item.where("telling").select("k", "m", F.col("fp").alias("item_fp"), F.explode(_blocks(F.col("fp"))).alias("b"))
     probes = probes.select("k", "m", "item_fp", F.col("b.block").alias("block"), F.explode(F.array(*[F.col("b.value").bitwiseXOR(F.lit(f)) for f in flips])).alias("value"))
-    looked = cut.select("id", "row", "m", "start", "fp", F.explode(_blocks(F.col("fp"))).alias("b")).select("id", "row", "m", "start", "fp", F.col("b.block").alias("block"), F.col("b.value").alias("value"))
-    near = looked.join(hint(probes), ["m", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    near = near.select("id", "row", "m", "start", "fp", "k").distinct()
+    looked = cut.where("telling").select("row", "m", "start", "fp", F.explode(_blocks(F.col("fp"))).alias("b")).select("row", "m", "start", "fp", F.col("b.block").alias("block"), F.col("b.value").alias("value"))
+    near = looked.join(_small(probes, n_items * BLOCKS * len(flips)), ["m", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("row", "m", "start", "k")
+    vague = windows.join(cut.select("row", "m", "start", "telling"), ["row", "m", "start"]).join(_small(item.select("k", F.col("telling").alias("item_telling")), n_items), "k")
+    near = near.unionByName(vague.where("not telling or not item_telling").select("row", "m", "start", "k")).distinct()
 
-    own = cut.select("id", "row", "m", "start", "h").distinct().withColumnsRenamed({c: f"__{c}" for c in ("id", "row", "m", "start")})
-    same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("row") == F.col("__row")) & (F.col("m") == F.col("__m")) & (F.col("start") == F.col("__start"))
-    full = near.join(own, same).join(hint(item.select("k", "item", F.col("h").alias("g"))), "k")
+    full = near.join(cut.select("id", "row", "m", "start", "h"), ["row", "m", "start"]).join(_small(item.select("k", "item", F.col("h").alias("g")), n_items + n_shingles), "k")
     both = F.expr("aggregate(array_distinct(array_intersect(h, g)), 0, (a, x) -> a + least(size(filter(h, y -> y = x)), size(filter(g, y -> y = x))))")
     full = full.withColumn("both", both).withColumn("similarity", F.col("both") / (F.size("h") + F.size("g") - F.col("both")))
     return full.where(F.col("similarity") >= similarity - 1e-12).select("id", "row", "item", "similarity", "start")
@@ -145,8 +161,11 @@ def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
 
 def decontaminate(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """df without the documents that hold a benchmark item; columns unchanged."""
-    return without_rows(df, matches(df, items, id_col, text_col, **options).select("id", "row"), id_col, text_col)
+    """df without the rows that hold a benchmark item; columns unchanged. Rows are told apart by all their columns."""
+    with temporary(df.sparkSession) as kept:
+        gone = materialise(matches(df, items, id_col, text_col, **options).select("row").distinct(), "decontam-gone")
+        kept.append(gone)
+    return without_rows(df, gone)
 
 
 def op7_decontam(spark, sf_dir: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import fold, hash_sample, python_ready
+from weftgraph.llm.common import few, fold, hash_sample, materialise, per_text
 
 #: Labelled rows the trees are fitted on.
 FIT_ROWS = 8000
@@ -15,26 +17,65 @@ BINS = 64
 STATISTICS = ("log_chars", "log_words", "word_mean", "word_dev", "letters", "upper", "digits", "spaces", "points", "symbols", "marks_end", "lines", "line_mean", "repeated_lines", "distinct_words", "short_words", "upper_words", "top_char", "non_ascii", "stops", "commas", "entropy")
 
 
+#: Code points measured at once; a longer text is taken in pieces, cut after a line or a word if it has any.
+PIECE = 1 << 20
+_POINTS, _SYMBOLS = np.array([33, 44, 46, 58, 59, 63]), np.array([35, 36, 37, 38, 42, 43, 60, 61, 62, 64, 91, 92, 93, 94, 95, 96, 123, 124, 125, 126])
+
+
+def pieces(text: str) -> Iterator[str]:
+    at = 0
+    while len(text) - at > PIECE:
+        end = at + PIECE
+        cut = max(text.rfind("\n", at, end), 0) or max(text.rfind(" ", at, end), 0)
+        cut = cut + 1 if cut > at else end
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
 def statistics(text: str | None) -> list[float]:
-    """The STATISTICS of one whole text; an empty or null text has zeros."""
+    """The STATISTICS of one whole text; an empty or null text has zeros.
+
+    Characters are told apart by code point in every script. Sums are added up
+    piece by piece, so only distinct words and lines are held (as hashes).
+    """
     if not text:
         return [0.0] * len(STATISTICS)
-    a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    n = len(a)
-    ascii_counts = np.bincount(np.minimum(a, 255), minlength=256)
-    words = text.split()
-    w = len(words) or 1
-    lens = np.fromiter(map(len, words), np.int64, len(words)) if words else np.zeros(1, np.int64)
-    lines = text.split("\n")
-    upper = sum(map(str.isupper, text)) if not text.isascii() else int(ascii_counts[65:91].sum())
-    letters = int(ascii_counts[65:91].sum() + ascii_counts[97:123].sum() + ascii_counts[192:].sum())
-    share = ascii_counts[ascii_counts > 0] / n
-    points = int(ascii_counts[[33, 44, 46, 58, 59, 63]].sum())
-    symbols = int(ascii_counts[[35, 36, 37, 38, 42, 43, 60, 61, 62, 64, 91, 92, 93, 94, 95, 96, 123, 124, 125, 126]].sum())
+    low, high = np.zeros(256, np.int64), {}
+    n = words = ends = upper = upper_words = short = lines = letters = 0
+    length = square = 0.0
+    seen_words: set[int] = set()
+    seen_lines: set[int] = set()
+    for piece in pieces(text):
+        a = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)
+        n += len(a)
+        narrow = piece.isascii()
+        if narrow:
+            low += np.bincount(a, minlength=256)
+            upper += int(((a >= 65) & (a <= 90)).sum())
+        else:
+            low += np.bincount(a[a < 256], minlength=256)
+            points, counts = np.unique(a[a >= 256], return_counts=True)
+            for c, k in zip(points.tolist(), counts.tolist(), strict=True):
+                high[c] = high.get(c, 0) + k
+            upper += sum(map(str.isupper, piece))
+        parts = piece.split()
+        lens = np.fromiter(map(len, parts), np.int64, len(parts))
+        words, length, square, short = words + len(parts), length + float(lens.sum()), square + float((lens * lens).sum()), short + int((lens <= 2).sum())
+        ends += sum(not x[-1].isalnum() for x in parts)
+        upper_words += sum(map(str.isupper, parts))
+        seen_words.update(map(hash, parts))
+        rows = piece.removesuffix("\n").split("\n") if piece is not text else piece.split("\n")
+        lines += len(rows)
+        seen_lines.update(map(hash, rows))
+    letters = int(low[65:91].sum() + low[97:123].sum() + low[192:].sum()) + sum(k for c, k in high.items() if chr(c).isalpha())
+    share = np.concatenate((low[low > 0], np.fromiter(high.values(), np.int64, len(high)))) / n
+    w = words or 1
+    mean = length / w
     return [
-        np.log1p(n), np.log1p(len(words)), lens.mean(), lens.std(), letters / n, upper / n, ascii_counts[48:58].sum() / n, (ascii_counts[9:14].sum() + ascii_counts[32]) / n,
-        points / n, symbols / n, sum(not x[-1].isalnum() for x in words) / w, len(lines) / w, n / len(lines), 1 - len(set(lines)) / len(lines), len(set(words)) / w, float((lens <= 2).mean()),
-        sum(map(str.isupper, words)) / w, ascii_counts.max() / n, 1 - ascii_counts[:128].sum() / n, ascii_counts[46] / w, ascii_counts[44] / w, float(-(share * np.log2(share)).sum()),
+        np.log1p(n), np.log1p(words), mean, max(0.0, square / w - mean * mean) ** 0.5, letters / n, upper / n, low[48:58].sum() / n, (low[9:14].sum() + low[32]) / n,
+        low[_POINTS].sum() / n, low[_SYMBOLS].sum() / n, ends / w, lines / w, n / lines, 1 - len(seen_lines) / lines, len(seen_words) / w, short / w,
+        upper_words / w, share.max(), 1 - low[:128].sum() / n, low[46] / w, low[44] / w, float(-(share * np.log2(share)).sum()),
     ]
 
 
@@ -96,68 +137,61 @@ def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, ra
     return Forest(np.array(out_f), np.array(out_t), np.array(out_v), base, depth)
 
 
-def with_statistics(df: DataFrame, text_col: str, carry: list[str]) -> DataFrame:
-    """carry columns and `stats`, the statistics of each whole text."""
-
-    def measure(batches):
-        for b in batches:
-            yield b.drop(columns=["__text"]).assign(stats=[statistics(t) for t in b["__text"]])
-
-    given = df.select(*carry, F.col(text_col).alias("__text"))
-    schema = ", ".join(f"`{n}` {given.schema[n].dataType.simpleString()}" for n in carry)
-    return given.mapInPandas(measure, f"{schema}, stats array<double>")
+def _measure():
+    return lambda texts: [pa.array([statistics(t) for t in texts], pa.list_(pa.float64()))]
 
 
 def score_quality(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Quality of every whole text: id, carried columns, score (probability of label 1), predicted.
 
-    labelled: (id, text, y) with y 0 or 1. The trees are fitted on the driver
-    on a seeded hash sample of FIT_ROWS labelled rows (only their statistics
-    travel), then broadcast as flat arrays. Without labelled rows every score
-    is 0.5; with one class all scores are near that class. Null and empty
-    texts have zero statistics and a score; repeated rows score alike.
+    labelled: (id, text, y) with y 0 or 1, a bounded sample (`sampled_labels`;
+    beyond FIT_ROWS rows it is sampled again). The trees are fitted on the
+    driver on the rows' statistics, then broadcast as flat arrays. Without
+    labelled rows every score is 0.5; with one class all scores are near that
+    class. Null and empty texts have zero statistics and a score; very long
+    texts are measured whole, in pieces; repeated rows score alike. Ids and
+    carried columns are passed on unchanged, and a carried column named like a
+    result is an error. An empty table gives no rows.
     """
-    spark = df.sparkSession
-    python_ready(spark)
-    rows = labelled.count()
-    sample = with_statistics(hash_sample(labelled, F.col("id"), rows, FIT_ROWS, 13), "text", ["id", "y"]).orderBy("id", "y").collect()
+    rows = materialise(per_text(labelled, F.col("text"), ["y"], [("stats", "array<double>")], _measure), "quality-sample")
+    sample = sorted(((r["stats"], r["y"]) for r in hash_sample(rows, F.xxhash64("stats"), rows.count(), 2 * FIT_ROWS, 13).collect()), key=lambda r: (r[1], r[0]))
     if sample:
-        forest = fit_forest(np.array([r["stats"] for r in sample]), np.array([float(r["y"]) for r in sample]))
+        forest = fit_forest(np.array([r[0] for r in sample]), np.array([float(r[1]) for r in sample]))
     else:
         forest = Forest(np.zeros((0, 1), np.int64), np.zeros((0, 1)), np.zeros((0, 2)), 0.0, 1)
-    shared = spark.sparkContext.broadcast(forest)
+    shared = df.sparkSession.sparkContext.broadcast(forest)
 
-    def predict(batches):
+    def predict():
         forest = shared.value
-        for b in batches:
-            x = np.array([statistics(t) for t in b["__text"]]).reshape(len(b), len(STATISTICS))
-            s = forest.score(x)
-            yield b.drop(columns=["__text"]).assign(score=s, predicted=(s >= 0.5).astype(np.int32))
 
-    given = df.select(id_col, *carry, F.col(text_col).alias("__text"))
-    names = [id_col, *carry]
-    schema = ", ".join(f"`{n}` {given.schema[n].dataType.simpleString()}" for n in names)
-    return given.mapInPandas(predict, f"{schema}, score double, predicted int")
+        def work(texts):
+            s = forest.score(np.array([statistics(t) for t in texts]).reshape(len(texts), len(STATISTICS)))
+            return [pa.array(s), pa.array((s >= 0.5).astype(np.int32))]
 
+        return work
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
-    """(id, text, y) of the rows of docs that labels mark in `column`; null labels and ids are no labels.
-
-    A document that is labelled more than once takes its greatest label.
-    """
-    marks = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col(column).cast("int")).alias("y"))
-    return docs.join(marks, F.col("doc_id") == F.col("__id")).select(F.col("doc_id").alias("id"), "text", "y")
+    return per_text(df, F.col(f"`{text_col}`"), [id_col, *carry], [("score", "double"), ("predicted", "int")], predict)
 
 
-def sampled_labels(docs: DataFrame, labels: DataFrame, column: str, bound: int, seed: int) -> DataFrame:
-    """`labelled_rows` of about `bound` labels, the same ones in every run.
+def sampled_labels(docs: DataFrame, labels: DataFrame, column: str, bounds: int | dict[int, int], seed: int) -> DataFrame:
+    """(id, text, y) of at most about `bounds` labels (or bounds[y] of each class y), the same ones in every run, in one scan of docs.
 
     The sample is taken from the labels by id, so texts of other documents are
-    never shuffled: the few sampled ids are broadcast to the documents.
+    never shuffled: the few sampled ids, counted, are broadcast to the
+    documents. Null labels and ids are no labels. A document that is labelled
+    more than once takes its greatest label.
     """
     marks = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull())
-    picked = hash_sample(marks, F.col("doc_id"), marks.count(), bound, seed)
-    return labelled_rows(docs, F.broadcast(picked), column)
+    marks = materialise(marks.groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col(column).cast("int")).alias("y")), "labels")
+    sizes = dict(marks.groupBy("y").agg(F.count("*")).collect())
+    if isinstance(bounds, int):
+        chosen = hash_sample(marks, F.col("__id"), sum(sizes.values()), bounds, seed)
+    else:
+        parts = [hash_sample(marks.where(F.col("y") == y), F.col("__id"), sizes.get(y, 0), bound, seed) for y, bound in bounds.items()]
+        chosen = parts[0]
+        for p in parts[1:]:
+            chosen = chosen.unionByName(p)
+    return docs.join(few(materialise(chosen, "label-sample")), F.col("doc_id") == F.col("__id")).select(F.col("doc_id").alias("id"), "text", "y")
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:

@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import hash_sample, python_ready
+from weftgraph.llm.common import per_text
 
-#: Documents read to find frequent pre-tokens; it bounds the table, results never depend on it.
-SAMPLE_DOCS = 2000
-#: Entries of the broadcast table, and pre-tokens each sampling task reports.
+#: Documents (and code points of each) read to find frequent pre-tokens; results never depend on them, only the cost does.
+SAMPLE_DOCS, SAMPLE_CHARS = 3000, 20_000
+#: Entries of the broadcast table.
 TABLE_SIZE = 60_000
 #: Pre-tokens a worker remembers beyond the table, and the longest it remembers.
 CACHE_SIZE, CACHE_CHARS = 300_000, 48
@@ -31,9 +31,21 @@ def pre_tokens(text: str) -> list[str]:
 
 
 def splits_are_safe(processor) -> bool:
-    """Whether no vocabulary piece crosses the borders of `pre_tokens`."""
+    """Whether this model counts a text as the sum of its pre-tokens.
+
+    No piece, user-defined ones included, may cross a border; characters must
+    be left as they are but for blanks becoming marks, none of which are
+    merged or cut off; one mark must come in front; and the characters that
+    `Lengths` puts before a part must be tokens of their own. Each is tried on
+    the model itself.
+    """
     crossing = re.compile(f"[^{_MARK}]{_MARK}|\n")
-    return not any(crossing.search(processor.id_to_piece(i)) for i in range(processor.get_piece_size()))
+    if any(crossing.search(p) for p in map(processor.id_to_piece, range(processor.get_piece_size())) if p != "\n"):
+        return False
+    plain = "".join(map(chr, [*range(33, 0xD800), *range(0xE000, 0xFFFE), *range(0x1F300, 0x1F700)])).replace(_MARK, "") + "e\u0301 \u1100\u1161 \r\n \t  x  "
+    if any(processor.normalize(plain[i : i + 4096]) != _MARK + plain[i : i + 4096].replace(" ", _MARK) for i in range(0, len(plain), 4096)):
+        return False
+    return [len(processor.encode(t)) for t in ("a", "\n", "a\n")] == [1, 2, 2]
 
 
 class Lengths(dict):
@@ -76,62 +88,49 @@ def _lengths(model_path: str, key: int, packed) -> Lengths:
     return got
 
 
-def _frequent(df: DataFrame, text_col: str, rows: int, key: str) -> list[str]:
-    """Frequent pre-tokens of a bounded hash sample of documents; tasks report bounded counts, nothing is shuffled."""
-
-    def tally(batches):
-        seen: Counter = Counter()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                if t:
-                    seen.update(p for p in pre_tokens(t) if len(p) <= CACHE_CHARS and "\x00" not in p)
-        top = seen.most_common(TABLE_SIZE // 4)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([p for p, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
-
-    sample = hash_sample(df, F.col(key), rows, SAMPLE_DOCS, 5).select(text_col).coalesce(8)
-    total: Counter = Counter()
-    for part, n in sample.mapInArrow(tally, "part string, n long").toLocalIterator():
-        total[part] += n
-    return [p for p, _ in total.most_common(TABLE_SIZE)]
+def _frequent(df: DataFrame, text_col: str) -> list[str]:
+    """Frequent pre-tokens of a bounded number of texts: as few partitions are read as hold them."""
+    seen: Counter = Counter()
+    for row in df.select(F.substring(F.col(f"`{text_col}`"), 1, SAMPLE_CHARS)).where(F.col(f"`{text_col}`").isNotNull()).take(SAMPLE_DOCS):
+        seen.update(p for p in pre_tokens(row[0]) if len(p) <= CACHE_CHARS and "\x00" not in p)
+    return [p for p, _ in seen.most_common(TABLE_SIZE)]
 
 
-def token_counts(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_counts(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Tokens of every whole text as sentencepiece gives them for a BPE model, without begin or end tokens.
 
     One pass without a shuffle: texts fall into pre-tokens that the model's
-    merges never cross (checked against the vocabulary; a model with crossing
-    pieces is refused), the lengths of frequent ones come from a broadcast
-    table of bounded size, others are encoded once per worker and kept in a
-    bounded cache. Each executor must be able to open `model_path`.
-
-    Null text counts as empty (0 bytes, 0 tokens). Repeated rows and null ids
-    are reported row by row; an empty table gives no rows.
-    Returns id, n_bytes, n_tokens.
+    merges never cross (tried on the model; one for which it does not hold is
+    refused), the lengths of frequent ones come from a broadcast table of
+    bounded size, others are encoded once per worker and kept in a bounded
+    cache. Each executor must be able to open `model_path`.
+
+    Null text counts as empty (0 bytes, 0 tokens). Very long texts are counted
+    whole. Repeated rows and null ids are reported row by row; ids and carried
+    columns are passed on unchanged, and one named like a result is an error;
+    an empty table gives no rows.
+    Returns id, carried columns, n_bytes, n_tokens.
     """
     import sentencepiece
 
-    spark = df.sparkSession
-    python_ready(spark)
     processor = sentencepiece.SentencePieceProcessor(model_file=model_path)
     if not splits_are_safe(processor):
-        raise ValueError(f"{model_path}: pieces cross the pre-token borders")
-    rows = df.count()
+        raise ValueError(f"{model_path}: its counts are not the sums of pre-tokens")
     lengths = Lengths(model_path, {})
-    words = _frequent(df, text_col, rows, id_col)
+    words = _frequent(df, text_col)
     counts = np.array([min(lengths[w], 65535) for w in words], dtype=np.uint16)
-    shared = spark.sparkContext.broadcast(("\x00\x00".join(words), counts.tobytes()))
+    shared = df.sparkSession.sparkContext.broadcast(("\x00\x00".join(words), counts.tobytes()))
     key = hash((len(words), counts.tobytes(), shared.value[0]))
 
-    def count(batches):
+    def count():
         table = _lengths(model_path, key, shared.value)
-        for b in batches:
-            n = [table.count(t) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["id", "n_bytes", "n_tokens"])
-
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    kind = df.schema[id_col].dataType.simpleString()
-    counted = df.select(F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text")).mapInArrow(count, f"id {kind}, n_bytes long, n_tokens long")
-    return counted.withColumnRenamed("id", id_col)
+
+        def work(texts):
+            return [pa.array([len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts], pa.int64()), pa.array([table.count(t) for t in texts], pa.int64())]
+
+        return work
+
+    return per_text(df, F.col(f"`{text_col}`"), [id_col, *carry], [("n_bytes", "long"), ("n_tokens", "long")], count)
 
 
 def op3_tokens(spark, sf_dir: str, limit: int = 4096) -> DataFrame:

@@ -13,17 +13,17 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import hash_sample, materialise
+from weftgraph.llm.common import few, hash_sample, materialise
 
 #: (verdict, rule): host up to the first slash, then the path's start.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Labelled urls the trees are fitted on, and the trees.
 FIT_ROWS, TREES, DEPTH = 20_000, 12, 4
-#: Labelled urls a host suffix needs for a statistic of its own; so at most FIT_ROWS / SUFFIX_LEAST suffixes have one.
-SUFFIX_LEAST = 20
+#: Labelled urls that a host suffix or first path segment needs for a statistic of its own, and the folds that keep a url out of its own statistic.
+PART_LEAST, FOLDS = 20, 5
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-FEATURES = ("length", "host_length", "path_length", "depth", "host_parts", "digit_ratio", "host_digits", "hyphens", "entropy", "parameters", "query_length", "fragment", "longest_part", "suffix_length", "suffix_blocked", "suffix_seen")
+FEATURES = ("length", "host_length", "path_length", "depth", "host_parts", "digit_ratio", "host_digits", "hyphens", "entropy", "parameters", "query_length", "fragment", "longest_part", "suffix_length", "suffix_blocked", "suffix_seen", "segment_blocked", "segment_seen")
 
 
 def host_of(url: Column) -> Column:
@@ -67,16 +67,40 @@ def lexical(df: DataFrame) -> DataFrame:
     }
     df = df.withColumn("__chars", F.filter(F.array_sort(F.split(url, "")), lambda c: c != ""))
     out = df.withColumns({k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in columns.items()}).drop("__chars")
-    return out.withColumn("suffix", F.element_at(F.split(host, r"\."), -1)).withColumn("suffix_length", F.length("suffix").cast("double"))
+    return out.withColumns(_parts(host, path)).withColumn("suffix_length", F.length("suffix").cast("double"))
 
 
-def _with_suffix(df: DataFrame, stats: list, prior: float) -> DataFrame:
-    """Suffix statistics of the labelled urls as constants of the plan: a map of at most FIT_ROWS / SUFFIX_LEAST suffixes."""
-    if not stats:
-        return df.withColumns({"suffix_blocked": F.lit(prior), "suffix_seen": F.lit(0.0)})
-    blocked = F.create_map(*[F.lit(x) for r in stats for x in (r["suffix"], float(r["blocked"]))])
-    seen = F.create_map(*[F.lit(x) for r in stats for x in (r["suffix"], float(r["seen"]))])
-    return df.withColumns({"suffix_blocked": F.coalesce(F.try_element_at(blocked, F.col("suffix")), F.lit(prior)), "suffix_seen": F.coalesce(F.try_element_at(seen, F.col("suffix")), F.lit(0.0))})
+def part_statistics(labelled: DataFrame, part: str, prior: float) -> DataFrame:
+    """(part, fold, <part>_blocked, <part>_seen) over all labelled urls (part, fold, blocked); fold -1 is for unlabelled ones.
+
+    The share of blocked urls is smoothed towards the prior. The row of a fold
+    leaves that fold's urls out, so no url's feature holds its own label.
+    Counts are combined on the map side.
+    """
+    cells = labelled.groupBy(part, "fold").agg(F.count("*").alias("k"), F.sum("blocked").alias("s"))
+    total = cells.groupBy(part).agg(F.sum("k").alias("all_k"), F.sum("s").alias("all_s")).where(F.col("all_k") >= PART_LEAST)
+    folds = total.withColumn("fold", F.explode(F.array(*[F.lit(f) for f in range(-1, FOLDS)])))
+    left = folds.join(cells, [part, "fold"], "left").na.fill(0, ["k"]).na.fill(0.0, ["s"])
+    n, b = F.col("all_k") - F.col("k"), F.col("all_s") - F.col("s")
+    return materialise(left.select(part, "fold", ((b + 5 * prior) / (n + 5)).alias(f"{part}_blocked"), F.log1p(n).alias(f"{part}_seen")), f"url-{part}")
+
+
+def _with_parts(df: DataFrame, stats: dict[str, DataFrame], fold: Column, prior: float) -> DataFrame:
+    """df with its parts' statistics for a fold; each counted table is broadcast while it is small."""
+    out = df.withColumn("fold", fold)
+    for part, table in stats.items():
+        out = out.join(few(table), [part, "fold"], "left")
+        out = out.withColumns({f"{part}_blocked": F.coalesce(f"{part}_blocked", F.lit(prior)), f"{part}_seen": F.coalesce(f"{part}_seen", F.lit(0.0))})
+    return out.drop("fold")
+
+
+def _parts(host: Column, path: Column) -> dict[str, Column]:
+    """The last label of the host and the first segment of the path."""
+    return {"suffix": F.element_at(F.split(host, r"\."), -1), "segment": F.regexp_extract(path, r"(?s)^/([^/]*)", 1)}
+
+
+def _fold(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url, F.lit(31)), F.lit(FOLDS)).cast("int")
 
 
 def judge(df: DataFrame, labelled: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str]] = RULES, seed: int = 23) -> DataFrame:
@@ -85,14 +109,17 @@ def judge(df: DataFrame, labelled: DataFrame | None = None, id_col: str = "page_
     labelled: (url, blocked 0 or 1). By default the urls that the rules decide
     are the labelled ones. The trees are fitted on a seeded hash sample of
     about FIT_ROWS of them and scored on the JVM in the same pass that judges
-    the rules; nothing is shuffled for the verdicts. Suffix statistics are the
+    the rules. Besides lengths, ratios and counts the features are the
     smoothed share of blocked urls and the logarithm of the number of urls by
-    last host label.
+    last host label and by first path segment, over all labelled urls and out
+    of fold (`part_statistics`); these tables are broadcast while their counted
+    number is small, so no url is shuffled for its verdict.
 
     Null urls and urls without :// have empty host and path, no rule, and a
     verdict by the trees. Without labelled urls of both classes the verdict
-    is that of the only class, or allow if there is none. Repeated rows are
-    judged alike; an empty table gives no rows.
+    is that of the only class, or allow if there is none. A score of exactly
+    one half allows. Repeated rows are judged alike, very long urls whole;
+    other columns are not read; an empty table gives no rows.
     Returns id, host, path, rule, verdict, score (of blocking).
     """
     verdicts = {rule: verdict for verdict, rule in rules}
@@ -112,15 +139,15 @@ def judge(df: DataFrame, labelled: DataFrame | None = None, id_col: str = "page_
         share = b / n if n else 0.0
         scored = base.withColumn("score", F.lit(float(share)))
     else:
-        sample = materialise(lexical(hash_sample(labelled, F.col("url"), n, FIT_ROWS, seed)), "url-sample")
         prior = float(b) / n
-        stats = sample.groupBy("suffix").agg(F.count("*").alias("k"), F.sum("blocked").alias("s")).where(F.col("k") >= SUFFIX_LEAST)
-        stats = stats.select("suffix", ((F.col("s") + 5 * prior) / (F.col("k") + 5)).alias("blocked"), F.log1p("k").alias("seen")).collect()
+        parts = labelled.withColumns(_parts(F.col("host"), F.col("path"))).withColumn("fold", _fold(F.col("url")))
+        stats = {part: part_statistics(parts.select(part, "fold", "blocked"), part, prior) for part in ("suffix", "segment")}
+        sample = lexical(hash_sample(labelled, F.col("url"), n, FIT_ROWS, seed))
         vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="vector")
         trees = GBTClassifier(featuresCol="vector", labelCol="blocked", maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=seed, cacheNodeIds=False)
-        data = vectors.transform(_with_suffix(sample, stats, prior).repartition(4, "url")).select("vector", "blocked")
-        model = trees.fit(data)
-        scored = model.transform(vectors.transform(_with_suffix(lexical(base), stats, prior))).withColumn("score", vector_to_array("probability")[1])
+        data = vectors.transform(_with_parts(sample, stats, _fold(F.col("url")), prior)).select("vector", "blocked")
+        model = trees.fit(materialise(data.repartition(4, F.xxhash64("blocked", vector_to_array("vector"))), "url-sample"))
+        scored = model.transform(vectors.transform(_with_parts(lexical(base), stats, F.lit(-1), prior))).withColumn("score", vector_to_array("probability")[1])
     verdict = F.coalesce(F.col("by_rule"), F.when(F.col("score") > 0.5, "block").otherwise("allow"))
     return scored.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "score")
 
