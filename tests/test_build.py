@@ -30,8 +30,8 @@ def test_build_reads_every_documents_text(spark, data):
             return super().docs.withColumn("content", F.concat(F.coalesce("content", F.lit("")), F.lit("\nHere Zulu uses yankee!")))
 
     t = Planted(spark, data)
-    got = build_queries.build_documents(t).where("subject = 'Zulu' and object = 'yankee'").select("source_doc_id")
-    got = got.intersectAll(build_queries.build_documents(t).where("subject = 'alpha' and object = 'beta'").select("source_doc_id"))
+    got = build_queries.build_pipeline(t).where("subject = 'Zulu' and object = 'yankee'").select("source_doc_id")
+    got = got.intersectAll(build_queries.build_pipeline(t).where("subject = 'alpha' and object = 'beta'").select("source_doc_id"))
     assert got.count() == t.docs.count() and got.exceptAll(t.docs.select("doc_id")).isEmpty()
 
 

@@ -25,10 +25,15 @@ def sentences(text: Column) -> Column:
 
 
 def chunks(df: DataFrame, id_col: str, text_col: str, per: int = C.SENTENCES_PER_CHUNK) -> DataFrame:
-    """(id, chunk_id, idx from 1, sentences, text) of groups of `per` sentences; no shuffle. Null and blank texts have no chunk."""
-    split = df.select(F.col(id_col), sentences(F.col(text_col)).alias("all")).where(F.size("all") > 0)
+    """(id, chunk_id, idx from 1, sentences, text) of groups of `per` sentences; no shuffle. Null and blank texts have no chunk.
+
+    The groups are exploded with their empty case: a filter on the array's
+    size would be computed below the split, which then ran once for each group.
+    """
+    split = df.select(F.col(id_col), sentences(F.col(text_col)).alias("all"))
     groups = F.transform(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / per).cast("int")), lambda i: F.slice(F.col("all"), i * per + 1, F.lit(per)))
-    out = split.select(F.col(id_col), groups.alias("groups")).select(F.col(id_col), F.posexplode("groups").alias("pos", "sentences"))
+    groups = F.when(F.size("all") > 0, groups)
+    out = split.select(F.col(id_col), groups.alias("groups")).select(F.col(id_col), F.posexplode_outer("groups").alias("pos", "sentences")).where("pos is not null")
     idx = F.col("pos") + 1
     return out.select(F.col(id_col), F.format_string("%s_%04d", F.col(id_col), idx).alias("chunk_id"), idx.alias("idx"), "sentences", F.array_join("sentences", "").alias("text"))
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from weftgraph.functions import constants as C
 from weftgraph.functions.vectors import decay
+from weftgraph.session import materialise
 
 KEY = ("subject", "rel_type", "object", "source_doc_id")
 FACT = ("subject", "subject_type", "rel_type", "verb", "object", "object_type")
@@ -55,14 +56,16 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 
     Those are the edges with an endpoint at distance hops - 1 or less, so only
     hops - 1 frontier joins run and paths are never listed. The frontier keeps
-    the seed; nodes already reached leave it by an anti join.
+    the seed; nodes already reached leave it by an anti join. Neighbours and
+    each frontier are written once, so a hop adds a constant to the plan.
     """
-    near = undirected(edges)
     reached = seeds.select("kg_id", "seed", F.col("seed").alias("node")).distinct()
-    frontier = reached
+    if hops > 1:
+        near = materialise(undirected(edges), "expand-near")
+        frontier = reached = materialise(reached, "expand-seeds")
     for _ in range(hops - 1):
         step = frontier.join(near, ["kg_id", "node"]).select("kg_id", "seed", F.col("other").alias("node")).distinct()
-        frontier = step.join(reached, ["kg_id", "seed", "node"], "left_anti")
+        frontier = materialise(step.join(reached, ["kg_id", "seed", "node"], "left_anti"), "expand-frontier")
         reached = reached.unionByName(frontier)
     ends = edges.select("*", F.explode(F.array_distinct(F.array("subject", "object"))).alias("node"))
     hit = ends.join(reached, ["kg_id", "node"]).drop("node")

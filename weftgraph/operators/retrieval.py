@@ -57,7 +57,8 @@ def hybrid(graph_docs: DataFrame, similar: DataFrame, top_k: int = 5) -> DataFra
     """(doc_id, origin, rank): graph documents up to min(2k, 10), then similar ones up to max(1, k - those)."""
     g = graph_docs.orderBy("rank").limit(min(2 * top_k, 10)).select("doc_id", F.lit("graph").alias("origin"), "rank")
     n = g.agg(F.count("*").alias("n"))
-    s = similar.join(g, "doc_id", "left_anti").withColumn("rank", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.desc("score"), "doc_id")))
+    s = similar.join(g, "doc_id", "left_anti").orderBy(F.desc("score"), "doc_id").limit(max(1, top_k))  # few rows: the window is one task
+    s = s.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.desc("score"), "doc_id")))
     s = s.join(F.broadcast(n), F.lit(True)).where(F.col("rank") <= F.greatest(F.lit(1), F.lit(top_k) - F.col("n"))).select("doc_id", F.lit("similar").alias("origin"), "rank")
     return g.unionByName(s)
 

@@ -72,6 +72,22 @@ def pair_similarity(centroids: DataFrame, owner: str) -> DataFrame:
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(cosine_of(dot(F.col("va"), F.col("vb")), F.col("na"), F.col("nb")), 6).alias("sim"))
 
 
+def mean_pair_cosine(vectors: DataFrame, group: str, vector: str = "q_vector") -> DataFrame:
+    """(group, similarity): mean cosine over all pairs of different rows of each group, without listing them.
+
+    For unit vectors the pairs' sum is (|sum of all|^2 - their number) / 2;
+    vectors without length have cosine 0 with all. One aggregate by group and
+    position; groups of one row have none.
+    """
+    v = vectors.select(group, norm(F.col(vector)).alias("len"), F.col(vector).cast("array<double>").alias("v"))
+    v = v.select(group, "len", F.when(F.col("len") >= 1e-9, F.transform("v", lambda x: x / F.col("len"))).alias("v"))
+    count = v.groupBy(group).agg(F.count("*").alias("n"), F.count("v").alias("units"))
+    cells = v.where("v is not null").select(group, F.posexplode("v").alias("pos", "x")).groupBy(group, "pos").agg(F.sum("x").alias("x"))
+    square = cells.groupBy(group).agg(F.sum(F.col("x") * F.col("x")).alias("square"))
+    both = count.where("n > 1").join(square, group, "left")
+    return both.select(group, (F.coalesce(F.col("square") - F.col("units"), F.lit(0.0)) / (F.col("n") * (F.col("n") - 1))).alias("similarity"))
+
+
 def co_occurring(links: DataFrame, owner: str = "owner_id") -> DataFrame:
     """(a, b, n) of concept pairs of one owner, a < b, with the number of owners."""
     a, b = links.select(owner, F.col("name").alias("a")).distinct(), links.select(owner, F.col("name").alias("b")).distinct()

@@ -45,8 +45,8 @@ class VersionedTable:
             raise FileNotFoundError(f"no version under {self.path}")
         return self.spark.read.parquet(f"{self.path}/v{v[-1] if version is None else version}")
 
-    def write(self, df: DataFrame, partition_by: tuple[str, ...] = ()) -> int:
-        v = (self.versions() or [-1])[-1] + 1
+    def write(self, df: DataFrame, partition_by: tuple[str, ...] = (), version: int | None = None) -> int:
+        v = (self.versions() or [-1])[-1] + 1 if version is None else version
         writer = df.write.mode("overwrite")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.path}/v{v}")
         return v
@@ -169,23 +169,14 @@ def json_objects(text: str) -> list[dict]:
             return [x for x in (got if isinstance(got, list) else [got]) if isinstance(x, dict)]
         except ValueError:
             continue
-    out, depth, begin, quoted, escaped = [], 0, 0, False, False
-    for i, ch in enumerate(text):
-        if quoted:
-            escaped, quoted = (ch == "\\" and not escaped), not (ch == '"' and not escaped)
-        elif ch == '"' and depth:
-            quoted = True
-        elif ch == "{":
-            begin, depth = (i if depth == 0 else begin), depth + 1
-        elif ch == "}" and depth:
-            depth -= 1
-            if depth == 0:
-                try:
-                    got = json.loads(text[begin : i + 1])
-                    if isinstance(got, dict):
-                        out.append(got)
-                except ValueError:
-                    pass
+    out, at, read = [], text.find("{"), json.JSONDecoder().raw_decode
+    while at >= 0:
+        try:
+            got, at = read(text, at)
+            out.append(got)
+        except ValueError:
+            at += 1
+        at = text.find("{", at)
     return out
 
 

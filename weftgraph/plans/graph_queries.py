@@ -90,16 +90,16 @@ def rel_type_filter(t):
     return t.edges.join(F.broadcast(types), "rel_type", "left_semi").groupBy("rel_type").agg(F.count("*").alias("n"))
 
 
-@query("fact_strings", f"SELECT {FACT_SQL} AS fact, confidence FROM edges WHERE kg_id = 1")
+@query("fact_strings", f"SELECT {FACT_SQL} AS fact, confidence FROM edges")
 def fact_strings(t):
-    return t.edges.where("kg_id = 1").select(G.fact_text().alias("fact"), "confidence")
+    return t.edges.select(G.fact_text().alias("fact"), "confidence")
 
 
 @query("citations_text", f"""SELECT CASE WHEN coalesce(title, '') <> '' THEN fact || '[來源：《' || title || '》' || CASE WHEN confidence > 1 THEN '，信心 ' || confidence ELSE '' END || ']'
   WHEN confidence > 1 THEN fact || '[信心 ' || confidence || ']' ELSE fact END AS citation
-  FROM (SELECT {FACT_SQL} AS fact, confidence, CASE WHEN source_doc_id % 3 = 0 THEN NULL ELSE title END AS title FROM edges e LEFT JOIN docs ON source_doc_id = doc_id WHERE e.kg_id = 3)""")
+  FROM (SELECT {FACT_SQL} AS fact, confidence, CASE WHEN source_doc_id % 3 = 0 THEN NULL ELSE title END AS title FROM edges e LEFT JOIN docs ON source_doc_id = doc_id)""")
 def citations_text(t):
-    e = t.edges.where("kg_id = 3").join(t.docs.select(F.col("doc_id").alias("source_doc_id"), "title"), "source_doc_id", "left")
+    e = t.edges.join(t.docs.select(F.col("doc_id").alias("source_doc_id"), "title"), "source_doc_id", "left")
     title = F.when(F.col("source_doc_id") % 3 != 0, F.col("title"))
     return e.select(R.cite(G.fact_text(), title, F.col("confidence")).alias("citation"))
 
@@ -216,9 +216,9 @@ def kg_counts(t):
     return out.na.fill(0)
 
 
-@query("entity_frequency", "SELECT name, count(*) AS n FROM (SELECT subject AS name FROM edges WHERE kg_id = 0 UNION ALL SELECT object FROM edges WHERE kg_id = 0) GROUP BY name")
+@query("entity_frequency", "SELECT kg_id, name, count(*) AS n FROM (SELECT kg_id, subject AS name FROM edges UNION ALL SELECT kg_id, object FROM edges) GROUP BY ALL")
 def entity_frequency(t):
-    return t.edges.where("kg_id = 0").select(F.explode(F.array("subject", "object")).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    return t.edges.select("kg_id", F.explode(F.array("subject", "object")).alias("name")).groupBy("kg_id", "name").agg(F.count("*").alias("n"))
 
 
 @query("doc_citations", "SELECT source_doc_id, count(*) AS citations FROM edges GROUP BY source_doc_id ORDER BY citations DESC, source_doc_id LIMIT 10")

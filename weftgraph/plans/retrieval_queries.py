@@ -26,9 +26,9 @@ def concept_links(t):
     return t.links.join(t.kgs.select(F.col("kg_id").alias("owner_id"), F.col("name").alias("kg")), "owner_id").select("kg", "name", "interest", "professional")
 
 
-@query("concept_doc_count", "SELECT c.name, count(l.owner_id) AS docs FROM concepts c LEFT JOIN (SELECT DISTINCT owner_id, name FROM doc_links WHERE owner_id < 50) l ON c.name = l.name GROUP BY c.name")
+@query("concept_doc_count", "SELECT c.name, count(l.owner_id) AS docs FROM concepts c LEFT JOIN (SELECT DISTINCT owner_id, name FROM doc_links) l ON c.name = l.name GROUP BY c.name")
 def concept_doc_count(t):
-    n = t.doc_links.where("owner_id < 50").select("owner_id", "name").distinct().groupBy("name").agg(F.count("*").alias("docs"))
+    n = t.doc_links.select("owner_id", "name").distinct().groupBy("name").agg(F.count("*").alias("docs"))
     return t.concepts.select("name").join(n, "name", "left").na.fill(0)
 
 
@@ -81,9 +81,7 @@ def cluster_docs(t):
 
 @query("intra_similarity", "SELECT label, round(avg(list_cosine_similarity(a.q_vector, b.q_vector)), 5) AS similarity FROM concepts a JOIN (SELECT vec_id AS v2, label AS l2, q_vector FROM concepts) b ON label = l2 AND vec_id < v2 GROUP BY label")
 def intra_similarity(t):
-    a = t.concepts.select("label", "vec_id", F.col("q_vector").alias("x"))
-    b = t.concepts.select("label", F.col("vec_id").alias("v2"), F.col("q_vector").alias("y"))
-    return a.join(b, "label").where("vec_id < v2").groupBy("label").agg(F.round(F.avg(V.cosine(F.col("x"), F.col("y"))), 5).alias("similarity"))
+    return S.mean_pair_cosine(t.concepts, "label").select("label", F.round("similarity", 5).alias("similarity"))
 
 
 @query("match_score", "SELECT * FROM scores", **SCORES)
@@ -191,10 +189,9 @@ def normalize_ascii(t):
     return t.concepts.select("name", X.normalise_name(raw).alias("clean"))
 
 
-@query("sanitize", r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(content || '   ' || chr(10) || chr(10) || chr(10) || chr(10) || 'end' || chr(7), '[^\S\n]+(\n|$)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(7))) AS key FROM docs WHERE NOT regexp_matches(content, '[\x00-\x08\x0B-\x1F\x7F-\x9F]')")
+@query("sanitize", r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(content || chr(13) || 'a' || chr(8203) || chr(133) || 'b   ' || chr(10) || chr(10) || chr(10) || chr(10) || 'end' || chr(7), '[\x00-\x08\x0B\x0C\x0E-\x1F]|\p{Cf}|[\x{7F}-\x{9F}]|\p{Co}', '', 'g'), '\r\n|\r', chr(10), 'g'), '[ \t]+(\n|$)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[\s\x{A0}\x{2000}-\x{200A}\x{3000}]+', ''), '[\s\x{A0}\x{2000}-\x{200A}\x{3000}]+$', '')) AS key FROM docs")
 def sanitize(t):
-    d = t.docs.where(~F.col("content").rlike(r"[\x00-\x08\x0B-\x1F\x7F-\x9F]"))
-    return d.select("doc_id", F.md5(X.sanitise(F.concat("content", F.lit("   \n\n\n\nend\x07")))).alias("key"))
+    return t.docs.select("doc_id", F.md5(X.sanitise(F.concat("content", F.lit("\ra\u200b\x85b   \n\n\n\nend\x07")))).alias("key"))
 
 
 @query("paragraph_counts", r"""SELECT doc_id, CASE WHEN len(w) < 5 OR total / greatest(1, len(w)) > 400 THEN len(n) ELSE len(w) END AS paragraphs FROM (SELECT doc_id, w, n, coalesce(list_sum(list_transform(w, lambda p: length(p))), 0) AS total FROM (SELECT doc_id,
@@ -239,10 +236,12 @@ def calibrate(t):
     return t.read("conversations").select("conv_id", "turn", X.calibrated(text).alias("c")).select("conv_id", "turn", "c.*")
 
 
-@query("chunk_score", r"""SELECT chunk_id, round(0.5::DOUBLE + 0.4::DOUBLE * q + 0.10::DOUBLE * e, 6) AS score FROM (SELECT chunk_id, contains(text, 'the')::INT + contains(text, 'and')::INT AS q, contains(text, 'token')::INT AS e FROM chunk_rows)""",
-       chunk_rows="SELECT doc_id, doc_id || '_' || lpad(((rn - 1) // 5 + 1)::VARCHAR, 4, '0') AS chunk_id, string_agg(s, '' ORDER BY rn) AS text FROM sents WHERE doc_id NOT IN (SELECT doc_id FROM docs WHERE regexp_matches(content, '(^|\\n)\\s*(#|[1-9•])')) GROUP BY doc_id, (rn - 1) // 5", **PARTS)
+@query("chunk_score", r"""SELECT chunk_id, round(0.5::DOUBLE + 0.4::DOUBLE * q + 0.10::DOUBLE * e + CASE WHEN q + e > 0 AND regexp_matches(text, '(?m)^\s*(#{1,6}\s+)?([①-⑩]|[1-9][0-9]?([.)）]\s|、)|[•·▪▸]\s|第[一二三四五六七八九十百]+[章節項])') THEN 0.25::DOUBLE ELSE 0 END, 6) AS score FROM (SELECT chunk_id, text, contains(text, 'the')::INT + contains(text, 'and')::INT AS q, contains(text, 'token')::INT AS e FROM chunk_rows)""",
+       chunk_rows="SELECT doc_id, doc_id || '_' || lpad(((rn - 1) // 5 + 1)::VARCHAR, 4, '0') AS chunk_id, CASE WHEN doc_id % 9 = 0 THEN '1. ' ELSE '' END || string_agg(s, '' ORDER BY rn) AS text FROM sents GROUP BY doc_id, (rn - 1) // 5", **PARTS)
 def chunk_score(t):
-    c = X.chunks(t.docs.where(~F.col("content").rlike(r"(^|\n)\s*(#|[1-9•])")), "doc_id", "content")
+    """Chunks of all documents; those of every ninth are made enumerations, which earn the bonus."""
+    text = F.concat(F.when(F.col("doc_id") % 9 == 0, "1. ").otherwise(""), "text")
+    c = X.chunks(t.docs, "doc_id", "content").withColumn("text", text)
     return c.select("chunk_id", F.round(R.chunk_score(F.lit(0.5), R.hits(F.col("text"), ["the", "and"]), R.hits(F.col("text"), ["token"]), F.col("text")), 6).alias("score"))
 
 
@@ -328,11 +327,11 @@ def registry_sync(t):
     return D.sync_registry(kb("kg_id = 1", True).unionByName(kb("kg_id = 3", False)), kb("is_public", True))
 
 
-ENT = {"raw_entities": "SELECT row_number() OVER (ORDER BY c_custkey) AS seq, CASE WHEN c_custkey % 3 = 0 THEN 'AI' WHEN c_custkey % 3 = 1 THEN 'Artificial Intelligence' ELSE c_name END AS name, 'inst' || (c_custkey % 2) AS instance_id, c_nationkey AS degree FROM customer WHERE c_custkey < 60"}
+ENT = {"raw_entities": "SELECT row_number() OVER (ORDER BY c_custkey) AS seq, CASE WHEN c_custkey % 3 = 0 THEN 'AI' WHEN c_custkey % 3 = 1 THEN 'Artificial Intelligence' ELSE c_name END AS name, 'inst' || (c_custkey % 2) AS instance_id, c_nationkey AS degree FROM customer"}
 
 
 def _entities(t):
-    c = t.read("customer").where("c_custkey < 60")
+    c = t.read("customer")
     name = F.when(F.col("c_custkey") % 3 == 0, "AI").when(F.col("c_custkey") % 3 == 1, "Artificial Intelligence").otherwise(F.col("c_name"))
     return c.select(F.col("c_custkey").alias("seq"), name.alias("name"), F.concat(F.lit("inst"), F.col("c_custkey") % 2).alias("instance_id"), F.col("c_nationkey").alias("degree"))
 

@@ -66,15 +66,15 @@ def valid_times(t):
     return t.read("events").select("event_id", H.valid_time(raw).alias("ok"))
 
 
-@query("fact_sentences", "SELECT subject || CASE rel_type WHEN 'USES' THEN ' 使用 ' WHEN 'REQUIRES' THEN ' 需要 ' ELSE ' 產出 ' END || object || '。' AS sentence, count(*) AS n FROM edges WHERE kg_id = 2 GROUP BY ALL")
+@query("fact_sentences", "SELECT subject || CASE rel_type WHEN 'USES' THEN ' 使用 ' WHEN 'REQUIRES' THEN ' 需要 ' ELSE ' 產出 ' END || object || '。' AS sentence, count(*) AS n FROM edges GROUP BY ALL")
 def fact_sentences(t):
-    s = t.edges.where("kg_id = 2").select(R.sentence_of(G.fact_text()).alias("sentence"))
+    s = t.edges.select(R.sentence_of(G.fact_text()).alias("sentence"))
     return s.groupBy("sentence").agg(F.count("*").alias("n"))
 
 
-@query("fact_entities", "SELECT DISTINCT unnest([subject, object]) AS name FROM edges WHERE kg_id = 2")
+@query("fact_entities", "SELECT DISTINCT unnest([subject, object]) AS name FROM edges")
 def fact_entities(t):
-    return t.edges.where("kg_id = 2").select(F.explode(R.entity_names(G.fact_text())).alias("name")).distinct()
+    return t.edges.select(F.explode(R.entity_names(G.fact_text())).alias("name")).distinct()
 
 
 @query("fact_render_count", f"SELECT count(DISTINCT {FACT_SQL}) AS n FROM edges")

@@ -8,6 +8,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.session import materialise
+
 
 class Tables:
     """Lazy tables of one folder. Nothing is collected or kept here but plans."""
@@ -40,7 +42,8 @@ class Tables:
     @cached_property
     def edges(self) -> DataFrame:
         g = self.facts_raw.groupBy("kg_id", "subject", "rel_type", "object", "source_doc_id").agg(F.count("*").alias("confidence"), F.min("ts").alias("created_at"), F.max("ts").alias("hi"))
-        return g.select("kg_id", "subject", F.lit("組織").alias("subject_type"), "rel_type", F.lower("rel_type").alias("verb"), "object", F.lit("工具").alias("object_type"), "source_doc_id", "confidence", "created_at", F.when(F.col("confidence") > 1, F.col("hi")).alias("updated_at"))
+        edges = g.select("kg_id", "subject", F.lit("組織").alias("subject_type"), "rel_type", F.lower("rel_type").alias("verb"), "object", F.lit("工具").alias("object_type"), "source_doc_id", "confidence", "created_at", F.when(F.col("confidence") > 1, F.col("hi")).alias("updated_at"))
+        return materialise(edges, "edges")  # a store's table: written once, read by each use
 
     @cached_property
     def entities(self) -> DataFrame:

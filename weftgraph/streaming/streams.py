@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.constants import RATE_LIMIT, RATE_WINDOW
+from weftgraph.operators.services import VersionedTable
 from weftgraph.operators.store import EDGE_KEY, merge_edges, merge_triples
 from weftgraph.sources.files import parsed
 
@@ -84,20 +85,22 @@ def rate_limit_stream(events: DataFrame, limit: int = RATE_LIMIT, window: float
 
 
 def upsert_edges(triples: DataFrame, table: str, checkpoint: str):
-    """Start a stream that merges triple rows into a versioned edge table under `table`.
+    """Start a stream that merges triple rows into a `VersionedTable` of edges under `table`.
 
-    Each micro-batch writes the merged table as the next version and then the
-    pointer; a batch that is repeated after a failure writes the same version
-    again, so counters are not added twice.
+    Version n holds all batches up to n; the highest whole one is current, so
+    readers need no pointer. A batch that is repeated after a failure writes
+    its version again, so counters are not added twice; versions before the
+    last two go.
     """
     columns = [*EDGE_KEY, "verb", "confidence", "created_at", "updated_at"]
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
+        edges = VersionedTable(batch.sparkSession, table)
         delta = merge_triples(batch).select(*columns)
         if epoch > 0:
-            delta = merge_edges(spark.read.parquet(f"{table}/v{epoch - 1}"), delta)
-        delta.select(*columns).write.mode("overwrite").parquet(f"{table}/v{epoch}")
+            delta = merge_edges(edges.read(epoch - 1), delta)
+        edges.write(delta.select(*columns), version=epoch)
+        edges.vacuum(keep=2)
 
     return triples.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
