@@ -68,3 +68,18 @@ COS_FLOOR, MATCH_COS, MATCH_TOP = 0.01, 0.7, 5
 QUERY_WEIGHT, SEARCH_MIN = 0.8, 0.35
 CLUSTER_COS, CLUSTER_MIN, CLUSTER_CONCEPTS = 0.35, 2, 15
 RATE_LIMIT, RATE_WINDOW = 20, 60
+ORPHANS_AT_ONCE = 5000
+# fixed values: entity types that a graph without documents' concepts is routed by
+ROUTING_TYPES = ("概念", "技術", "算法", "方法", "框架", "模型", "工具")
+# fixed values: least scores by use
+THRESHOLDS = {"route": 0.05, "similar": 0.28, "search": 0.35, "classify": 0.05, "auto": 0.30}
+# fixed values: characters of a full-text query that need a backslash, and what an answer without information holds
+QUERY_SPECIAL = r"""[+\-&|!(){}\[\]^"~*?:\\/]"""
+NOTHING_FOUND = "找不到相關資訊"
+# fixed values: bounds (least, most) and defaults of request fields; texts and lists by their length
+REQUESTS = {
+    "search": {"text": (1, 4000, None), "top_k": (1, 50, 10), "min_score": (0.0, 1.0, 0.0)},
+    "query": {"question": (1, 4000, None), "top_k": (1, 20, 5), "max_content_chars": (100, 10000, 2000)},
+    "message": {"content": (0, 20000, "")},
+    "chat": {"question": (1, 4000, None), "top_k": (1, 10, 5), "max_chars_per_doc": (500, 12000, 2000), "svo_hops": (1, 3, 2), "history": (0, 50, [])},
+}

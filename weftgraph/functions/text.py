@@ -146,10 +146,10 @@ def grounded(s: Column, o: Column, source: Column) -> Column:
     return low.contains(F.lower(s)) | low.contains(F.lower(o))
 
 
-def parse_lines(df: DataFrame, text_col: str, keys: tuple[str, ...]) -> DataFrame:
+def parse_lines(df: DataFrame, text_col: str, keys: tuple[str, ...], rels: tuple[str, ...] = C.REL_TYPES) -> DataFrame:
     """Valid triples of the lines of each text, the first of each (subject, rel_type, object) per key."""
     rows = df.select(*keys, F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "raw"))
-    rows = rows.select(*keys, "line", triple_of(pipe_fields(F.col("raw"))).alias("t")).where("t is not null").select(*keys, "line", "t.*")
+    rows = rows.select(*keys, "line", triple_of(pipe_fields(F.col("raw")), rels=rels).alias("t")).where("t is not null").select(*keys, "line", "t.*")
     rows = rows.where(valid_triple(F.col("subject"), F.col("verb"), F.col("object")))
     first = F.row_number().over(W.partitionBy(*keys, "subject", "rel_type", "object").orderBy("line"))
     return rows.withColumn("rn", first).where("rn = 1").drop("rn", "line")

@@ -16,6 +16,7 @@ from concurrent.futures import TimeoutError as FutureTimeout
 from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.functions import constants as C
+from weftgraph.functions.providers import json_objects  # noqa: F401
 from weftgraph.sources.files import write_json
 
 
@@ -104,6 +105,10 @@ class Breaker:
     def open(self, name: str) -> bool:
         return name in self._failed and self.clock() - self._failed[name] < self.seconds
 
+    def trip(self, name: str) -> None:
+        """Count an instance as offline from now on."""
+        self._failed[name] = self.clock()
+
     def call(self, name: str, work: Callable):
         if self.open(name):
             raise ConnectionError(f"{name} is offline")
@@ -161,25 +166,6 @@ def backoff(attempt: int, limited: bool = False, rng: random.Random | None = Non
     return (20.0 + 10 * attempt if limited else float(2**attempt)) + jitter
 
 
-def json_objects(text: str) -> list[dict]:
-    """Objects in a model's answer: the whole text, else its outer brackets, else every top-level braced part."""
-    for part in (text, text[text.find("[") : text.rfind("]") + 1] if "[" in text else ""):
-        try:
-            got = json.loads(part)
-            return [x for x in (got if isinstance(got, list) else [got]) if isinstance(x, dict)]
-        except ValueError:
-            continue
-    out, at, read = [], text.find("{"), json.JSONDecoder().raw_decode
-    while at >= 0:
-        try:
-            got, at = read(text, at)
-            out.append(got)
-        except ValueError:
-            at += 1
-        at = text.find("{", at)
-    return out
-
-
 class Ontology:
     """Entity and relation types: the fixed ones and those added globally or per graph, at most `most` per call."""
 
@@ -303,3 +289,179 @@ def rag_prompt(question: str, contexts: list[str], history: list[tuple[str, str]
     past = "".join(f"{role}: {text}\n" for role, text in list(history)[-2 * turns :])
     docs = "".join(f"[文件 {i}]\n{c[:share]}\n\n" for i, c in enumerate(contexts, 1))
     return f"{past}{docs}問題：{question}\n"
+
+
+def federated_query(shards: dict[str, Callable[[list[str]], list[str]]], terms: list[str], expand: Callable[[list[str]], list[str]], local: set[str], seconds: float = 5.0, breaker: Breaker | None = None) -> tuple[list[str], list[dict]]:
+    """(facts, results by shard): the expanded terms are asked of all shards at once.
+
+    Facts are first seen over the shards that answer, in the order given; a
+    shard that is late, offline or fails has its status and no facts. A remote
+    shard that failed or was late counts as offline for a while.
+    """
+    if not shards or not terms:
+        return [], []
+    guard = breaker or Breaker()
+    asked = expand(terms)
+    results = run_shards({name: (lambda f=f: f(asked)) for name, f in shards.items()}, seconds, guard)
+    for r in results:
+        if r["status"] == "timeout" and r["shard"] not in local:
+            guard.trip(r["shard"])
+    return [f for r in results if r["status"] == "ok" for f in r["facts"]], results
+
+
+def federation_status(registry: list[dict], local: set[str], breaker: Breaker, asked: set[str], fetched_at: float | None = None) -> dict:
+    """Every known shard with its counts and one of local, online, offline, pending; pending ones were not asked yet."""
+    rows = []
+    for skill in registry:
+        kb = skill["kb_id"]
+        status = "local" if kb in local else "offline" if breaker.open(kb) else "online" if kb in asked else "pending"
+        rows.append({"kb_id": kb, "name": skill.get("name"), "instance_id": skill.get("instance_id"), "is_local": kb in local, "status": status, "entity_count": skill.get("entity_count", 0), "relation_count": skill.get("relation_count", 0)})
+    return {"last_fetched": fetched_at, "remote_skill_count": len(registry), "shards": rows}
+
+
+class Registry:
+    """A remote registry behind a cache: fresh values at once, stale ones at once too while one thread fetches anew; failures keep the old."""
+
+    def __init__(self, fetch: Callable[[], list[dict]], seconds: float = 1800.0, clock: Callable[[], float] = time.monotonic):
+        self.fetch, self.seconds, self.clock = fetch, seconds, clock
+        self.value, self.at, self._lock, self._thread = None, None, threading.Lock(), None
+
+    def _load(self) -> None:
+        try:
+            self.value, self.at = self.fetch(), self.clock()
+        except Exception:  # an unreachable registry leaves what is known; the next call tries again
+            self.value = self.value or []
+
+    def get(self) -> list[dict]:
+        with self._lock:
+            if self.value is None:
+                self._load()
+            elif (self.at is None or self.clock() - self.at >= self.seconds) and not (self._thread and self._thread.is_alive()):
+                self._thread = threading.Thread(target=self._load, daemon=True)
+                self._thread.start()
+        return self.value
+
+    def close(self) -> None:
+        if self._thread:
+            self._thread.join(1.0)
+
+
+def sync_subscriptions(store: Subscriptions, fetch: Callable[[dict], int], at: str, seconds: float = 60.0, most: int = 5) -> list[dict]:
+    """Fetch all due subscriptions, at most `most` at once; each gets (kb_id, status, rows) and its record the time or the error.
+
+    `fetch` copies one graph's facts into the store and returns their number.
+    """
+    due, out = store.due(), []
+    with ThreadPoolExecutor(most) as pool:
+        began: dict[str, float] = {}
+
+        def work(row: dict) -> int:
+            began[row["kb_id"]] = time.monotonic()
+            return fetch(row)
+
+        jobs = [(r, pool.submit(work, r)) for r in due]
+        for row, job in jobs:
+            kb = row["kb_id"]
+            try:
+                while not job.done():  # the limit counts from the start of the work, not of the wait
+                    left = seconds - (time.monotonic() - began[kb]) if kb in began else 0.05
+                    if left <= 0:
+                        raise FutureTimeout
+                    try:
+                        job.result(min(left, 0.05))
+                    except FutureTimeout:
+                        if job.done():
+                            raise
+                rows = job.result()
+                store.set_status(kb, "active", at=at)
+                out.append({"kb_id": kb, "status": "ok", "rows": rows})
+            except FutureTimeout:
+                store.set_status(kb, "error", f"no answer within {seconds:.0f} s")
+                out.append({"kb_id": kb, "status": "timeout", "rows": 0})
+            except Exception as e:
+                store.set_status(kb, "error", f"{type(e).__name__}: {e}"[:200])
+                out.append({"kb_id": kb, "status": "error", "rows": 0})
+    return out
+
+
+class Watchers:
+    """Running file streams by folder: add, stop, and what each is doing."""
+
+    def __init__(self, start: Callable[[str], object]):
+        self._start, self._queries = start, {}
+
+    def add(self, folder: str) -> bool:
+        if folder in self._queries and self._queries[folder].isActive:
+            return False
+        self._queries[folder] = self._start(folder)
+        return True
+
+    def stop(self, folder: str | None = None) -> list[str]:
+        gone = [f for f in self._queries if folder in (None, f)]
+        for f in gone:
+            self._queries.pop(f).stop()
+        return gone
+
+    def status(self) -> dict[str, dict]:
+        return {f: {"active": q.isActive, "message": q.status.get("message") if hasattr(q, "status") else None} for f, q in self._queries.items()}
+
+
+def cluster_plan(items: list[dict], propose: Callable[[list[dict]], list[dict]], smallest: int = 1) -> list[dict]:
+    """A preview of groups for items (id, title): the provider sees short numbers and proposes (name, members); what it leaves out is one more group.
+
+    Members that are no numbers of items or were used before are dropped.
+    """
+    proposals = propose([{"id": n, "title": i["title"]} for n, i in enumerate(items)])
+    free, out = set(range(len(items))), []
+    for p in proposals:
+        mine = [n for n in dict.fromkeys(p.get("members", [])) if isinstance(n, int) and n in free]
+        if len(mine) >= smallest and str(p.get("name", "")).strip():
+            free -= set(mine)
+            out.append({"name": str(p["name"]).strip(), "ids": [items[n]["id"] for n in mine]})
+    if free:
+        out.append({"name": "", "ids": [items[n]["id"] for n in sorted(free)]})
+    return out
+
+
+def confirm_plan(plan: list[dict], create: Callable[[str], object], link: Callable[[object, list], object]) -> list[tuple[str, object]]:
+    """Create a graph for each named group of a confirmed plan and link its documents; (name, graph) in order."""
+    made = []
+    for group in plan:
+        if group["name"] and group["ids"]:
+            kg = create(group["name"])
+            link(kg, group["ids"])
+            made.append((group["name"], kg))
+    return made
+
+
+def world_prompt(question: str, facts: list[str], docs: list[tuple[str, str]], total: int = 4000) -> str:
+    """Question, facts by shard order and titled passages for an answer over several graphs, within the character budget."""
+    lines, left = [], total
+    for f in facts:
+        if len(f) + 1 > left:
+            break
+        lines.append(f"- {f}")
+        left -= len(f) + 1
+    share = left // max(1, len(docs))
+    passages = "".join(f"《{title}》\n{text[:share]}\n\n" for title, text in docs)
+    return "\n".join(lines) + f"\n\n{passages}問題：{question}\n"
+
+
+def reclassify(edges: list[dict], decide: Callable[[list[dict]], list[str]], known: tuple[str, ...] = C.REL_TYPES, size: int = 10, dry: bool = False) -> tuple[list[dict], int]:
+    """(changes, batches): relation types that a provider gives to edges (verb, ...), `size` at a time; unknown answers change nothing.
+
+    With `dry` the changes are counted and not returned.
+    """
+    changes, batches = [], 0
+    for at in range(0, len(edges), size):
+        part = edges[at : at + size]
+        batches += 1
+        for e, new in zip(part, decide(part), strict=False):
+            if new in known and new != e.get("rel_type"):
+                changes.append(e | {"new_type": new})
+    return ([] if dry else changes), batches
+
+
+def every(hours: float, last: float | None, now: float) -> bool:
+    """Whether a scheduled job is due."""
+    return last is None or now - last >= hours * 3600

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftgraph.plans import build_queries, graph_queries, registry, retrieval_queries, service_queries  # noqa: F401  (they register)
+from weftgraph.plans import build_queries, graph_queries, operations_queries, registry, retrieval_queries, service_queries  # noqa: F401  (they register)
 
 
 def queries() -> dict:

@@ -11,6 +11,7 @@ from weftgraph.operators import history as H
 from weftgraph.operators import retrieval as R
 from weftgraph.operators import store as S
 from weftgraph.operators.federation import best_degree, quota
+from weftgraph.operators.routing import visible
 from weftgraph.plans.registry import query
 
 NOW = "timestamp'2002-01-01 00:00:00'"
@@ -66,7 +67,7 @@ def point_lookup(t):
 
 @query("public_kgs", "SELECT kg_id, name FROM kgs WHERE is_public OR owner_id = 'owner-1'")
 def public_kgs(t):
-    return t.kgs.where(F.col("is_public") | (F.col("owner_id") == "owner-1")).select("kg_id", "name")
+    return visible(t.kgs, "owner-1").select("kg_id", "name")
 
 
 @query("name_contains", "SELECT kg_id, name FROM entities WHERE contains(lower(name), 'lier-1') OR contains(lower(name), 'part-77')")
@@ -324,14 +325,6 @@ def chunk_ids(t):
     return S.merge_triples(t.facts_raw).select(*KEY, F.array_join("source_chunk_ids", ",").alias("chunk_ids"))
 
 
-@query("effective_sync", "SELECT owner_id, name, interest, professional FROM links WHERE owner_id <> 3")
-def effective_sync(t):
-    implicit = t.links.where("owner_id <> 3").select("owner_id", "name", "interest", "professional")
-    effective = t.links.select("owner_id", "name", F.lit(0.5).alias("interest"), F.lit(0.5).alias("professional"))
-    merged = S.upsert(effective, implicit, ["owner_id", "name"])
-    return merged.join(implicit.select("owner_id", "name"), ["owner_id", "name"], "left_semi")
-
-
 @query("link_remove", "SELECT kg_id, doc_id FROM kg_documents WHERE doc_id % 5 <> 0")
 def link_remove(t):
     return S.without(S.link(t.kg_documents, t.kg_documents), t.kg_documents.where("doc_id % 5 = 0"), ["kg_id", "doc_id"])
@@ -360,11 +353,6 @@ def get_or_create(t):
     return S.get_or_create(c.where("vec_id < 100").drop("vec_id"), c.where("vec_id % 3 = 0").drop("vec_id"))
 
 
-@query("clear_relations", f"SELECT {COLS} FROM edges WHERE kg_id <> 4")
-def clear_relations(t):
-    return t.edges.where("kg_id <> 4").select(*KEY)
-
-
 @query("query_facts", f"""SELECT *, {FACT_SQL} AS fact FROM (SELECT *, row_number() OVER (ORDER BY score DESC, confidence DESC, subject, subject_type, rel_type, verb, object, object_type) AS rank
   FROM (SELECT kg_id, subject, subject_type, rel_type, verb, object, object_type, confidence, docs, round(confidence * {DECAY_SQL}, 6) AS score FROM best))""", **HOP)
 def query_facts(t):
@@ -412,15 +400,3 @@ def best_degree_query(t):
 def explore_entities(t):
     hit = G.out_degree(G.names_containing(t.entities, ["er-2"]), t.edges)
     return hit.withColumn("rn", F.row_number().over(W.partitionBy("kg_id").orderBy(F.desc("degree"), "name"))).where("rn <= 20").select("kg_id", "name", "degree")
-
-
-@query("refresh_concepts", "SELECT kg_id, name, degree FROM (SELECT *, row_number() OVER (PARTITION BY kg_id ORDER BY degree DESC, name) AS rn FROM (SELECT kg_id, name, count(*) AS degree FROM (SELECT kg_id, object AS name FROM edges) GROUP BY ALL)) WHERE rn <= 50")
-def refresh_concepts(t):
-    tools = t.entities.where(F.col("type").isin("概念", "算法", "技術", "方法", "工具", "框架", "模型"))
-    d = G.degree(t.edges).join(tools.select("kg_id", "name"), ["kg_id", "name"], "left_semi")
-    return d.withColumn("rn", F.row_number().over(W.partitionBy("kg_id").orderBy(F.desc("degree"), "name"))).where("rn <= 50").drop("rn")
-
-
-@query("subscription_merge", "SELECT 'inst-2::' || kg_id AS kg_id, subject, rel_type, object, source_doc_id, confidence FROM edges WHERE kg_id = 3")
-def subscription_merge(t):
-    return t.edges.where("kg_id = 3").select(F.concat(F.lit("inst-2::"), "kg_id").alias("kg_id"), *G.KEY, "confidence")

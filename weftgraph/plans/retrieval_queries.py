@@ -353,12 +353,6 @@ def union_shards(t):
     return D.shard_union(f).select("fact", "shard")
 
 
-@query("federated_facts", "SELECT kg_id, status, count(DISTINCT fact) AS facts FROM (SELECT kg_id, CASE WHEN kg_id = 2 THEN 'timeout' ELSE 'ok' END AS status, CASE WHEN kg_id <> 2 THEN subject || '>' || object END AS fact FROM edges) GROUP BY ALL")
-def federated_facts(t):
-    f = t.edges.select("kg_id", F.when(F.col("kg_id") == 2, "timeout").otherwise("ok").alias("status"), F.concat("subject", F.lit(">"), "object").alias("fact"))
-    return f.groupBy("kg_id", "status").agg(F.countDistinct(F.when(F.col("status") == "ok", F.col("fact"))).alias("facts"))
-
-
 @query("leftover_items", "SELECT doc_id FROM docs EXCEPT SELECT doc_id FROM kg_documents")
 def leftover_items(t):
     return t.docs.select("doc_id").exceptAll(t.kg_documents.select("doc_id")).distinct()
@@ -375,9 +369,3 @@ def hybrid_context(t):
 @query("eval_averages", "SELECT quality AS mode, round(avg(toxic), 2) AS toxic, count(*) AS n FROM labels GROUP BY quality")
 def eval_averages(t):
     return t.read("labels").groupBy(F.col("quality").alias("mode")).agg(F.round(F.avg("toxic"), 2).alias("toxic"), F.count("*").alias("n"))
-
-
-@query("ingest_summary", "SELECT count(*) AS total, count(*) FILTER (length(content) >= 100) AS ok, count(*) FILTER (length(content) < 100) AS fail, round(100.0::DOUBLE * count(*) FILTER (length(content) < 100) / count(*), 2) AS fail_percent FROM docs")
-def ingest_summary(t):
-    bad = F.length("content") < 100
-    return t.docs.agg(F.count("*").alias("total"), F.count_if(~bad).alias("ok"), F.count_if(bad).alias("fail"), F.round(100.0 * F.count_if(bad) / F.count("*"), 2).alias("fail_percent"))

@@ -145,12 +145,6 @@ def history_ranks(t):
     return t.read("conversations").select("conv_id", "turn", F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role")).cast("long").alias("rank"))
 
 
-@query("graph_vector_write", "SELECT name, vec_id % 2 = 0 AS has_graph FROM concepts")
-def graph_vector_write(t):
-    new = t.concepts.where("vec_id % 2 = 0").select("name", F.col("q_vector").alias("g"))
-    return t.concepts.select("name").join(new, "name", "left").select("name", F.col("g").isNotNull().alias("has_graph"))
-
-
 @query("relation_counts", "SELECT rel_type, count(*) AS n, sum(confidence)::BIGINT AS confidence FROM edges GROUP BY rel_type")
 def relation_counts(t):
     return t.edges.groupBy("rel_type").agg(F.count("*").alias("n"), F.sum("confidence").alias("confidence"))

@@ -9,6 +9,7 @@ import re
 import uuid
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,70 @@ def read_pptx(data: bytes) -> str:
     return "\n\n".join(pages)
 
 
+_STREAM = re.compile(rb"<<(.{0,2000}?)>>\s*stream\r?\n", re.S)
+_ESCAPES = {ord("n"): b"\n", ord("r"): b"\r", ord("t"): b"\t", ord("b"): b"\b", ord("f"): b"\f"}
+
+
+def _streams(data: bytes):
+    """Content of the streams of a PDF, inflated where they say so; images and broken ones are left out."""
+    for m in _STREAM.finditer(data):
+        end = data.find(b"endstream", m.end())
+        raw = data[m.end() : end if end >= 0 else len(data)]
+        if b"/Image" in m[1] or b"/FontFile" in m[1]:
+            continue
+        if b"/FlateDecode" in m[1]:
+            try:
+                raw = zlib.decompressobj().decompress(raw)
+            except zlib.error:
+                continue
+        yield raw
+
+
+def _pdf_string(token: bytes) -> str:
+    """The text of one string of a content stream: (...) with escapes, or <hex>; two-byte strings with a mark are UTF-16."""
+    if token[:1] == b"<":
+        digits = re.sub(rb"[^0-9A-Fa-f]", b"", token)
+        raw = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    else:
+        raw = re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() and m[1][0] < 56 else b"" if m[1][-1:] == b"\n" else _ESCAPES.get(m[1][0], m[1]), token[1:-1], flags=re.S)
+    return raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("latin-1")
+
+
+_TEXT = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]+>|\[|\]|T[dDmJj*]|ET|'|\"|-?\d+\.?\d*", re.S)
+
+
+def read_pdf(data: bytes) -> str:
+    """The text that a PDF's content streams show, line by line, for fonts whose codes are characters.
+
+    Strings shown by Tj, TJ, ' and \" are joined; a move to another line ends
+    one, and a wide gap in TJ is a blank. Encrypted files, fonts with codes of
+    their own and scanned pages give little or nothing: the caller reports them.
+    """
+    if b"/Encrypt" in data:
+        raise ValueError("encrypted PDF")
+    lines, line = [], []
+    for stream in _streams(data):
+        if not re.search(rb"\bBT\b", stream):
+            continue
+        held: list[str] = []
+        for token in _TEXT.findall(stream):
+            if token[:1] in b"(<":
+                held.append(_pdf_string(token))
+            elif token in (b"Tj", b"TJ", b"'", b'"'):
+                if token in (b"'", b'"'):
+                    lines.append("".join(line))
+                    line = []
+                line += held
+                held = []
+            elif token in (b"Td", b"TD", b"T*", b"Tm", b"ET"):
+                lines.append("".join(line))
+                line, held = [], []
+            elif held and token[:1] == b"-" and float(token) < -200:
+                held.append(" ")
+    lines.append("".join(line))
+    return "\n".join(x.strip() for x in lines if x.strip())
+
+
 def parse(path: str, data: bytes) -> tuple[str | None, str | None]:
     """(text, error) of one file; formats without a parser here are errors, not guesses."""
     suffix = os.path.splitext(path)[1].lower()
@@ -69,6 +134,10 @@ def parse(path: str, data: bytes) -> tuple[str | None, str | None]:
             text = read_docx(data)
         elif suffix == ".pptx":
             text = read_pptx(data)
+        elif suffix == ".pdf":
+            text = read_pdf(data)
+            if len(text.strip()) < 50 and not re.search(rb"\bBT\b", b"".join(_streams(data))):
+                return None, "no text in the PDF: scanned pages need OCR"
         elif suffix in SUFFIXES:
             return None, f"no parser for {suffix} here"
         else:
