@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,8 +14,21 @@ from weftgraph.session import discard, materialise, scratch_path, ship_package,
 #: A word of every contract: a run of code points other than blank and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
-#: Code points of texts handed to a function at once, beyond one text: texts may be long.
-TEXT_BATCH = 8 << 20
+#: Rows of an Arrow batch, where the session has Spark's default, and bytes of texts handed to a function at once, beyond one text.
+ARROW_KEY, ARROW_DEFAULT, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+TEXT_BATCH = 4 << 20
+
+
+def python_ready(spark: SparkSession) -> None:
+    """Before Python stages: workers can import this package, and batches of whole texts stay small.
+
+    The number of rows of a batch is a setting that Spark reads when the plan
+    runs, so it can't be put back after the call: a session that still has the
+    default of 10,000 is set to 1,000, one that was given a value keeps it.
+    """
+    ship_package(spark)
+    if spark.conf.get(ARROW_KEY) == ARROW_DEFAULT:
+        spark.conf.set(ARROW_KEY, ARROW_ROWS)
 
 
 def per_text(df: DataFrame, text: Column, keep: list[str], fields: list[tuple[str, str]], work: Callable[[], Callable[[list], list[pa.Array]]], where: str | None = None) -> DataFrame:
@@ -32,7 +45,7 @@ def per_text(df: DataFrame, text: Column, keep: list[str], fields: list[tuple[st
     names = [n for n, _ in fields]
     if where is None and set(names) & set(keep):
         raise ValueError(f"result columns {sorted(set(names) & set(keep))} would hide columns of the input: rename those first")
-    ship_package(df.sparkSession)
+    python_ready(df.sparkSession)
     given = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], text.alias("t"))
     out = T.StructType(given.schema.fields[:-1] + ([] if where else [T.StructField(f"f{i}", T._parse_datatype_string(k)) for i, (_, k) in enumerate(fields)]))
     n = len(keep)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from weftgraph.llm.common import few, materialise, row_hash, ship_package, word_count
+from weftgraph.llm.common import few, materialise, row_hash, python_ready, word_count
 
 #: Sources that one plan may have: it is computed on the driver and broadcast. More are refused, not cut.
 MOST_SOURCES = 200_000
@@ -120,7 +120,7 @@ class Plan:
     @staticmethod
     def _ends(rows: DataFrame) -> DataFrame:
         """(row, copies, extra): of the rows in the bucket where a source's rest ends, how many copies are taken."""
-        ship_package(rows.sparkSession)
+        python_ready(rows.sparkSession)
         groups = rows.groupBy("p_source", "gap", "row", "u", "size").agg(F.count("*").alias("copies"))
 
         def choose(group: pa.Table) -> pa.Table:

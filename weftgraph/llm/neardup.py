@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import materialise, per_text, ship_package, temporary, without_rows
+from weftgraph.llm.common import materialise, per_text, python_ready, temporary, without_rows
 from weftgraph.llm.similar import similar_components
 from weftgraph.operators.components import connected_components
 from weftgraph.operators.joins import spread_join
@@ -139,7 +139,7 @@ def fingerprint_links(distinct: DataFrame, budget: int = 2) -> DataFrame:
     (`split_groups`), and its parts again, until all are small; no pair is
     lost, however dense the fingerprints.
     """
-    ship_package(distinct.sparkSession)
+    python_ready(distinct.sparkSession)
     blocks = _blocks(budget)
     mask = [((1 << bits) - 1) << shift for shift, bits in blocks]
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in mask]

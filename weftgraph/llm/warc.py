@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import few, materialise, scratch_path, ship_package
+from weftgraph.llm.common import few, materialise, scratch_path, python_ready
 
 #: Payloads of fewer bytes are never revisits.
 REVISIT_BYTES = 1000
@@ -217,7 +217,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
     task that is repeated after an executor is lost, however its rows are cut,
     leaves files that no manifest names.
     """
-    ship_package(records.sparkSession)
+    python_ready(records.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -284,7 +284,7 @@ def read_archives(spark: SparkSession, path: str, glob: str = "*.warc.gz") -> Da
     reads; each is one cell, so up to 2 GB. kind is record or gap; a gap has
     its reason and no other field.
     """
-    ship_package(spark)
+    python_ready(spark)
 
     def read(batches):
         for b in batches:
@@ -298,7 +298,7 @@ def read_archives(spark: SparkSession, path: str, glob: str = "*.warc.gz") -> Da
 def read_listed(manifest: DataFrame, folder: str) -> DataFrame:
     """`read_archives` of the files in a manifest of `write_archives`, and of no other: files of attempts that failed are not read."""
     spark = manifest.sparkSession
-    ship_package(spark)
+    python_ready(spark)
 
     def read(batches):
         files, _ = _filesystem(folder)
