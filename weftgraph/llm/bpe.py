@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import per_text, python_ready, text_slices
+from weftgraph.llm.common import discard, materialise, per_text, python_ready, text_slices
 
 #: Words of the lexicon, their greatest length in bytes, unseen words that a worker remembers, and different words that a counting task holds.
 LEXICON_WORDS, WORD_BYTES, CACHE_WORDS, COUNTED_WORDS = 65_536, 48, 100_000, 200_000
@@ -363,7 +363,9 @@ def frequent_words(df: DataFrame, path: str, text_col: str, words: int = LEXICON
 
     Tasks count on their own and hand on sums, whenever COUNTED_WORDS
     different words are held, so a frequent word moves a few times a task and
-    rare ones never fill a worker. `words` rows reach the driver.
+    rare ones never fill a worker. Words are taken by classes of their count
+    (16 to a doubling), most frequent first, as long as a class fits; so at
+    most `words` rows reach the driver, and no task sorts.
     """
     odd = differing(path)
     python_ready(df.sparkSession)
@@ -385,8 +387,16 @@ def frequent_words(df: DataFrame, path: str, text_col: str, words: int = LEXICON
         yield sums()
 
     texts = df.select(F.col(f"`{text_col}`").alias("t")).where("t is not null")
-    top = texts.mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words)
-    return sorted(bytes(r["word"]) for r in top.select("word").collect())
+    counts = materialise(texts.mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).withColumn("size", F.floor(F.log2("n") * 16).cast("int")), "word-counts")
+    room, least = words, None
+    for r in counts.groupBy("size").count().orderBy(F.desc("size")).collect():  # some hundred classes at most
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["size"]
+    top = [] if least is None else counts.where(F.col("size") >= least).select("word").collect()
+    discard(counts)
+    return sorted(bytes(r["word"]) for r in top)
 
 
 def ship_lexicon(spark, model: Model, words: list[bytes]) -> str:
