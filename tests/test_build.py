@@ -19,7 +19,7 @@ def test_build_equals_a_plain_build(spark):
             found = set(re.findall(r"(\S+) (uses|requires) (\S+)", "".join(parts[at : at + 5])))
             want.update((i, s, v.upper(), o) for s, v, o in found if "none" not in (s, o))
     docs = spark.createDataFrame([(i, 0, t) for i, t in texts.items()] + [(90, 0, None), (91, 0, "")], "doc_id long, kg_id long, text string")
-    got = {tuple(r)[:4]: r["confidence"] for r in build_queries.built(docs).collect()}
+    got = {tuple(r)[:4]: r["confidence"] for r in build_queries.built(spark, docs, batches=3).collect()}
     assert got == want and {k[0] for k in got} >= {1, 3, 5}
 
 

@@ -35,17 +35,17 @@ def test_build_retries_extends_and_resumes(spark, tmp_path):
     docs = spark.createDataFrame([(1, 0, "So Alpha uses Beta here. It is fine!"), (2, 0, "boom Gamma requires Delta here!"), (3, 1, "Alpha guards Beta at night!"), (4, 1, None)], "doc_id long, kg_id long, text string")
     first = build.build_graph(store, docs.coalesce(1), Flaky).first()
     assert (first["chunks"], first["done"], first["failed"], first["new_types"]) == (3, 3, 0, ["GUARDS"])
-    edges = {(r["subject"], r["rel_type"], r["object"], r["confidence"]) for r in store.edges.read().collect()}
+    edges = {(r["subject"], r["rel_type"], r["object"], r["confidence"]) for r in store.read("edges").collect()}
     assert edges == {("Alpha", "USES", "Beta", 1), ("Gamma", "REQUIRES", "Delta", 1), ("Alpha", "GUARDS", "Beta", 1)}  # what the text doesn't name is refused
     again = build.build_graph(store, docs, Dead).first()  # nothing is left to do, so no model is asked
     assert (again["done"], again["failed"], again["edges"]) == (0, 0, 3)
     more = docs.unionByName(spark.createDataFrame([(5, 0, "Now Alpha uses Beta again!")], docs.schema))
     lost = build.build_graph(store, more, Dead).first()
     assert (lost["done"], lost["failed"], lost["rounds"]) == (0, 1, 3)
-    state = {r["doc_id"]: (r["processed"], r["attempt"], r["error"]) for r in store.progress.read().collect()}
+    state = {r["doc_id"]: (r["processed"], r["attempt"], r["error"]) for r in store.read("progress").collect()}
     assert state[5] == (False, 3, "TimeoutError: no model") and state[1][0] is True
     assert build.build_graph(store, more).first()["done"] == 1
-    assert store.edges.read().count() == 4 and {r["name"] for r in store.entities.read().collect()} == {"Alpha", "Beta", "Gamma", "Delta"}
+    assert store.read("edges").count() == 4 and {r["name"] for r in store.entities().collect()} == {"Alpha", "Beta", "Gamma", "Delta"}
 
 
 def test_route_and_classification(spark):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +15,8 @@ from weftgraph.functions import constants as C
 from weftgraph.functions import text as X
 from weftgraph.functions.providers import Language, language
 from weftgraph.operators import store as M
-from weftgraph.operators.admin import without_orphans
-from weftgraph.operators.services import VersionedTable
-from weftgraph.session import materialise, ship_package
+from weftgraph.operators.tablelog import TableLog
+from weftgraph.session import materialise, ship_package, temporary
 
 #: Rounds in which failed chunks are tried again, tries of one extraction, and relation types one run may add.
 ROUNDS, TRIES, NEW_TYPES = 3, 2, 3
@@ -70,67 +71,117 @@ def triples_of(extracted: DataFrame, keys: tuple[str, ...], rels: tuple[str, ...
     return rows.withColumns({"subject": X.normalise_name(F.col("subject")), "object": X.normalise_name(F.col("object"))}).where("subject <> '' and object <> ''").drop("text")
 
 
-class GraphStore:
-    """The tables of one build: edges, entities and the progress of chunks, each versioned under one folder."""
+EDGES = "kg_id long, subject string, rel_type string, object string, source_doc_id long, verb string, confidence long, created_at timestamp, updated_at timestamp, source_chunk_ids array<string>"
+CHUNKS = "kg_id long, doc_id long, chunk_id string, idx int, sentences array<string>, text string"
+PROGRESS = "kg_id long, doc_id long, chunk_id string, idx int, processed boolean, attempt int, error string, triples long"
+DOCUMENTS = "kg_id long, doc_id long, processed boolean, processed_at timestamp"
+TYPES = "kg_id long, name string, type string"
+
+
+def first_types(rows: DataFrame) -> DataFrame:
+    """The first type that an entity was given."""
+    return rows.groupBy("kg_id", "name").agg(F.min_by("type", F.when(F.col("type").isNotNull(), F.col("gen"))).alias("type"))
+
+
+class GraphStore(TableLog):
+    """The tables of a graph build under one commit log: edges, entity types, chunks, progress of chunks, marks of documents."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark = spark
-        self.edges, self.entities, self.progress = (VersionedTable(spark, f"{path}/{n}") for n in ("edges", "entities", "progress"))
+        tables = {
+            "edges": (EDGES, M.merge_generations), "types": (TYPES, first_types), "chunks": (CHUNKS, M.latest_rows((), ("kg_id", "doc_id"))),
+            "progress": (PROGRESS, M.latest_rows(("kg_id", "chunk_id"))), "documents": (DOCUMENTS, M.latest_rows(("kg_id", "doc_id"))),
+        }
+        super().__init__(spark, path, tables)
+
+    def entities(self) -> DataFrame:
+        """(kg_id, name, type) of all ends of edges: an entity without edges has gone."""
+        ends = self.read("edges").select("kg_id", F.explode(F.array("subject", "object")).alias("name")).distinct()
+        return ends.join(self.read("types"), ["kg_id", "name"], "left")
 
-    def read(self, name: str, schema: str) -> DataFrame:
-        table = getattr(self, name)
-        return table.read() if table.versions() else self.spark.createDataFrame([], schema)
+    def events(self) -> DataFrame:
+        """Progress events of all builds from the log: (version, event, kg_id, doc_id, chunk_idx, triples, message), a `done` after each batch."""
+        chunks = self.rows("progress").select(F.col("gen").alias("version"), F.when(F.col("processed"), "chunk_done").otherwise("error").alias("event"), "kg_id", "doc_id", F.col("idx").alias("chunk_idx"), "triples", F.col("error").alias("message"))
+        done = self.history().where("writer like 'build%'").select("version", F.lit("done").alias("event"), F.lit(None).cast("long").alias("kg_id"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("int").alias("chunk_idx"), F.get_json_object("note", "$.triples").cast("long").alias("triples"), F.col("note").alias("message"))
+        return chunks.unionByName(done)
 
 
-EDGES = "kg_id long, subject string, rel_type string, object string, source_doc_id long, verb string, confidence long, created_at timestamp, updated_at timestamp"
-PROGRESS = "chunk_id string, doc_id long, processed boolean, attempt int, error string"
+def without_known(rows: DataFrame, known: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """rows whose key is not in known; null ids are ids."""
+    k = known.select(*[F.col(c).alias(f"__{c}") for c in key])
+    return rows.join(k, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key], "left_anti")
 
 
-def build_graph(store: GraphStore, docs: DataFrame, provider: Callable[[], Language] = language, rounds: int = ROUNDS, now: str = "2002-01-01 00:00:00", rels: tuple[str, ...] = C.REL_TYPES) -> DataFrame:
+def build_graph(store: GraphStore, docs: DataFrame, provider: Callable[[], Language] = language, rounds: int = ROUNDS, now: str = "2002-01-01 00:00:00", rels: tuple[str, ...] = C.REL_TYPES, batches: int = 1, force: bool = False) -> DataFrame:
     """Build or go on building the graphs of docs (doc_id, kg_id, text); returns the summary of the run as one row.
 
-    Chunks that an earlier run has finished are skipped. Each round extracts
-    the chunks that are left and writes their lines once; those that fail are
-    tried again in the next. Relation types that the provider proposes and
-    that hold their own join the ontology, at most NEW_TYPES in a run, and
-    lines of these types keep them. Edges are merged into the store's, then
-    entities without edges go and the progress is written last, so a run that
-    is cut off is made again from the chunks it had not recorded.
+    Documents go in `batches` by a hash of their id. A batch writes its edges,
+    entity types, chunks, progress and marks, and one commit makes them
+    visible together: a run that is cut off anywhere leaves what it had
+    committed, and the next run does the rest, so nothing is counted twice.
+    Documents that are marked as done in their graph and chunks that have been
+    processed are skipped. With `force` the edges, types, progress and marks of
+    the graphs in docs are cleared first, in a commit with the first batch.
+
+    Each round extracts the chunks that are left; those that fail are tried
+    again in the next, and are recorded with their error after the last.
+    Relation types that the provider proposes and that hold their own join the
+    ontology of the batch, at most NEW_TYPES of them, and lines of these types
+    keep them. Texts without a chunk (null or blank) are done at once.
     """
-    spark = store.spark
-    chunks = materialise(X.chunks(docs, "doc_id", "text").join(docs.select("doc_id", "kg_id"), "doc_id").select("doc_id", "kg_id", "chunk_id", "idx", "text"), "build-chunks")
-    before = materialise(store.read("progress", PROGRESS), "build-before")
-    todo = M.pending_chunks(chunks, before)
-    keys = ("doc_id", "kg_id", "chunk_id", "idx", "text")
-    done, attempts = None, []
-    for attempt in range(1, rounds + 1):
-        got = materialise(extract_verified(todo, keys, rels, provider), "build-extracted")
-        attempts.append(got.select("chunk_id", "doc_id", F.col("error").isNull().alias("processed"), F.lit(attempt).alias("attempt"), "error"))
-        good = got.where("error is null")
-        done = good if done is None else done.unionByName(good)
-        todo = got.where("error is not null").select(*keys)
-        if todo.isEmpty():
-            break
-    proposed = done.select(F.explode("new_types").alias("t")).groupBy("t").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "t").limit(NEW_TYPES)
-    added = [r["t"] for r in proposed.collect()]
-    triples = triples_of(done, ("doc_id", "kg_id", "chunk_id", "idx"), (*rels, *added))
-    rows = triples.select("kg_id", "subject", "rel_type", "object", F.col("doc_id").alias("source_doc_id"), "verb", "chunk_id", F.col("idx").cast("long").alias("seq"), F.lit(now).cast("timestamp").alias("ts"))
-    columns = [f.name for f in spark.createDataFrame([], EDGES).schema]
-    fresh = materialise(M.merge_triples(rows).select(*columns), "build-edges")
-    old = store.read("edges", EDGES)
-    store.edges.write((fresh if old.isEmpty() else M.merge_edges(old.select(*columns), fresh)).select(*columns))
-    edges = store.edges.read()
-    ends = edges.select("kg_id", F.explode(F.array("subject", "object")).alias("name")).distinct()
-    known = store.read("entities", "kg_id long, name string").unionByName(ends).distinct()
-    stay, gone = without_orphans(known, edges)
-    orphans = gone.count()
-    store.entities.write(stay)
-    tried = attempts[0]
-    for a in attempts[1:]:
-        tried = tried.unionByName(a)
-    last = tried.groupBy("chunk_id", "doc_id").agg(F.max_by("processed", "attempt").alias("processed"), F.max("attempt").alias("attempt"), F.max_by("error", "attempt").alias("error"))
-    state = materialise(before.join(last, "chunk_id", "left_anti").unionByName(last), "build-progress")
-    store.progress.write(state)
-    n = last.agg(F.count_if("processed").alias("done"), F.count_if(~F.col("processed")).alias("failed")).first()
-    row = (chunks.count(), n["done"], n["failed"], fresh.count(), edges.count(), orphans, len(attempts), added)
-    return spark.createDataFrame([row], "chunks long, done long, failed long, new_edges long, edges long, orphans long, rounds int, new_types array<string>")
+    spark, total = store.spark, [0] * 5
+    added: list[str] = []
+    most = 0
+    run = f"build-{uuid.uuid4().hex}"
+    for batch in range(batches):
+        change = store.begin(run, batch)
+        state = store.state()
+        some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == batch) if batches > 1 else docs
+        with temporary(spark):
+            if force:
+                if batch == 0:
+                    cleared = [r["kg_id"] for r in docs.select("kg_id").distinct().collect()]
+                    for table in ("edges", "types", "progress", "documents", "chunks"):
+                        for kg in cleared:
+                            change.clear(table, "kg_id", kg)
+                left, known = some, spark.createDataFrame([], PROGRESS)
+            else:
+                left, known = without_known(some, store.read("documents", state).where("processed"), ("kg_id", "doc_id")), store.read("progress", state).where("processed")
+            left = left.select("doc_id", "kg_id", "text")
+            if left.isEmpty():
+                if change.cleared:
+                    change.commit({"batch": batch})
+                continue
+            cut = X.chunks(left.select(F.struct("kg_id", "doc_id").alias("key"), "doc_id", "text"), "key", "text").select("key.kg_id", "key.doc_id", F.format_string("%s_%04d", F.col("key.doc_id"), F.col("idx")).alias("chunk_id"), "idx", "sentences", "text")
+            chunks = change.write("chunks", cut)
+            keys = ("kg_id", "doc_id", "chunk_id", "idx", "text")
+            todo = without_known(chunks, known, ("kg_id", "chunk_id")).select(*keys)
+            done, attempts = None, []
+            for attempt in range(1, rounds + 1):
+                got = materialise(extract_verified(todo, keys, rels, provider), "build-extracted")
+                attempts.append(got.select(*keys[:4], F.col("error").isNull().alias("processed"), F.lit(attempt).alias("attempt"), "error"))
+                good = got.where("error is null")
+                done = good if done is None else done.unionByName(good)
+                todo = got.where("error is not null").select(*keys)
+                if todo.isEmpty():
+                    break
+            proposed = done.select(F.explode("new_types").alias("t")).groupBy("t").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "t").limit(NEW_TYPES)
+            new = [r["t"] for r in proposed.collect()]
+            triples = materialise(triples_of(done, keys[:4], (*rels, *new)), "build-triples")
+            rows = triples.select("kg_id", "subject", "rel_type", "object", F.col("doc_id").alias("source_doc_id"), "verb", "chunk_id", F.col("idx").cast("long").alias("seq"), F.lit(now).cast("timestamp").alias("ts"))
+            edges = change.write("edges", M.merge_triples(rows))
+            ends = triples.select("kg_id", "doc_id", "idx", F.explode(F.array(F.struct(F.col("subject").alias("name"), F.col("subject_type").alias("type")), F.struct(F.col("object").alias("name"), F.col("object_type").alias("type")))).alias("e"))
+            change.write("types", ends.groupBy("kg_id", "e.name").agg(F.min_by("e.type", F.struct("doc_id", "idx", "e.type")).alias("type")))
+            per_chunk = triples.groupBy("kg_id", "chunk_id").agg(F.count("*").alias("triples"))
+            # a chunk is in the list of each round that tried it
+            tried = reduce(DataFrame.unionByName, attempts).groupBy(*keys[:4]).agg(F.max_by("processed", "attempt").alias("processed"), F.max("attempt").alias("attempt"), F.max_by(F.struct("error"), "attempt")["error"].alias("error"))
+            progress = change.write("progress", tried.join(per_chunk, [tried[c].eqNullSafe(per_chunk[c]) for c in ("kg_id", "chunk_id")], "left").select(*[tried[c] for c in tried.columns], F.coalesce("triples", F.lit(0)).alias("triples")))
+            failed = progress.where("not processed").select("kg_id", "doc_id").distinct()
+            change.write("documents", without_known(left.select("kg_id", "doc_id").distinct(), failed, ("kg_id", "doc_id")).select("kg_id", "doc_id", F.lit(True).alias("processed"), F.lit(now).alias("processed_at")))
+            n = progress.agg(F.count_if("processed").alias("done"), F.count_if(~F.col("processed")).alias("failed"), F.coalesce(F.sum("triples"), F.lit(0)).alias("triples")).first()
+            counts = [chunks.count(), n["done"], n["failed"], edges.count(), n["triples"]]
+            change.commit({"batch": batch, "chunks": counts[0], "done": counts[1], "failed": counts[2], "new_edges": counts[3], "triples": counts[4], "rounds": len(attempts), "new_types": new})
+        total, most, added = [a + b for a, b in zip(total, counts, strict=True)], max(most, len(attempts)), [*added, *(t for t in new if t not in added)]
+        for table in store.schemas:
+            store.compact(table)
+    row = (*total, store.read("edges").count(), most, added)
+    return spark.createDataFrame([row], "chunks long, done long, failed long, new_edges long, triples long, edges long, rounds int, new_types array<string>")

@@ -37,11 +37,42 @@ def merge_triples(rows: DataFrame) -> DataFrame:
     return out.select(*EDGE_KEY, "verb", "confidence", "created_at", F.when(F.col("confidence") > 1, F.col("hi")).alias("updated_at"), F.transform("ids", lambda x: x["chunk_id"]).alias("source_chunk_ids"))
 
 
+def last_positions(lists: Column) -> Column:
+    """One list of the distinct values of a list of lists, each at its last position; empty values add nothing."""
+    flat = F.filter(F.flatten(F.filter(lists, lambda x: x.isNotNull())), lambda x: F.coalesce(x, F.lit("")) != "")
+    return F.reverse(F.array_distinct(F.reverse(flat)))
+
+
+def merge_generations(rows: DataFrame) -> DataFrame:
+    """Edges (the key, verb, confidence, created_at, updated_at and, where given, source_chunk_ids) of several generations `gen`, each with a key at most once.
+
+    Counters add up, the last generation's verb stays (an absent one changes
+    nothing), first creation and last update stay; chunk ids are distinct in
+    the order of their last generation and place.
+    """
+    values = [F.sum("confidence").alias("confidence"), F.max_by("verb", F.when(F.col("verb").isNotNull(), F.col("gen"))).alias("verb"), F.min("created_at").alias("created_at"), F.max(F.coalesce("updated_at", "created_at")).alias("hi"), F.count("*").alias("n")]
+    chunks = "source_chunk_ids" in rows.columns
+    if chunks:  # a key has one row in each generation, and compaction bounds those
+        values.append(F.array_sort(F.collect_list(F.struct("gen", "source_chunk_ids"))).alias("ids"))
+    out = rows.groupBy(*EDGE_KEY).agg(*values)
+    updated = F.when((F.col("n") > 1) | (F.col("confidence") > 1), F.col("hi")).alias("updated_at")
+    return out.select(*EDGE_KEY, "verb", "confidence", "created_at", updated, *([last_positions(F.col("ids.source_chunk_ids")).alias("source_chunk_ids")] if chunks else []))
+
+
 def merge_edges(base: DataFrame, delta: DataFrame) -> DataFrame:
-    """Both edge tables as one: counters add up, the delta's verb wins, first creation and last update stay."""
-    b = base.withColumn("gen", F.lit(0)).unionByName(delta.withColumn("gen", F.lit(1)))
-    out = b.groupBy(*EDGE_KEY).agg(F.sum("confidence").alias("confidence"), F.max_by("verb", "gen").alias("verb"), F.min("created_at").alias("created_at"), F.max(F.coalesce("updated_at", F.when(F.col("gen") == 1, F.col("created_at")))).alias("hi"), F.count("*").alias("n"))
-    return out.select(*EDGE_KEY, "verb", "confidence", "created_at", F.when((F.col("n") > 1) | (F.col("confidence") > 1), F.col("hi")).alias("updated_at"))
+    """Both edge tables as one by `merge_generations`; chunk ids are kept where both have them."""
+    both = [c for c in (*EDGE_KEY, "verb", "confidence", "created_at", "updated_at", "source_chunk_ids") if c in base.columns and c in delta.columns]
+    return merge_generations(base.select(*both).withColumn("gen", F.lit(0)).unionByName(delta.select(*both).withColumn("gen", F.lit(1))))
+
+
+def latest_rows(key: tuple[str, ...], group: tuple[str, ...] = ()):
+    """A merge that keeps the rows of the last generation of each key; with `group`, all rows of the key's last generation."""
+
+    def merge(rows: DataFrame) -> DataFrame:
+        last = W.partitionBy(*(group or key))
+        return rows.withColumn("last", F.max("gen").over(last)).where("gen = last").drop("last")
+
+    return merge
 
 
 def retype(edges: DataFrame, changes: DataFrame) -> DataFrame:

@@ -7,12 +7,12 @@ from pyspark.sql.window import Window as W
 
 from weftgraph.functions import providers as P
 from weftgraph.functions import text as X
+from weftgraph.operators import build as B
 from weftgraph.operators import graph as G
 from weftgraph.operators import history as H
 from weftgraph.operators import retrieval as R
 from weftgraph.operators import scoring as S
 from weftgraph.operators import store as M
-from weftgraph.operators.services import VersionedTable
 from weftgraph.plans.graph_queries import FACT_SQL
 from weftgraph.plans.registry import query
 from weftgraph.plans.retrieval_queries import PARTS, SCORES
@@ -36,9 +36,14 @@ def chunk_lookup(t):
 
 @query("chunk_store", "SELECT k.kg_id, count(*) AS chunks FROM stored s JOIN kg_documents k ON s.doc_id = k.doc_id GROUP BY k.kg_id", **CHUNKS)
 def chunk_store(t):
-    table = VersionedTable(t.spark, scratch_path(t.spark, "chunks"))
-    table.write(X.chunks(t.docs, "doc_id", "content").join(t.kg_documents, "doc_id"), partition_by=("kg_id",))
-    return table.read().groupBy("kg_id").agg(F.count("*").alias("chunks")).select(F.col("kg_id").cast("long").alias("kg_id"), "chunks")
+    """Chunks of all documents; then some documents are written again, which replaces their chunks alone."""
+    store = B.GraphStore(t.spark, scratch_path(t.spark, "chunks"))
+    rows = X.chunks(t.docs, "doc_id", "content").join(t.kg_documents, "doc_id")
+    for batch, some in enumerate((rows, rows.where("doc_id % 5 = 0"))):
+        change = store.begin("documents", batch)
+        change.write("chunks", some)
+        change.commit()
+    return store.read("chunks").groupBy("kg_id").agg(F.count("*").alias("chunks"))
 
 
 @query("chunk_delete", "SELECT doc_id, count(*) AS chunks FROM stored WHERE doc_id % 3 <> 0 GROUP BY doc_id", **CHUNKS)

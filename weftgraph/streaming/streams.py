@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -9,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.constants import RATE_LIMIT, RATE_WINDOW
-from weftgraph.operators.services import VersionedTable
-from weftgraph.operators.store import EDGE_KEY, merge_edges, merge_triples
+from weftgraph.operators.store import merge_generations, merge_triples
+from weftgraph.operators.tablelog import TableLog
 from weftgraph.sources.files import parsed
 
 
@@ -84,23 +85,30 @@ def rate_limit_stream(events: DataFrame, limit: int = RATE_LIMIT, window: float
     return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, allowed boolean", "kept array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def upsert_edges(triples: DataFrame, table: str, checkpoint: str):
-    """Start a stream that merges triple rows into a `VersionedTable` of edges under `table`.
+EDGES = "kg_id long, subject string, rel_type string, object string, source_doc_id long, verb string, confidence long, created_at timestamp, updated_at timestamp, source_chunk_ids array<string>"
 
-    Version n holds all batches up to n; the highest whole one is current, so
-    readers need no pointer. A batch that is repeated after a failure writes
-    its version again, so counters are not added twice; versions before the
-    last two go.
+
+def edge_log(spark: SparkSession, path: str) -> TableLog:
+    """The edge table that streams add to; `read("edges")` gives it merged."""
+    return TableLog(spark, path, {"edges": (EDGES, merge_generations)})
+
+
+def upsert_edges(triples: DataFrame, log: TableLog, checkpoint: str):
+    """Start a stream that merges triple rows into the table `edges` of a log (`edge_log`, or a build's store).
+
+    A batch writes the edges of its own rows and commits them under the
+    stream's own id and the batch's number: one that is repeated after a
+    failure is passed over, and other streams and builds add to the same table
+    without losing anything. The id is the one that the checkpoint holds, so a
+    stream that starts afresh is another writer.
     """
-    columns = [*EDGE_KEY, "verb", "confidence", "created_at", "updated_at"]
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        edges = VersionedTable(batch.sparkSession, table)
-        delta = merge_triples(batch).select(*columns)
-        if epoch > 0:
-            delta = merge_edges(edges.read(epoch - 1), delta)
-        edges.write(delta.select(*columns), version=epoch)
-        edges.vacuum(keep=2)
+        writer = json.loads(batch.sparkSession.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+        if change := log.begin(writer, epoch):
+            change.write("edges", merge_triples(batch))
+            change.commit()
+            log.compact("edges")
 
     return triples.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
