@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.operators import cluster, components, graph, history, store
+from weftgraph.operators import cluster, communities, components, graph, history, store
 from weftgraph.streaming.streams import limit_requests
 
 EDGE = "kg_id long, subject string, subject_type string, rel_type string, verb string, object string, object_type string, source_doc_id long, confidence long, created_at timestamp, updated_at timestamp"
@@ -71,7 +71,7 @@ def test_cliques_are_communities(spark):
     pairs = [*clique("a"), *clique("b"), ("a1", "b1")]
     df = spark.createDataFrame([(0, *p) for p in pairs] + [(1, *p) for p in [*clique("c"), ("x", "y")]], "kg_id long, a string, b string")
     got = {}
-    for r in cluster.communities(df).collect():
+    for r in communities.communities(df).collect():
         got.setdefault((r["kg_id"], r["community"]), set()).add(r["node"])
     assert sorted(map(sorted, got.values())) == [["a1", "a2", "a3", "a4"], ["b1", "b2", "b3", "b4"], ["c1", "c2", "c3", "c4"]]
 

@@ -1,10 +1,7 @@
-"""Clusters, communities, walks and walk vectors."""
+"""Clusters, walks and walk vectors."""
 
 from __future__ import annotations
 
-import random
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -34,63 +31,6 @@ def cluster_documents(centroids: DataFrame, owner: str, concepts: DataFrame, lea
     return kept.join(top, "component", "left")
 
 
-def louvain(pairs: list[tuple[str, str]], seed: int = 42) -> list[set[str]]:
-    """Communities of an undirected graph by greedy modularity moves and aggregation, seeded."""
-    weight: dict[str, dict[str, float]] = {}
-    for a, b in pairs:
-        if a != b:
-            weight.setdefault(a, {})[b] = weight.setdefault(b, {})[a] = 1.0
-    members = {n: {n} for n in weight}
-    rng = random.Random(seed)
-    while weight:
-        degree = {n: sum(w.values()) + w.get(n, 0.0) for n, w in weight.items()}
-        total = sum(degree.values())
-        label, mass, moved = {n: n for n in weight}, dict(degree), False
-        again = total > 0
-        while again:
-            again = False
-            order = sorted(weight)
-            rng.shuffle(order)
-            for n in order:
-                old = label[n]
-                mass[old] -= degree[n]
-                near: dict[str, float] = {old: 0.0}
-                for m, w in weight[n].items():
-                    if m != n:
-                        near[label[m]] = near.get(label[m], 0.0) + w
-                best = max(sorted(near), key=lambda c: (near[c] - mass[c] * degree[n] / total, c == old))
-                mass[best] += degree[n]
-                if best != old:
-                    label[n], again, moved = best, True, True
-        if not moved:
-            break
-        joined: dict[str, dict[str, float]] = {}
-        groups: dict[str, set[str]] = {}
-        for n, w in weight.items():
-            groups.setdefault(label[n], set()).update(members[n])
-            row = joined.setdefault(label[n], {})
-            for m, x in w.items():
-                if label[m] == label[n] and m != n:
-                    row[label[n]] = row.get(label[n], 0.0) + x / 2
-                else:
-                    row[label[m]] = row.get(label[m], 0.0) + x
-        weight, members = joined, groups
-    return sorted(members.values(), key=lambda s: (-len(s), min(s)))
-
-
-def communities(pairs: DataFrame, smallest: int = 3, most: int = 20, seed: int = 42) -> DataFrame:
-    """(kg_id, community, node): per graph the largest communities of at least `smallest` nodes.
-
-    One graph is one task: modularity needs it whole, so a graph must fit the memory of a worker.
-    """
-
-    def detect(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = [g for g in louvain(sorted(zip(pdf["a"], pdf["b"], strict=True)), seed) if len(g) >= smallest][:most]
-        return pd.DataFrame([(pdf["kg_id"].iloc[0], i, n) for i, g in enumerate(found) for n in sorted(g)], columns=["kg_id", "community", "node"])
-
-    return pairs.groupBy("kg_id").applyInPandas(detect, "kg_id long, community int, node string")
-
-
 def walks(edges: DataFrame, per_node: int = 10, length: int = 40, p: float = 1.0, q: float = 1.0, seed: int = 42) -> DataFrame:
     """(walk_id, nodes): second-order random walks over undirected pairs (a, b), reproducible by seed.
 

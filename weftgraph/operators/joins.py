@@ -19,6 +19,8 @@ def spread_join(big: DataFrame, table: DataFrame, key: list[str], rows: str, tot
     broadcast at any size. Null keys match nothing.
     """
     limit = max(HOT_ROWS, (total or 0) // HOT_KEYS)
+    if total is not None and total <= limit:  # no key can have more
+        return big.join(table.drop(rows), key)
     hot = table.where(F.col(rows) > limit).drop(rows)
     if hot.isEmpty():
         return big.join(table.drop(rows), key)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -43,9 +45,12 @@ def nearest(queries: DataFrame, concepts: DataFrame, k: int = C.COARSE_K) -> Dat
     return p.withColumn("rank", F.row_number().over(W.partitionBy("q_name").orderBy(F.desc("cos"), "name"))).where(F.col("rank") <= k)
 
 
-def two_stage(queries: DataFrame, concepts: DataFrame, links: DataFrame, k: int = C.COARSE_K, least: float = C.ROUTE_MIN, top: int | None = C.ROUTE_TOP) -> DataFrame:
-    """Routes: candidates are the k nearest concepts of any query concept; owners are scored on those alone."""
-    candidates = nearest(queries, concepts, k).select("name").distinct()
+def two_stage(queries: DataFrame, concepts: DataFrame, links: DataFrame, k: int = C.COARSE_K, least: float = C.ROUTE_MIN, top: int | None = C.ROUTE_TOP, search: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """Routes: candidates are the k nearest concepts of any query concept; owners are scored on those alone.
+
+    `search` finds the nearest ones (an index's search); without it all concepts are scanned.
+    """
+    candidates = (nearest(queries, concepts, k) if search is None else search(queries, k)).select("name").distinct()
     scored = match_scores(queries, links.join(candidates, "name", "left_semi")).where(F.col("score") >= least)
     scored = scored.orderBy(F.desc("score"), "owner_id")
     return scored if top is None else scored.limit(top)

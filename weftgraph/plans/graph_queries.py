@@ -11,6 +11,7 @@ from weftgraph.operators import history as H
 from weftgraph.operators import retrieval as R
 from weftgraph.operators import store as S
 from weftgraph.operators.federation import best_degree, quota
+from weftgraph.operators.indexes import NameIndex
 from weftgraph.operators.routing import visible
 from weftgraph.plans.registry import query
 
@@ -80,6 +81,13 @@ def prefix_seed(t):
     return G.names_with_prefix(t.entities, ["12", "supp"]).select("kg_id", "name")
 
 
+@query("name_index", r"""SELECT kg_id, name, (regexp_matches(lower(name), '(^|[^\p{L}\p{N}])12'))::BIGINT + (regexp_matches(lower(name), '(^|[^\p{L}\p{N}])supp'))::BIGINT AS terms
+  FROM (SELECT DISTINCT kg_id, name FROM entities) WHERE regexp_matches(lower(name), '(^|[^\p{L}\p{N}])(12|supp)')""")
+def name_index(t):
+    """Prefixes of words, found in the sorted postings, with the number of terms that each entity has."""
+    return NameIndex.build(t.entities).search(["12", "Supp"])
+
+
 @query("min_confidence", f"SELECT {COLS}, confidence FROM edges WHERE confidence >= 2")
 def min_confidence(t):
     return t.edges.where("confidence >= 2").select(*KEY, "confidence")

@@ -10,6 +10,7 @@ from weftgraph.functions import text as X
 from weftgraph.functions import vectors as V
 from weftgraph.operators import cluster as K
 from weftgraph.operators import federation as D
+from weftgraph.operators import indexes as I
 from weftgraph.operators import retrieval as R
 from weftgraph.operators import scoring as S
 from weftgraph.plans.registry import query
@@ -42,6 +43,20 @@ def knn_concepts(t):
     return S.nearest(t.queries, t.concepts).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query("vector_search", "SELECT q.name AS q_name, c.name, round(list_cosine_similarity(c.q_vector, q.q_vector), 6) AS cos, row_number() OVER (PARTITION BY q.name ORDER BY round(list_cosine_similarity(c.q_vector, q.q_vector), 6) DESC, c.name) AS rank FROM concepts q CROSS JOIN concepts c WHERE q.vec_id % 50 = 0 QUALIFY rank <= 10")
+def vector_search(t):
+    """The 10 nearest concepts of every fiftieth, exactly, through the index."""
+    asked = t.concepts.where("vec_id % 50 = 0").select(F.col("name").alias("q_name"), F.col("q_vector").alias("q_vec"))
+    return I.VectorIndex.build(t.concepts).search(asked, 10, exact=True).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("vector_route", "SELECT owner_id, score FROM routed ORDER BY score DESC, owner_id LIMIT 5", **SCORES)
+def vector_route(t):
+    """The two-stage route whose first stage is the index."""
+    index = I.VectorIndex.build(t.concepts)
+    return S.two_stage(t.queries, t.concepts, t.links, search=lambda q, k: index.search(q, k, exact=True))
+
+
 @query("cooccur_pairs", "SELECT a.name AS a, b.name AS b, count(*) AS n FROM (SELECT DISTINCT owner_id, name FROM doc_links) a JOIN (SELECT DISTINCT owner_id, name FROM doc_links) b ON a.owner_id = b.owner_id AND a.name < b.name GROUP BY ALL")
 def cooccur_pairs(t):
     return S.co_occurring(t.doc_links)
