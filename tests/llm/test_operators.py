@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import random
 import re
@@ -479,6 +480,45 @@ def test_salvage_inside_a_member():
     assert any(f[0] == "gap" for f in found)
 
 
+def foreign(kind, block, *lines):
+    return b"\r\n".join([b"WARC/1.0", b"WARC-Type: " + kind, b"WARC-Record-ID: <urn:uuid:1>", *lines, b"Content-Length: %d" % len(block)]) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+BODY = b"<p>body</p>"
+HTTP = b"HTTP/1.1 200 OK\r\nContent-Length: 11\r\n\r\n" + BODY
+FOREIGN = [
+    (b"response", HTTP, [b"WARC-Payload-Digest: sha256:" + hashlib.sha256(BODY).hexdigest().encode()], "sha256:" + hashlib.sha256(BODY).hexdigest()),
+    (b"response", HTTP, [b"WARC-Block-Digest: md5:" + hashlib.md5(HTTP).hexdigest().encode()], None),
+    (b"response", HTTP, [b"WARC-Payload-Digest: SHA-1:" + hashlib.sha1(BODY).hexdigest().upper().encode()], hashlib.sha1(BODY).hexdigest()),
+    (b"response", b"20000101000000\nexample.org. A 1.2.3.4\n", [b"Content-Type: text/dns"], None),
+    (b"response", HTTP, [b"WARC-Target-URI: http://a/", b"X-Note: one", b"\ttwo", b" three", b"Content-Type: application/http;", b" msgtype=response"], None),
+    (b"revisit", HTTP[: -len(BODY)], [b"WARC-Payload-Digest: sha1:" + hashlib.sha1(BODY).hexdigest().encode(), b"WARC-Refers-To: <urn:uuid:0>"], hashlib.sha1(BODY).hexdigest()),
+    (b"revisit", HTTP[: -len(BODY)], [b"WARC-Payload-Digest: sha256:" + base64.b32encode(hashlib.sha256(BODY).digest())], "sha256:" + hashlib.sha256(BODY).hexdigest()),
+    (b"response", HTTP, [b"WARC-Payload-Digest: crc32:cafe", b"WARC-Block-Digest: sha1:not a digest"], "crc32:cafe"),
+    (b"response", b"HTTP/1.1 200 OK\r\nContent-Length: 99999999999999999999999\r\n\r\nx", [], None),
+    (b"warcinfo", b"software: x", [b"Content-Type: application/warc-fields", b"WARC-Payload-Digest:"], None),
+]
+
+
+def test_sound_foreign_records_are_kept(spark, tmp_path):
+    parts = [foreign(k, b, *lines) for k, b, lines, _ in FOREIGN]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(warc.gzip_member, parts)))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(parts))
+    got = table(warc.read_archives(spark, f"file://{tmp_path}").orderBy("file", "first_byte"))
+    assert [r["kind"] for r in got] == ["record"] * 2 * len(parts)
+    assert [r["payload_digest"] for r in got] == [d for *_, d in FOREIGN] * 2
+    assert got[3]["payload"].startswith(b"20000101") and got[0]["payload"] == BODY and got[5]["payload_bytes"] == 11
+    (folded, _), = [warc._parse(parts[4], 0)]
+    assert folded["head"]["x-note"] == "one two three" and folded["payload"] == BODY
+
+
+@pytest.mark.parametrize("label", [b"sha256:" + hashlib.sha256(HTTP).hexdigest().encode(), b"md5:" + base64.b64encode(hashlib.md5(HTTP).digest())])
+def test_damaged_foreign_records_are_gaps(label):
+    part = foreign(b"response", HTTP, b"WARC-Block-Digest: " + label)
+    assert [f[0] for f in warc.salvage(part)] == ["record"]
+    assert [f[0] for f in warc.salvage(part.replace(b"body", b"bodx"))] == ["gap"]
+
+
 def test_archives_of_failed_attempts_and_odd_ids(spark, tmp_path):
     rows = [("null", "a"), (None, "b"), ("x>y\n z%41", "c"), ("7", "d")]
     df = spark.createDataFrame(rows, "id string, body string").select("id", F.lit(None).cast("string").alias("url"), F.col("body").cast("binary").alias("body"), F.lit(None).cast("string").alias("refers_to"))

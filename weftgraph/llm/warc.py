@@ -34,6 +34,37 @@ def _sha1(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+#: Digest algorithms that are checked; values of others are passed on unchecked.
+_ALGORITHMS = {"sha1": hashlib.sha1, "sha256": hashlib.sha256, "sha384": hashlib.sha384, "sha512": hashlib.sha512, "md5": hashlib.md5}
+
+
+def _digest(label: str) -> tuple[str, bytes] | None:
+    """(algorithm, digest) of a labelled digest in hex, base32 or base64, told apart by length; None if it can't be read."""
+    name, _, value = label.strip().partition(":")
+    name, value = name.strip().lower().replace("-", ""), value.strip()
+    size = _ALGORITHMS[name]().digest_size if name in _ALGORITHMS else None
+    for decode in (bytes.fromhex, lambda v: base64.b32decode(v.upper() + "=" * (-len(v) % 8)), lambda v: base64.b64decode(v + "=" * (-len(v) % 4), validate=True)):
+        try:
+            got = decode(value)
+        except ValueError:  # binascii's error too
+            continue
+        if got and (size is None or len(got) == size):
+            return name, got
+    return None
+
+
+def _agrees(label: str | None, data: bytes) -> bool | None:
+    """Whether data has the labelled digest; None if there is none, or none that can be checked."""
+    found = _digest(label) if label else None
+    return None if found is None or found[0] not in _ALGORITHMS else _ALGORITHMS[found[0]](data).digest() == found[1]
+
+
+def _hex(label: str | None) -> str | None:
+    """A header's digest in hex: bare for SHA-1, with the algorithm's name otherwise; null if it can't be read."""
+    found = _digest(label) if label else None
+    return None if found is None else found[1].hex() if found[0] == "sha1" else f"{found[0]}:{found[1].hex()}"
+
+
 def _clean(value) -> str:
     """A header value: line breaks would end the header."""
     return re.sub(r"[\r\n]+", " ", str(value))
@@ -69,32 +100,47 @@ def gzip_member(data: bytes, level: int = 6) -> bytes:
 
 
 def _parse(data: bytes, at: int) -> tuple[dict, int] | None:
-    """The record at `at` of uncompressed bytes and the position after it; None if any check fails."""
+    """The record at `at` of uncompressed bytes and the position after it; None if any check fails.
+
+    Folded header lines go on with the line before. Digests may be of any
+    algorithm and in hex, base32 or base64; what can't be checked is no
+    failure. A block that agrees with its own digest is whole, so a payload
+    digest counts only beside a block digest that wasn't checked (archives
+    differ in what they take for the payload of an encoded body). Blocks that
+    are no HTTP message are payload as a whole.
+    """
     m = _VERSION.match(data, at)
     if not m:
         return None
     end = data.find(b"\r\n\r\n", m.end() - 2)
     if end < 0:
         return None
-    head = {}
+    head, last = {}, None
     for line in data[m.end() : end].split(b"\r\n"):
+        if line[:1] in (b" ", b"\t") and last is not None:
+            head[last] = f"{head[last]} {line.strip().decode('utf-8', 'replace')}".strip()
+            continue
         name, colon, value = line.partition(b":")
         if not colon:
             return None
-        head[name.strip().lower().decode("ascii", "replace")] = value.strip().decode("utf-8", "replace")
+        last = name.strip().lower().decode("ascii", "replace")
+        head[last] = value.strip().decode("utf-8", "replace")
     if not {"warc-type", "warc-record-id", "content-length"} <= head.keys() or not head["content-length"].isdecimal():
         return None
     start, length = end + 4, int(head["content-length"])
     block = data[start : start + length]
     if len(block) < length or data[start + length : start + length + 4] != b"\r\n\r\n":
         return None
-    if "warc-block-digest" in head and head["warc-block-digest"] != _sha1(block):
+    sound = _agrees(head.get("warc-block-digest"), block)
+    if sound is False:
         return None
-    http, _, payload = block.partition(b"\r\n\r\n")
-    size = re.search(rb"(?im)^content-length:[ \t]*(\d+)", http)
-    if head["warc-type"] == "response" and "warc-payload-digest" in head and head["warc-payload-digest"] != _sha1(payload):
+    http, payload = b"", block
+    if head.get("content-type", "application/http").lower().startswith("application/http"):
+        http, _, payload = block.partition(b"\r\n\r\n")
+    size = re.search(rb"(?im)^content-length:[ \t]*(\d{1,18})[ \t\r]*$", http)
+    if sound is None and head["warc-type"] == "response" and _agrees(head.get("warc-payload-digest"), payload) is False:
         return None
-    return {"head": head, "payload": payload, "payload_bytes": int(size[1]) if size else len(payload), "checked": "warc-block-digest" in head}, start + length + 4
+    return {"head": head, "payload": payload, "payload_bytes": int(size[1]) if size else len(payload), "checked": sound is not None}, start + length + 4
 
 
 def _inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
@@ -267,8 +313,8 @@ def _rows(file: str, data: bytes) -> Iterator[pa.RecordBatch]:
             rows.append((file, kind, start, end, None, None, None, None, None, None, None, r))
             continue
         head = r["head"]
-        ref, digest = head.get("warc-refers-to"), head.get("warc-payload-digest", "").partition(":")[2]
-        rows.append((file, kind, start, end, head["warc-type"], _key(head["warc-record-id"]), head.get("warc-target-uri"), _key(ref) if ref else None, r["payload_bytes"], base64.b32decode(digest).hex() if digest else None, r["payload"] if head["warc-type"] == "response" else None, None))
+        ref = head.get("warc-refers-to")
+        rows.append((file, kind, start, end, head["warc-type"], _key(head["warc-record-id"]), head.get("warc-target-uri"), _key(ref) if ref else None, r["payload_bytes"], _hex(head.get("warc-payload-digest")), r["payload"] if head["warc-type"] == "response" else None, None))
         held += len(r["payload"])
         if held >= READ_BYTES or len(rows) >= 5000:
             yield batch()
@@ -282,7 +328,8 @@ def read_archives(spark: SparkSession, path: str, glob: str = "*.warc.gz") -> Da
 
     Files come through Spark's own reader, so they may lie in any store it
     reads; each is one cell, so up to 2 GB. kind is record or gap; a gap has
-    its reason and no other field.
+    its reason and no other field. payload_digest is hex: bare for SHA-1, as
+    `algorithm:hex` for others, null where the header has none that is legible.
     """
     python_ready(spark)
 
