@@ -61,7 +61,7 @@ class VectorIndex:
 
         spark = vectors.sparkSession
         out = cls(spark, path or scratch_path(spark, "vector-index"))
-        rows = vectors.select(F.col(key).alias("name"), F.col(vec).cast("array<double>").alias("v"), unit(F.col(vec)).alias("u"))
+        rows = vectors.select(F.col(key).alias("name"), F.col(vec).cast("array<double>").alias("v"), unit(F.col(vec)).alias("u"), V.norm(F.col(vec).cast("array<double>")).alias("norm"))
         n = rows.count()
         fit = rows.where("u is not null")
         if n > FIT_ROWS:
@@ -76,15 +76,16 @@ class VectorIndex:
         table = materialise(spark.createDataFrame(centres, "cell int, centre array<double>").select("cell", unit(F.col("centre")).alias("centre")), "index-centres")
         # a cell's radius is that of its rows, whichever centre they were given
         placed = near.join(F.broadcast(table), "cell") if centres else rows.where("false").withColumns({"cell": F.lit(0), "centre": F.col("u")})
-        placed = placed.select("name", "v", "u", "cell", _angle(_dot("u", "centre")).alias("angle")).unionByName(rows.where("u is null").select("name", "v", "u", F.lit(-1).alias("cell"), F.lit(0.0).alias("angle")))
+        placed = placed.select("name", "v", "norm", "cell", _angle(_dot("u", "centre")).alias("angle")).unionByName(rows.where("u is null").select("name", "v", "norm", F.lit(-1).alias("cell"), F.lit(0.0).alias("angle")))
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 1_000_000)
         placed.repartition(parts, "cell", F.pmod(F.xxhash64("name"), F.lit(max(1, n // (k * HOT_ROWS))))).write.partitionBy("cell").parquet(f"{out.path}/rows")
         sizes = out.rows().groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius"))
         sizes.join(F.broadcast(table), "cell", "left").coalesce(1).write.parquet(f"{out.path}/cells")
+        cosine = V.cosine_of(V.dot(F.col("v"), F.col("q_vec")), F.col("norm"), F.col("q_norm"))
         trial = placed.where(F.pmod(F.xxhash64("name", F.lit(seed + 1)), F.lit(1 << 30)) < int(min(1.0, TRIAL_ROWS / max(n, 1)) * (1 << 30))) if n > TRIAL_ROWS else placed
-        trial = materialise(trial.where("u is not null").select(F.col("name").alias("q_name"), F.col("v").alias("q_vec")), "index-trial")
+        trial = materialise(trial.where("cell >= 0").select(F.col("name").alias("q_name"), F.col("v").alias("q_vec")), "index-trial")
         order = F.row_number().over(W.partitionBy("q_name").orderBy(F.desc("cos"), "name"))
-        near = out.rows().where("cell >= 0").join(F.broadcast(trial), F.col("name") != F.col("q_name")).select("q_name", "name", "cell", V.cosine(F.col("v"), F.col("q_vec")).alias("cos"))
+        near = out.rows().where("cell >= 0").join(F.broadcast(trial.withColumn("q_norm", V.norm(F.col("q_vec")))), F.col("name") != F.col("q_name")).select("q_name", "name", "cell", cosine.alias("cos"))
         near = near.withColumn("place", order).where(F.col("place") <= TRIAL_NEIGHBOURS).join(out.bounds(trial), ["q_name", "cell"])
         near.agg(F.coalesce(F.ceil(F.percentile("rank", F.lit(RECALL))), F.lit(1)).cast("int").alias("probes")).coalesce(1).write.parquet(f"{out.path}/probes")
         return out
@@ -95,7 +96,7 @@ class VectorIndex:
         return self.spark.read.schema("probes int").parquet(f"{self.path}/probes").first()["probes"]
 
     def rows(self) -> DataFrame:
-        return self.spark.read.schema("name string, v array<double>, u array<double>, angle double, cell int").parquet(f"{self.path}/rows")
+        return self.spark.read.schema("name string, v array<double>, norm double, angle double, cell int").parquet(f"{self.path}/rows")
 
     def cells(self) -> DataFrame:
         """(cell, n, radius, centre); CELLS rows and the cell -1 at most."""
@@ -110,10 +111,10 @@ class VectorIndex:
 
     def _within(self, queries: DataFrame, opened: DataFrame) -> DataFrame:
         """(q_name, name, cos) of the rows in the cells opened (q_name, cell) for each query."""
-        opened = materialise(opened.select("q_name", "cell").join(queries.select("q_name", "q_vec"), "q_name"), "index-opened")
+        opened = materialise(opened.select("q_name", "cell").join(queries.select("q_name", "q_vec", V.norm(F.col("q_vec")).alias("q_norm")), "q_name"), "index-opened")
         ids = [r["cell"] for r in opened.select("cell").distinct().collect()]  # CELLS at most; the scan lists these folders alone
         few = F.broadcast(opened) if opened.count() <= BROADCAST_QUERIES else opened
-        return self.rows().where(F.col("cell").isin(ids)).join(few, "cell").select("q_name", "name", F.round(V.cosine(F.col("v"), F.col("q_vec")), 6).alias("cos"))
+        return self.rows().where(F.col("cell").isin(ids)).join(few, "cell").select("q_name", "name", F.round(V.cosine_of(V.dot(F.col("v"), F.col("q_vec")), F.col("norm"), F.col("q_norm")), 6).alias("cos"))
 
     def search(self, queries: DataFrame, k: int, probes: int | None = None, exact: bool = False) -> DataFrame:
         """(q_name, name, cos, rank): the k rows of highest cosine of each query (q_name, q_vec), ties by name.
