@@ -91,13 +91,12 @@ def matches(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     with the item, and can be moved to the right until it starts on a shared
     one. So the whole documents' shingles are matched with the items', and a
     window starts at each match from which enough matches follow within its
-    length. Its SimHash then meets all items' fingerprints within RADIUS bits
-    by multi-index hashing (the items list every value of each block with up
-    to FLIPS bits changed; windows only look their blocks up), and the pairs
-    found are checked exactly. Fingerprints say little about texts of few
+    length. Its SimHash then has to meet that item's fingerprint within RADIUS
+    bits by multi-index hashing (each item lists every value of each block
+    with up to FLIPS bits changed; windows only look their blocks up), which
+    rules pairs out, and the others are checked exactly. Fingerprints say little about texts of few
     distinct or many repeated shingles (`telling`): where the window or the
-    item is such a text, the item that the window was cut for is checked
-    without them, so that no pair depends on a fingerprint that can't vouch.
+    item is such a text, the pair is checked without them, so that no pair depends on a fingerprint that can't vouch.
 
     Null or blank documents and items match nothing; null ids are reported as
     null; repeated rows of one id are one document with several texts. Texts
@@ -140,12 +139,16 @@ def matches(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     cut = materialise(cut.withColumn("fp", fingerprint(F.col("h"))).withColumn("telling", telling(F.col("h"))), "decontam-cuts")
 
     flips = [0, *(sum(1 << b for b in c) for f in range(1, FLIPS + 1) for c in itertools.combinations(range(BLOCK_BITS), f))]
-    probes = item.where("telling").select("k", "m", F.col("fp").alias("item_fp"), F.explode(_blocks(F.col("fp"))).alias("b"))
-    probes = probes.select("k", "m", "item_fp", F.col("b.block").alias("block"), F.explode(F.array(*[F.col("b.value").bitwiseXOR(F.lit(f)) for f in flips])).alias("value"))
-    looked = cut.where("telling").select("row", "m", "start", "fp", F.explode(_blocks(F.col("fp"))).alias("b")).select("row", "m", "start", "fp", F.col("b.block").alias("block"), F.col("b.value").alias("value"))
-    near = looked.join(_small(probes, n_items * BLOCKS * len(flips)), ["m", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("row", "m", "start", "k")
-    vague = windows.join(cut.select("row", "m", "start", "telling"), ["row", "m", "start"]).join(_small(item.select("k", F.col("telling").alias("item_telling")), n_items), "k")
-    near = near.unionByName(vague.where("not telling or not item_telling").select("row", "m", "start", "k")).distinct()
+    # the windows' own items only: a window of another item is that item's to find
+    own = windows.select("row", "m", "start", "k").join(cut.select("row", "m", "start", "fp", "telling"), ["row", "m", "start"])
+    own = own.join(_small(item.select("k", F.col("fp").alias("item_fp"), F.col("telling").alias("item_telling")), n_items), "k")
+    own = materialise(own, "decontam-own")
+    probes = item.where("telling").select("k", F.explode(_blocks(F.col("fp"))).alias("b"))
+    probes = probes.select("k", F.col("b.block").alias("block"), F.explode(F.array(*[F.col("b.value").bitwiseXOR(F.lit(f)) for f in flips])).alias("value"))
+    looked = own.where("telling and item_telling").select("row", "m", "start", "k", "fp", "item_fp", F.explode(_blocks(F.col("fp"))).alias("b"))
+    looked = looked.select("row", "m", "start", "k", "fp", "item_fp", F.col("b.block").alias("block"), F.col("b.value").alias("value"))
+    near = looked.join(_small(probes, n_items * BLOCKS * len(flips)), ["k", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
+    near = near.select("row", "m", "start", "k").distinct().unionByName(own.where("not telling or not item_telling").select("row", "m", "start", "k"))
 
     full = near.join(cut.select("id", "row", "m", "start", "h"), ["row", "m", "start"]).join(_small(item.select("k", "item", F.col("h").alias("g")), n_items + n_shingles), "k")
     both = F.expr("aggregate(array_distinct(array_intersect(h, g)), 0, (a, x) -> a + least(size(filter(h, y -> y = x)), size(filter(g, y -> y = x))))")
