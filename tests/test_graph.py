@@ -76,16 +76,6 @@ def test_cliques_are_communities(spark):
     assert sorted(map(sorted, got.values())) == [["a1", "a2", "a3", "a4"], ["b1", "b2", "b3", "b4"], ["c1", "c2", "c3", "c4"]]
 
 
-def test_walks_are_reproducible(spark):
-    df = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "a string, b string")
-    run = lambda **k: sorted(tuple(r["nodes"]) for r in cluster.walks(df, per_node=3, length=5, **k).collect())
-    assert run() == run() and len(run()) == 12
-    assert run(seed=1) != run(seed=2)
-    near = {("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")}
-    for w in run(p=0.5, q=2.0):
-        assert len(w) == 5 and all((x, y) in near or (y, x) in near for x, y in zip(w, w[1:], strict=False))
-
-
 def test_merging_counts_and_order(spark):
     rows = spark.createDataFrame([(0, "a", "USES", "b", 1, v, c, i, None) for i, (v, c) in enumerate([("v1", "x"), ("v2", "y"), ("v3", "x"), ("v4", None)])], "kg_id long, subject string, rel_type string, object string, source_doc_id long, verb string, chunk_id string, seq long, ts timestamp")
     r = store.merge_triples(rows).first()

@@ -1,4 +1,4 @@
-"""Clusters, walks and walk vectors."""
+"""Clusters of documents."""
 
 from __future__ import annotations
 
@@ -29,35 +29,3 @@ def cluster_documents(centroids: DataFrame, owner: str, concepts: DataFrame, lea
     top = names.withColumn("rn", F.row_number().over(W.partitionBy("component").orderBy(F.desc("n"), "name"))).where(F.col("rn") <= 15)
     top = top.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("rn", "name"))).alias("t")).select("component", F.array_join(F.transform("t", lambda x: x["name"]), "|").alias("top_concepts"))
     return kept.join(top, "component", "left")
-
-
-def walks(edges: DataFrame, per_node: int = 10, length: int = 40, p: float = 1.0, q: float = 1.0, seed: int = 42) -> DataFrame:
-    """(walk_id, nodes): second-order random walks over undirected pairs (a, b), reproducible by seed.
-
-    Adjacency lists are a table joined once per step; the choice is a hash of
-    walk, step and seed, so walks don't depend on the partitioning.
-    """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    near = both.groupBy("a").agg(F.array_sort(F.collect_list("b")).alias("near"))
-    now = near.select(F.col("a").alias("at"), F.explode(F.sequence(F.lit(0), F.lit(per_node - 1))).alias("k"))
-    now = now.select(F.concat_ws("#", "at", "k").alias("walk_id"), "at", F.array("at").alias("nodes"), F.lit(None).cast("string").alias("back"), F.array().cast("array<string>").alias("back_near"))
-    for step in range(1, length):
-        j = now.join(near.withColumnRenamed("a", "at"), "at")
-        u = F.pmod(F.xxhash64("walk_id", F.lit(step), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-        if p == 1.0 and q == 1.0:
-            pick = F.element_at("near", (F.floor(u * F.size("near")) + 1).cast("int"))
-        else:
-            weigh = F.transform("near", lambda x: F.when(x == F.col("back"), 1 / p).when(F.array_contains("back_near", x) | F.col("back").isNull(), 1.0).otherwise(1 / q))
-            runs = F.aggregate(weigh, F.array(F.lit(0.0)), lambda a, w: F.array_append(a, F.element_at(a, -1) + w))
-            pick = F.element_at("near", F.greatest(F.lit(1), F.size(F.filter(runs, lambda r: r <= u * F.element_at(runs, -1)))).cast("int"))
-        now = j.select("walk_id", pick.alias("to"), "nodes", F.col("at").alias("back"), F.col("near").alias("back_near")).select("walk_id", F.col("to").alias("at"), F.array_append("nodes", F.col("to")).alias("nodes"), "back", "back_near")
-    return now.select("walk_id", "nodes")
-
-
-def walk_vectors(walked: DataFrame, width: int = 384, window: int = 5, seed: int = 42) -> DataFrame:
-    """(name, vector): skip-gram vectors of the nodes."""
-    from pyspark.ml.feature import Word2Vec
-    from pyspark.ml.functions import vector_to_array
-
-    model = Word2Vec(vectorSize=width, windowSize=window, minCount=1, seed=seed, numPartitions=1, inputCol="nodes", outputCol="v").fit(walked)
-    return model.getVectors().select(F.col("word").alias("name"), vector_to_array("vector").alias("vector"))
