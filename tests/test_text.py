@@ -82,3 +82,9 @@ def test_offline_providers():
     v = e.encode_batch(["same text", "same text", "other"])
     assert (v[0] == v[1]).all() and abs((v[0] ** 2).sum() - 1) < 1e-5
     assert providers.language().triples("Alpha uses beta") == ["Alpha|概念|USES|uses|beta|概念"]
+
+
+def test_list_items_lose_numbers_bullets_and_quotes(spark):
+    lines = ["1. one", "- \"two\"", " 3) 「三」 ", "• - four", "plain", "", None]
+    rows = spark.createDataFrame(list(enumerate(lines)), "i int, s string").select("i", X.list_item(F.col("s")).alias("t")).orderBy("i").collect()
+    assert [r["t"] for r in rows] == ["one", "two", "三", "four", "plain", "", None]

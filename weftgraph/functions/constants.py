@@ -76,6 +76,9 @@ THRESHOLDS = {"route": 0.05, "similar": 0.28, "search": 0.35, "classify": 0.05,
 # fixed values: characters of a full-text query that need a backslash, and what an answer without information holds
 QUERY_SPECIAL = r"""[+\-&|!(){}\[\]^"~*?:\\/]"""
 NOTHING_FOUND = "找不到相關資訊"
+# fixed values: patterns that read a rendered fact; its ends, and its ends with the label between them
+FACT_ENDS = r"^([^(]+)\([^)]*\)\s*-\[[^\]]*\]→\s*([^(]+)\("
+FACT_PARTS = r"^([^(]+)\([^)]*\)\s*-\[([^:]+):[^\]]*\]→\s*([^(]+)\([^)]*\)"
 # fixed values: bounds (least, most) and defaults of request fields; texts and lists by their length
 REQUESTS = {
     "search": {"text": (1, 4000, None), "top_k": (1, 50, 10), "min_score": (0.0, 1.0, 0.0)},

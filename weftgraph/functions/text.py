@@ -167,6 +167,12 @@ def parse_json(df: DataFrame, text_col: str, keys: tuple[str, ...]) -> DataFrame
     return rows.withColumn("rn", first).where("rn = 1").drop("rn", "line")
 
 
+def list_item(line: Column) -> Column:
+    """A line of a list without its number or bullet and without quotes around it; null stays null."""
+    bare = F.regexp_replace(strip(line), r"^(?:\d+[.)、]\s*|[-*•·]\s*)+", "")
+    return strip(F.regexp_replace(bare, r"^[\"'「」『』]+|[\"'「」『』]+$", ""))
+
+
 def calibrated(text: Column, factor: float = 0.9) -> Column:
     """Struct (clean, confidence): the JSON tail's value, 0.5 without one, at most 0.35 if the answer has no information, times factor, in [0, 1]."""
     raw = F.regexp_extract(text, C.CONFIDENCE_TAIL, 1).try_cast("double")

@@ -21,8 +21,8 @@ def expand_terms(terms: DataFrame, synonyms: DataFrame, per: int = 3) -> DataFra
     members = groups.join(F.broadcast(synonyms.withColumnRenamed("term", "member")), "group_id").where("member <> low")
     mine = members.withColumn("k", F.row_number().over(W.partitionBy("pos").orderBy("member"))).where(F.col("k") <= per)
     rows = groups.select("pos", F.lit(0).alias("k"), "term").unionByName(mine.select("pos", "k", F.col("member").alias("term")))
-    first = W.partitionBy(F.lower("term")).orderBy("pos", "k")
-    return rows.withColumn("rn", F.row_number().over(first)).where("rn = 1").select("pos", "k", "term")
+    first = rows.groupBy(F.lower("term").alias("low")).agg(F.min(F.struct("pos", "k", "term")).alias("r"))  # a frequent term meets itself on the map side
+    return first.select("r.*")
 
 
 def synonyms_of(terms: DataFrame, synonyms: DataFrame) -> DataFrame:
@@ -58,14 +58,14 @@ def sync_registry(registry: DataFrame, public: DataFrame) -> DataFrame:
 
 
 def align(entities: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """Entities (seq, name, instance_id, degree) of one meaning: key, canonical name (first seen), max degree, instances.
+    """Entities (seq, name, instance_id, degree) of one meaning: key, canonical name (first seen), max degree, number and sorted list of instances.
 
     The key is the least member of the synonym group, else the lower-case name.
     """
     least = synonyms.groupBy("group_id").agg(F.min("term").alias("key"))
     table = synonyms.join(least, "group_id").select(F.col("term").alias("low"), F.col("key").alias("group_key"))
     keyed = entities.withColumn("low", F.lower("name")).join(F.broadcast(table), "low", "left").withColumn("key", F.coalesce("group_key", "low"))
-    return keyed.groupBy("key").agg(F.min_by("name", "seq").alias("canonical_name"), F.max("degree").alias("max_degree"), F.countDistinct("instance_id").alias("instance_count"), F.count("*").alias("members"))
+    return keyed.groupBy("key").agg(F.min_by("name", "seq").alias("canonical_name"), F.max("degree").alias("max_degree"), F.array_sort(F.collect_set("instance_id")).alias("instances"), F.count("*").alias("members")).withColumn("instance_count", F.size("instances").cast("long"))
 
 
 def best_degree(entities: DataFrame) -> DataFrame:

@@ -235,11 +235,11 @@ def doc_citations(t):
     return t.edges.groupBy("source_doc_id").agg(F.count("*").alias("citations")).orderBy(F.desc("citations"), "source_doc_id").limit(10)
 
 
-@query("world_stats", "SELECT (SELECT count(*) FROM kgs WHERE is_public) AS kgs, (SELECT count(*) FROM entities WHERE kg_id IN (SELECT kg_id FROM kgs WHERE is_public)) AS entities, (SELECT count(*) FROM edges WHERE kg_id IN (SELECT kg_id FROM kgs WHERE is_public)) AS relations")
+@query("world_stats", "SELECT (SELECT count(*) FROM kgs WHERE is_public) AS kgs, (SELECT count(*) FROM entities WHERE kg_id IN (SELECT kg_id FROM kgs WHERE is_public)) AS entities, (SELECT count(*) FROM edges WHERE kg_id IN (SELECT kg_id FROM kgs WHERE is_public)) AS relations, (SELECT count(*) FROM kg_documents WHERE kg_id IN (SELECT kg_id FROM kgs WHERE is_public)) AS documents")
 def world_stats(t):
     public = t.kgs.where("is_public").select("kg_id")
     n = lambda df, c: df.join(F.broadcast(public), "kg_id", "left_semi").agg(F.count("*").alias(c))
-    return n(t.kgs, "kgs").join(n(t.entities, "entities"), F.lit(True)).join(n(t.edges, "relations"), F.lit(True))
+    return n(t.kgs, "kgs").join(n(t.entities, "entities"), F.lit(True)).join(n(t.edges, "relations"), F.lit(True)).join(n(t.kg_documents, "documents"), F.lit(True))
 
 
 @query("diff_counts", """SELECT count(*) FILTER (updated_at IS NULL) AS created_count, count(*) FILTER (updated_at IS NOT NULL) AS updated_count FROM

@@ -88,10 +88,12 @@ def components(t):
 
 
 @query("cluster_docs", """SELECT component, count(DISTINCT node) AS size, (SELECT round(avg(sim), 3) FROM sims s JOIN comps x ON s.a = x.node JOIN comps y ON s.b = y.node WHERE x.component = c.component AND y.component = c.component) AS similarity
-  FROM comps c GROUP BY component HAVING count(DISTINCT node) >= 2 AND similarity >= 0.35""", **CENTROIDS)
+       , (SELECT string_agg(name, '|' ORDER BY rn) FROM tops p WHERE p.component = c.component AND rn <= 15) AS top_concepts
+  FROM comps c GROUP BY component HAVING count(DISTINCT node) >= 2 AND similarity >= 0.35""",
+       tops="SELECT component, name, row_number() OVER (PARTITION BY component ORDER BY count(*) DESC, name) AS rn FROM doc_links JOIN comps ON owner_id = node GROUP BY component, name", **CENTROIDS)
 def cluster_docs(t):
     c = S.mean_vectors(t.doc_links, "owner_id")
-    return K.cluster_documents(c, "owner_id", t.doc_links.select("owner_id", "name")).select("component", "size", "similarity")
+    return K.cluster_documents(c, "owner_id", t.doc_links.select("owner_id", "name")).select("component", "size", "similarity", "top_concepts")
 
 
 @query("intra_similarity", "SELECT label, round(avg(list_cosine_similarity(a.q_vector, b.q_vector)), 5) AS similarity FROM concepts a JOIN (SELECT vec_id AS v2, label AS l2, q_vector FROM concepts) b ON label = l2 AND vec_id < v2 GROUP BY label")
@@ -245,9 +247,9 @@ def global_question(t):
     return t.read("benchmark").select("item_id", text.rlike("(?i)" + C.GLOBAL_QUESTION).alias("global"))
 
 
-@query("calibrate", "SELECT conv_id, turn, 'answer ' || turn AS clean, least(1.0::DOUBLE, greatest(0.0::DOUBLE, CASE WHEN turn % 2 = 0 THEN 0.85::DOUBLE ELSE 0.5::DOUBLE END * 0.9::DOUBLE)) AS confidence FROM conversations")
+@query("calibrate", "SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN '找不到相關資訊 ' ELSE 'answer ' END || turn AS clean, least(1.0::DOUBLE, greatest(0.0::DOUBLE, least(CASE WHEN turn % 2 = 0 THEN 0.85::DOUBLE ELSE 0.5::DOUBLE END, CASE WHEN turn % 3 = 2 THEN 0.35::DOUBLE ELSE 1.0::DOUBLE END) * 0.9::DOUBLE)) AS confidence FROM conversations")
 def calibrate(t):
-    text = F.concat(F.lit("answer "), "turn", F.when(F.col("turn") % 2 == 0, F.lit(' \n{"confidence": 0.85}')).otherwise(F.lit("")))
+    text = F.concat(F.when(F.col("turn") % 3 == 2, F.lit("找不到相關資訊 ")).otherwise(F.lit("answer ")), "turn", F.when(F.col("turn") % 2 == 0, F.lit(' \n{"confidence": 0.85}')).otherwise(F.lit("")))
     return t.read("conversations").select("conv_id", "turn", X.calibrated(text).alias("c")).select("conv_id", "turn", "c.*")
 
 
@@ -305,14 +307,16 @@ def first_seen(t):
 
 
 TERMS = {
-    "terms": "SELECT * FROM (VALUES (0, 'AI'), (1, 'zebra'), (2, 'Docker'), (3, 'ai'), (4, 'fine tuning'), (5, 'Zebra')) v(pos, term)",
+    "terms": "SELECT doc_id AS pos, CASE doc_id % 8 WHEN 0 THEN 'AI' WHEN 1 THEN 'zebra' WHEN 2 THEN 'Docker' WHEN 3 THEN 'ai' WHEN 4 THEN 'fine tuning' WHEN 5 THEN 'Zebra' ELSE title END AS term FROM docs",
     "syn": "SELECT * FROM (VALUES " + ", ".join(f"('{m}', {i})" for m, i in {m: i for i, g in enumerate(C.SYNONYMS) for m in g}.items()) + ") v(member, gid)",
     "expanded": """SELECT pos, 0 AS k, term FROM terms UNION ALL SELECT pos, k, member FROM (SELECT t.pos, s.member, row_number() OVER (PARTITION BY t.pos ORDER BY encode(s.member)) AS k FROM terms t JOIN syn g ON g.member = lower(t.term) JOIN syn s ON s.gid = g.gid AND s.member <> lower(t.term)) WHERE k <= 3""",
 }
 
 
 def _terms(t):
-    return t.spark.createDataFrame([(0, "AI"), (1, "zebra"), (2, "Docker"), (3, "ai"), (4, "fine tuning"), (5, "Zebra")], "pos int, term string")
+    """A term of each document: some known to the synonyms, some in two spellings, else its title."""
+    some = F.element_at(F.array(*map(F.lit, ["AI", "zebra", "Docker", "ai", "fine tuning", "Zebra"])), (F.col("doc_id") % 8 + 1).cast("int"))
+    return t.docs.select(F.col("doc_id").alias("pos"), F.when(F.col("doc_id") % 8 < 6, some).otherwise(F.col("title")).alias("term"))
 
 
 @query("expand_terms", "SELECT pos, k, term FROM (SELECT *, row_number() OVER (PARTITION BY lower(term) ORDER BY pos, k) AS rn FROM expanded) WHERE rn = 1", **TERMS)
@@ -351,14 +355,14 @@ def _entities(t):
     return c.select(F.col("c_custkey").alias("seq"), name.alias("name"), F.concat(F.lit("inst"), F.col("c_custkey") % 2).alias("instance_id"), F.col("c_nationkey").alias("degree"))
 
 
-@query("align_entities", "SELECT CASE WHEN name IN ('AI', 'Artificial Intelligence') THEN 'ai' ELSE lower(name) END AS key, arg_min(name, seq) AS canonical_name, max(degree) AS max_degree, count(DISTINCT instance_id) AS instance_count, count(*) AS members FROM raw_entities GROUP BY ALL", **ENT)
+@query("align_entities", "SELECT CASE WHEN name IN ('AI', 'Artificial Intelligence') THEN 'ai' ELSE lower(name) END AS key, arg_min(name, seq) AS canonical_name, max(degree) AS max_degree, count(DISTINCT instance_id) AS instance_count, string_agg(DISTINCT instance_id, '|' ORDER BY instance_id) AS instances, count(*) AS members FROM raw_entities GROUP BY ALL", **ENT)
 def align_entities(t):
-    return D.align(_entities(t), D.synonym_table(t.spark))
+    return D.align(_entities(t), D.synonym_table(t.spark)).withColumn("instances", F.array_join("instances", "|"))
 
 
-@query("aligned_stats", "SELECT count(*) AS entities, count(*) FILTER (n > 1) AS cross_instance FROM (SELECT CASE WHEN name IN ('AI', 'Artificial Intelligence') THEN 'ai' ELSE lower(name) END AS key, count(DISTINCT instance_id) AS n FROM raw_entities GROUP BY ALL)", **ENT)
+@query("aligned_stats", "SELECT count(*) AS entities, count(*) FILTER (n > 1) AS cross_instance, (SELECT string_agg(DISTINCT instance_id, '|' ORDER BY instance_id) FROM raw_entities) AS instances FROM (SELECT CASE WHEN name IN ('AI', 'Artificial Intelligence') THEN 'ai' ELSE lower(name) END AS key, count(DISTINCT instance_id) AS n FROM raw_entities GROUP BY ALL)", **ENT)
 def aligned_stats(t):
-    return D.align(_entities(t), D.synonym_table(t.spark)).agg(F.count("*").alias("entities"), F.count_if(F.col("instance_count") > 1).alias("cross_instance"))
+    return D.align(_entities(t), D.synonym_table(t.spark)).agg(F.count("*").alias("entities"), F.count_if(F.col("instance_count") > 1).alias("cross_instance"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("instances")))), "|").alias("instances"))
 
 
 @query("union_shards", "SELECT fact, arg_min(shard, shard * 1000000000 + seq) AS shard FROM (SELECT kg_id AS shard, row_number() OVER (PARTITION BY kg_id ORDER BY object, rel_type, subject, source_doc_id) AS seq, object AS fact FROM edges WHERE kg_id <> 2) GROUP BY fact")

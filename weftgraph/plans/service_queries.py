@@ -96,8 +96,7 @@ def truncations(t):
 @query("list_cleanup", r"SELECT item_id, 'term ' || item_id AS term FROM benchmark")
 def list_cleanup(t):
     raw = F.concat(F.when(F.col("item_id") % 3 == 0, F.lit("1. ")).when(F.col("item_id") % 3 == 1, F.lit('- "')).otherwise(F.lit("• ")), F.lit("term "), "item_id", F.when(F.col("item_id") % 3 == 1, F.lit('"')).otherwise(F.lit("")))
-    clean = F.regexp_replace(F.regexp_replace(X.strip(raw), r"^(?:\d+[.)、]\s*|[-*•·]\s*)+", ""), r"^[\"'「」『』]+|[\"'「」『』]+$", "")
-    return t.read("benchmark").select("item_id", X.strip(clean).alias("term"))
+    return t.read("benchmark").select("item_id", X.list_item(raw).alias("term"))
 
 
 @query("fingerprints", "SELECT owner_id, i - 1 AS pos, round(avg(q_vector[i]), 4) AS x FROM firsts, range(1, 65) r(i) GROUP BY owner_id, i", firsts="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY round((interest + professional) / 2, 4) DESC, name) AS rn FROM links) WHERE rn <= 20")
