@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.operators import cluster, communities, components, graph, history, store
+from weftgraph.operators import communities, components, graph, history, store
 from weftgraph.streaming.streams import limit_requests
 
 EDGE = "kg_id long, subject string, subject_type string, rel_type string, verb string, object string, object_type string, source_doc_id long, confidence long, created_at timestamp, updated_at timestamp"
