@@ -7,23 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from weftgraph.functions import constants as C
-from weftgraph.operators.components import connected_components
-from weftgraph.operators.scoring import pair_similarity
+from weftgraph.operators.scoring import mean_pair_cosine
+from weftgraph.operators.selfjoin import similar_groups
+from weftgraph.session import materialise
 
 
-def threshold_components(sims: DataFrame, nodes: DataFrame, least: float = C.CLUSTER_COS) -> DataFrame:
-    """(node, component) of all nodes: components of the pairs (a, b, sim) from `least` on; others stand alone."""
-    labels = connected_components(sims.where(F.col("sim") >= least), "a", "b")
-    return nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def threshold_components(centroids: DataFrame, owner: str, least: float = C.CLUSTER_COS) -> DataFrame:
+    """(node, component) of all owners: components of the pairs with a cosine from `least` on; others stand alone."""
+    return similar_groups(centroids, owner, "centroid", least)
+
+
+def unmatched(links: DataFrame, scores: DataFrame, least: float = C.ROUTE_MIN, owner: str = "owner_id") -> DataFrame:
+    """The links of owners that wait for a graph: those without a score (owner, score), and those whose best is under `least`."""
+    placed = scores.where(F.col("score") >= least).select(owner).distinct()
+    return links.join(placed, owner, "left_anti")
 
 
 def cluster_documents(centroids: DataFrame, owner: str, concepts: DataFrame, least: float = C.CLUSTER_COS, smallest: int = C.CLUSTER_MIN) -> DataFrame:
     """(component, size, similarity, top_concepts): components whose mean over all member pairs reaches `least`."""
-    sims = pair_similarity(centroids, owner)
-    labels = threshold_components(sims, centroids.select(F.col(owner).alias("node")), least)
+    labels = materialise(threshold_components(centroids, owner, least), "cluster-labels")
     sizes = labels.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") >= smallest)
-    a, b = labels.select(F.col("node").alias("a"), "component"), labels.select(F.col("node").alias("b"), F.col("component").alias("component_b"))
-    mean = sims.join(a, "a").join(b, "b").where("component = component_b").groupBy("component").agg(F.round(F.avg("sim"), 3).alias("similarity"))
+    members = centroids.join(labels.withColumnRenamed("node", owner), owner)
+    mean = mean_pair_cosine(members, "component", "centroid").select("component", F.round("similarity", 3).alias("similarity"))
     kept = sizes.join(mean, "component").where(F.col("similarity") >= least)
     names = concepts.join(labels.withColumnRenamed("node", owner), owner).groupBy("component", "name").agg(F.count("*").alias("n"))
     top = names.withColumn("rn", F.row_number().over(W.partitionBy("component").orderBy(F.desc("n"), "name"))).where(F.col("rn") <= 15)

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from weftgraph.functions import constants as C
 from weftgraph.functions.vectors import alignment, cosine_of, dot, magnitude, norm
+from weftgraph.operators.selfjoin import similar_pairs
 
 
 def pairs(queries: DataFrame, concepts: DataFrame, floor: float | None = C.COS_FLOOR) -> DataFrame:
@@ -70,11 +71,9 @@ def mean_vectors(df: DataFrame, owner: str, vector: str = "q_vector", digits: in
     return packed.select(owner, F.transform("v", lambda e: F.round(e["x"], digits)).alias("centroid"))
 
 
-def pair_similarity(centroids: DataFrame, owner: str) -> DataFrame:
-    """(a, b, sim) of all pairs a < b of a staging set (documents awaiting a graph, not a corpus)."""
-    a = centroids.select(F.col(owner).alias("a"), F.col("centroid").alias("va"), norm(F.col("centroid")).alias("na"))
-    b = centroids.select(F.col(owner).alias("b"), F.col("centroid").alias("vb"), norm(F.col("centroid")).alias("nb"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(cosine_of(dot(F.col("va"), F.col("vb")), F.col("na"), F.col("nb")), 6).alias("sim"))
+def pair_similarity(centroids: DataFrame, owner: str, least: float) -> DataFrame:
+    """(a, b, sim) of all pairs a < b of owners whose centroids have a cosine of at least `least`."""
+    return similar_pairs(centroids, owner, "centroid", least)
 
 
 def mean_pair_cosine(vectors: DataFrame, group: str, vector: str = "q_vector") -> DataFrame:

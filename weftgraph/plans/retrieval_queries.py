@@ -13,6 +13,7 @@ from weftgraph.operators import federation as D
 from weftgraph.operators import indexes as I
 from weftgraph.operators import retrieval as R
 from weftgraph.operators import scoring as S
+from weftgraph.operators import selfjoin as J
 from weftgraph.plans.registry import query
 
 SCORES = {
@@ -78,24 +79,48 @@ def centroids(t):
 
 @query("doc_pair_similarity", "SELECT a, b, sim FROM sims WHERE sim >= 0.1", **CENTROIDS)
 def doc_pair_similarity(t):
-    return S.pair_similarity(S.mean_vectors(t.doc_links, "owner_id"), "owner_id").where("sim >= 0.1")
+    return S.pair_similarity(S.mean_vectors(t.doc_links, "owner_id"), "owner_id", 0.1)
+
+
+@query("similar_concepts", "SELECT a.name AS a, b.name AS b, round(list_cosine_similarity(a.q_vector, b.q_vector), 6) AS sim FROM concepts a JOIN concepts b ON a.name < b.name WHERE round(list_cosine_similarity(a.q_vector, b.q_vector), 6) >= 0.4")
+def similar_concepts(t):
+    """All pairs of concepts from a cosine on, over all concepts."""
+    return J.similar_pairs(t.concepts, "name", "q_vector", 0.4)
 
 
 @query("components", "SELECT node, component FROM comps", **CENTROIDS)
 def components(t):
     c = S.mean_vectors(t.doc_links, "owner_id")
-    return K.threshold_components(S.pair_similarity(c, "owner_id"), c.select(F.col("owner_id").alias("node")))
+    return K.threshold_components(c, "owner_id")
 
 
-@query("cluster_docs", """SELECT component, count(DISTINCT node) AS size, (SELECT round(avg(sim), 3) FROM sims s JOIN comps x ON s.a = x.node JOIN comps y ON s.b = y.node WHERE x.component = c.component AND y.component = c.component) AS similarity
+CLUSTERS = """SELECT component, count(DISTINCT node) AS size, (SELECT round(avg(sim), 3) FROM sims s JOIN comps x ON s.a = x.node JOIN comps y ON s.b = y.node WHERE x.component = c.component AND y.component = c.component) AS similarity
        , (SELECT string_agg(name, '|' ORDER BY rn) FROM tops p WHERE p.component = c.component AND rn <= 15) AS top_concepts
-  FROM comps c GROUP BY component HAVING count(DISTINCT node) >= 2 AND similarity >= 0.35""",
-       tops="SELECT component, name, row_number() OVER (PARTITION BY component ORDER BY count(*) DESC, name) AS rn FROM doc_links JOIN comps ON owner_id = node GROUP BY component, name", **CENTROIDS)
+  FROM comps c GROUP BY component HAVING count(DISTINCT node) >= 2 AND similarity >= 0.35"""
+TOPS = {"tops": "SELECT component, name, row_number() OVER (PARTITION BY component ORDER BY count(*) DESC, name) AS rn FROM doc_links JOIN comps ON owner_id = node GROUP BY component, name"}
+
+
+@query("cluster_docs", CLUSTERS, **TOPS, **CENTROIDS)
 def cluster_docs(t):
     c = S.mean_vectors(t.doc_links, "owner_id")
     return K.cluster_documents(c, "owner_id", t.doc_links.select("owner_id", "name")).select("component", "size", "similarity", "top_concepts")
 
 
+#: The same over the links of documents that no graph's question reaches.
+STAGED = {k: v.replace("doc_links", "staged") for k, v in (TOPS | CENTROIDS).items()} | {
+    "doc_scores": "SELECT owner_id, round(sum(cos * al * mag) / sum(mag), 4) AS score FROM (SELECT *, (1.6 + interest + professional) / 4 AS mag, greatest(0, 1 - (abs(0.8::DOUBLE - interest) + abs(0.8::DOUBLE - professional)) / 2) AS al, list_cosine_similarity(q_vector, q_vec) AS cos FROM doc_links CROSS JOIN queries) WHERE cos >= 0.01 GROUP BY owner_id",
+    "staged": "SELECT * FROM doc_links WHERE owner_id NOT IN (SELECT owner_id FROM doc_scores WHERE score >= 0.05)",
+}
+
+
+@query("cluster_staging", CLUSTERS, **STAGED)
+def cluster_staging(t):
+    """Clusters of the documents that match no graph: without a score, or with one under the least."""
+    links = K.unmatched(t.doc_links, S.match_scores(t.queries, t.doc_links))
+    c = S.mean_vectors(links, "owner_id")
+    return K.cluster_documents(c, "owner_id", links.select("owner_id", "name")).select("component", "size", "similarity", "top_concepts")
+
+
 @query("intra_similarity", "SELECT label, round(avg(list_cosine_similarity(a.q_vector, b.q_vector)), 5) AS similarity FROM concepts a JOIN (SELECT vec_id AS v2, label AS l2, q_vector FROM concepts) b ON label = l2 AND vec_id < v2 GROUP BY label")
 def intra_similarity(t):
     return S.mean_pair_cosine(t.concepts, "label").select("label", F.round("similarity", 5).alias("similarity"))
