@@ -46,6 +46,37 @@ def test_confidence_filters_after_expansion(spark):
     assert [(r["subject"], r["object"]) for r in got] == [("b", "c")]
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_a_hub_is_spread_and_nothing_changes(spark, monkeypatch, few):
+    monkeypatch.setattr(graph.J, "HOT_ROWS", 8)
+    monkeypatch.setattr(graph, "FEW", few)
+    rng = random.Random(6)
+    pairs = [("hub", f"n{i}") for i in range(40)] + [(f"n{rng.randrange(40)}", f"n{rng.randrange(60)}") for _ in range(60)] + [("n1", "n1")]
+    rows = [edge(a, b, c=rng.randrange(1, 9), d=i) for i, (a, b) in enumerate(pairs)]
+    df = spark.createDataFrame(rows, EDGE)
+    seeds = spark.createDataFrame([(0, f"n{i}") for i in (1, 2, 3, 50)], "kg_id long, seed string")
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for hops in (1, 2, 3):
+        for s in ("n1", "n2", "n3", "n50"):
+            nodes = {s}
+            for _ in range(hops - 1):
+                nodes |= {o for n in nodes for o in near.get(n, ())}
+            want[hops, s] = {i for i, p in enumerate(pairs) if nodes & set(p)}
+        got = graph.expand(df, seeds, hops).collect()
+        assert len(got) == sum(len(want[hops, s]) for s in ("n1", "n2", "n3", "n50"))
+        assert all(r["source_doc_id"] in want[hops, r["seed"]] for r in got)
+        for limit, least in ((3, 1), (5, 4)):
+            plain = graph.seed_top(graph.expand(df, seeds, hops), limit, least).select("seed", "source_doc_id", "seed_rank")
+            early = graph.expand_top(df, seeds, hops, limit, least).select("seed", "source_doc_id", "seed_rank")
+            assert sorted(map(tuple, early.collect())) == sorted(map(tuple, plain.collect()))
+    met = graph.Adjacency(graph.undirected(df), 300, ("other",))
+    assert [(r["node"], r["parts"]) for r in met.hubs.collect() if r["node"] == "hub"] == [("hub", 5)]
+
+
 def test_fact_text_and_orphans(spark):
     df = spark.createDataFrame([edge("Transformer", "多頭注意力"), edge("多頭注意力", "長距離依賴建模", "IMPROVES")], EDGE)
     assert df.select(graph.fact_text().alias("f")).first()["f"] == "Transformer(概念) -[使用:uses]→ 多頭注意力(概念)"

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from weftgraph.functions import constants as C
 from weftgraph.functions.vectors import decay
+from weftgraph.operators import joins as J
 from weftgraph.session import materialise
 
 KEY = ("subject", "rel_type", "object", "source_doc_id")
@@ -51,25 +54,78 @@ def seed_neighbours(edges: DataFrame, seeds: DataFrame, limit: int = C.SEED_NEIG
     return seeds.select("kg_id", "seed").unionByName(near)
 
 
-def expand(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """(kg_id, seed, edge...) of all edges on undirected paths of at most `hops` edges from each seed.
+#: Rows of a frontier that are broadcast at most; beyond it a frontier is joined by a shuffle.
+FEW = 100_000
 
-    Those are the edges with an endpoint at distance hops - 1 or less, so only
-    hops - 1 frontier joins run and paths are never listed. The frontier keeps
-    the seed; nodes already reached leave it by an anti join. Neighbours and
-    each frontier are written once, so a hop adds a constant to the plan.
+
+class Adjacency:
+    """Rows (kg_id, node, ...) that frontiers (kg_id, seed, node) meet, whatever the share of one node is.
+
+    A frontier of FEW rows at most is broadcast, so the rows stay where they
+    are. A longer one is joined by a shuffle: the rows of a node with more than
+    HOT_ROWS of them are numbered into parts of about that size by a hash of
+    `split`, and a frontier row at such a node goes to each of its parts. The
+    list of these nodes is broadcast; it has at most HOT_KEYS rows, because the
+    limit is raised with `total`, a bound on the number of rows.
     """
-    reached = seeds.select("kg_id", "seed", F.col("seed").alias("node")).distinct()
-    if hops > 1:
+
+    def __init__(self, rows: DataFrame, total: int, split: tuple[str, ...]):
+        self.rows, self.split, self.limit = rows, split, max(J.HOT_ROWS, total // J.HOT_KEYS)
+        self.all = total
+
+    @cached_property
+    def hubs(self) -> DataFrame | None:
+        """(kg_id, node, parts) of the nodes with many rows; None if there are none."""
+        if self.all <= self.limit:
+            return None
+        sizes = self.rows.groupBy("kg_id", "node").agg(F.count("*").alias("n")).where(F.col("n") > self.limit)
+        found = materialise(sizes.select("kg_id", "node", F.ceil(F.col("n") / self.limit).cast("int").alias("parts")), "expand-hubs")
+        return None if found.isEmpty() else found
+
+    def _parts(self, df: DataFrame, part: Column) -> DataFrame:
+        return df.join(F.broadcast(self.hubs), ["kg_id", "node"], "left").withColumn("part", part).drop("parts")
+
+    def meet(self, at: DataFrame) -> DataFrame:
+        """The join with `at`, a written table (kg_id, seed, node)."""
+        if at.count() <= FEW:
+            return self.rows.join(F.broadcast(at), ["kg_id", "node"])
+        if self.hubs is None:
+            return self.rows.join(at, ["kg_id", "node"])
+        spread = self._parts(self.rows, F.coalesce(F.pmod(F.xxhash64(*self.split), F.col("parts")), F.lit(0)))
+        each = self._parts(at, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)).cast("long") - 1)))
+        return spread.join(each, ["kg_id", "node", "part"]).drop("part")
+
+
+def reach(edges: DataFrame, seeds: DataFrame, steps: int) -> DataFrame:
+    """(kg_id, seed, node) of all nodes at undirected distance `steps` or less from each seed, as a written table.
+
+    The frontier keeps the seed; nodes already reached leave it by an anti
+    join. Neighbours and each frontier are written once, so a step adds a
+    constant to the plan.
+    """
+    reached = frontier = materialise(seeds.select("kg_id", "seed", F.col("seed").alias("node")).distinct(), "expand-seeds")
+    if steps > 0:
         near = materialise(undirected(edges), "expand-near")
-        frontier = reached = materialise(reached, "expand-seeds")
-    for _ in range(hops - 1):
-        step = frontier.join(near, ["kg_id", "node"]).select("kg_id", "seed", F.col("other").alias("node")).distinct()
+        met = Adjacency(near, near.count(), ("other",))
+    for _ in range(steps):
+        step = met.meet(frontier).select("kg_id", "seed", F.col("other").alias("node")).distinct()
         frontier = materialise(step.join(reached, ["kg_id", "seed", "node"], "left_anti"), "expand-frontier")
         reached = reached.unionByName(frontier)
-    ends = edges.select("*", F.explode(F.array_distinct(F.array("subject", "object"))).alias("node"))
-    hit = ends.join(reached, ["kg_id", "node"]).drop("node")
-    return hit.dropDuplicates(["kg_id", "seed", *KEY])
+    return reached
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select("*", F.explode(F.array_distinct(F.array("subject", "object"))).alias("node"))
+
+
+def expand(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+    """(kg_id, seed, edge...) of all edges on undirected paths of at most `hops` edges from each seed.
+
+    Those are the edges with an endpoint at distance hops - 1 or less, so only
+    hops - 1 frontier joins run and paths are never listed.
+    """
+    met = Adjacency(_ends(edges), 2 * edges.count(), KEY)
+    return met.meet(reach(edges, seeds, hops - 1)).drop("node").dropDuplicates(["kg_id", "seed", *KEY])
 
 
 def seed_top(hits: DataFrame, limit: int = C.SEED_FACTS, min_conf: int = 1) -> DataFrame:
@@ -78,6 +134,23 @@ def seed_top(hits: DataFrame, limit: int = C.SEED_FACTS, min_conf: int = 1) -> D
     return hits.where(F.col("confidence") >= min_conf).withColumn("seed_rank", F.row_number().over(order)).where(F.col("seed_rank") <= limit)
 
 
+def expand_top(edges: DataFrame, seeds: DataFrame, hops: int, limit: int = C.SEED_FACTS, min_conf: int = 1) -> DataFrame:
+    """What `seed_top` of `expand` returns, but no more than `limit` edges of a node reach the join.
+
+    A seed's best edges are among the best of the nodes that it reaches, so
+    each node's edges are ranked first, in the same order. Spark limits each
+    group before that rank's shuffle: a hub moves `limit` rows per task.
+    """
+    rank = F.row_number().over(W.partitionBy("kg_id", "node").orderBy(F.desc("confidence"), *KEY))
+    reached = reach(edges, seeds, hops - 1)
+    ends = _ends(edges.where(F.col("confidence") >= min_conf))
+    if reached.count() <= FEW:  # ranks of the nodes that matter alone
+        ends = ends.join(F.broadcast(reached.select("kg_id", "node").distinct()), ["kg_id", "node"], "left_semi")
+    best = ends.withColumn("rn", rank).where(F.col("rn") <= limit).drop("rn")
+    hits = best.join(reached, ["kg_id", "node"]).drop("node").dropDuplicates(["kg_id", "seed", *KEY])
+    return seed_top(hits, limit, min_conf)
+
+
 def grouped_facts(hits: DataFrame, docs: int = C.FACT_DOCS) -> DataFrame:
     """Facts by their six fields: greatest confidence, at most `docs` documents, latest creation."""
     return hits.groupBy("kg_id", *FACT).agg(F.max("confidence").alias("confidence"), F.slice(F.array_sort(F.collect_set("source_doc_id")), 1, docs).alias("docs"), F.max("created_at").alias("created_at"))
@@ -106,7 +179,7 @@ def fact_text(labels: dict[str, str] = C.REL_LABELS) -> Column:
 def query_facts(edges: DataFrame, entities: DataFrame, terms: list[str], now: Column, hops: int = 2, limit: int = C.FACT_LIMIT, min_conf: int = 1) -> DataFrame:
     """Facts around the entities that the terms name: expansion, per-seed limit, grouping, limit, decay order."""
     seeds = names_containing(entities, terms).select("kg_id", F.col("name").alias("seed"))
-    facts = top_facts(grouped_facts(seed_top(expand(edges, seeds, hops), min_conf=min_conf)), limit)
+    facts = top_facts(grouped_facts(expand_top(edges, seeds, hops, min_conf=min_conf)), limit)
     return decayed(facts, now).withColumn("fact", fact_text())
 
 

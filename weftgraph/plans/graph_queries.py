@@ -158,7 +158,7 @@ def seed_expand(t):
 
 @query("seed_topk", f"SELECT seed, {COLS}, confidence, seed_rank FROM top2", **HOP)
 def seed_topk(t):
-    return G.seed_top(G.expand(t.edges, seeds(t, "supplier-1"), 2)).select("seed", *KEY, "confidence", F.col("seed_rank").cast("long").alias("seed_rank"))
+    return G.expand_top(t.edges, seeds(t, "supplier-1"), 2).select("seed", *KEY, "confidence", F.col("seed_rank").cast("long").alias("seed_rank"))
 
 
 CHAIN = HOP | {"meeting": "SELECT kg_id, subject AS node, object AS other FROM best UNION SELECT kg_id, object, subject FROM best"}
@@ -167,7 +167,7 @@ CHAIN = HOP | {"meeting": "SELECT kg_id, subject AS node, object AS other FROM b
 @query("chains", """SELECT DISTINCT a.kg_id, a.node AS first, a.other AS second, b.other AS third FROM meeting a JOIN meeting b ON a.kg_id = b.kg_id AND a.other = b.node
   WHERE a.node <> b.other AND a.node <> a.other ORDER BY a.kg_id, first, second, third LIMIT 10""", **CHAIN)
 def chains(t):
-    f = G.top_facts(G.grouped_facts(G.seed_top(G.expand(t.edges, seeds(t, "supplier-1"), 2))))
+    f = G.top_facts(G.grouped_facts(G.expand_top(t.edges, seeds(t, "supplier-1"), 2)))
     return G.chains(G.undirected(f).select("kg_id", F.col("node").alias("subject"), F.col("other").alias("object")))
 
 
@@ -210,7 +210,7 @@ def neighbors(t):
 
 @query("grouped_facts", "SELECT * FROM grouped", **HOP)
 def grouped_facts(t):
-    f = G.grouped_facts(G.seed_top(G.expand(t.edges, seeds(t, "supplier-1"), 2)))
+    f = G.grouped_facts(G.expand_top(t.edges, seeds(t, "supplier-1"), 2))
     return f.withColumn("docs", F.array_join(F.col("docs").cast("array<string>"), ","))
 
 
@@ -284,7 +284,7 @@ def per_kg_quota(t):
 
 @query("decay_rank", f"SELECT *, row_number() OVER (ORDER BY score DESC, confidence DESC, subject, subject_type, rel_type, verb, object, object_type) AS rank FROM (SELECT kg_id, subject, subject_type, rel_type, verb, object, object_type, confidence, round(confidence * {DECAY_SQL}, 6) AS score FROM best)", **HOP)
 def decay_rank(t):
-    f = G.top_facts(G.grouped_facts(G.seed_top(G.expand(t.edges, seeds(t, "supplier-1"), 2))))
+    f = G.top_facts(G.grouped_facts(G.expand_top(t.edges, seeds(t, "supplier-1"), 2)))
     return G.decayed(f, now()).select("kg_id", *G.FACT, "confidence", "score", F.col("rank").cast("long").alias("rank"))
 
 
