@@ -136,29 +136,29 @@ def entity_degree(t):
 
 @query("bfs_1hop", f"SELECT seed, {COLS} FROM hit1", **HOP)
 def bfs_1hop(t):
-    return G.expand(t.edges, seeds(t, "supplier-1"), 1).select("seed", *KEY)
+    return G.expand(t.stored_edges, seeds(t, "supplier-1"), 1).select("seed", *KEY)
 
 
 @query("bfs_2hop", "SELECT kg_id, seed, count(*) AS edges, sum(confidence)::BIGINT AS confidence FROM hit2 GROUP BY ALL", **HOP)
 def bfs_2hop(t):
-    return G.expand(t.edges, seeds(t, "supplier-1"), 2).groupBy("kg_id", "seed").agg(F.count("*").alias("edges"), F.sum("confidence").alias("confidence"))
+    return G.expand(t.stored_edges, seeds(t, "supplier-1"), 2).groupBy("kg_id", "seed").agg(F.count("*").alias("edges"), F.sum("confidence").alias("confidence"))
 
 
 @query("bfs_3hop", "SELECT kg_id, seed, count(*) AS edges FROM hit3 GROUP BY ALL", **(HOP | {"seeds": "SELECT kg_id, name AS seed FROM entities WHERE name = 'supplier-12'"}))
 def bfs_3hop(t):
     one = t.entities.where("name = 'supplier-12'").select("kg_id", F.col("name").alias("seed"))
-    return G.expand(t.edges, one, 3).groupBy("kg_id", "seed").agg(F.count("*").alias("edges"))
+    return G.expand(t.stored_edges, one, 3).groupBy("kg_id", "seed").agg(F.count("*").alias("edges"))
 
 
 @query("seed_expand", """SELECT kg_id, seed FROM seeds UNION ALL SELECT kg_id, other FROM (SELECT *, row_number() OVER (PARTITION BY kg_id ORDER BY other) AS rn FROM
   (SELECT DISTINCT u.kg_id, u.other FROM undirected u JOIN seeds s ON u.kg_id = s.kg_id AND u.node = s.seed WHERE NOT EXISTS (SELECT 1 FROM seeds x WHERE x.kg_id = u.kg_id AND x.seed = u.other))) WHERE rn <= 20""", **HOP)
 def seed_expand(t):
-    return G.seed_neighbours(t.edges, seeds(t, "supplier-1"))
+    return G.seed_neighbours(t.stored_edges, seeds(t, "supplier-1"))
 
 
 @query("seed_topk", f"SELECT seed, {COLS}, confidence, seed_rank FROM top2", **HOP)
 def seed_topk(t):
-    return G.expand_top(t.edges, seeds(t, "supplier-1"), 2).select("seed", *KEY, "confidence", F.col("seed_rank").cast("long").alias("seed_rank"))
+    return G.expand_top(t.stored_edges, seeds(t, "supplier-1"), 2).select("seed", *KEY, "confidence", F.col("seed_rank").cast("long").alias("seed_rank"))
 
 
 CHAIN = HOP | {"meeting": "SELECT kg_id, subject AS node, object AS other FROM best UNION SELECT kg_id, object, subject FROM best"}
@@ -167,7 +167,7 @@ CHAIN = HOP | {"meeting": "SELECT kg_id, subject AS node, object AS other FROM b
 @query("chains", """SELECT DISTINCT a.kg_id, a.node AS first, a.other AS second, b.other AS third FROM meeting a JOIN meeting b ON a.kg_id = b.kg_id AND a.other = b.node
   WHERE a.node <> b.other AND a.node <> a.other ORDER BY a.kg_id, first, second, third LIMIT 10""", **CHAIN)
 def chains(t):
-    f = G.top_facts(G.grouped_facts(G.expand_top(t.edges, seeds(t, "supplier-1"), 2)))
+    f = G.top_facts(G.grouped_facts(G.expand_top(t.stored_edges, seeds(t, "supplier-1"), 2)))
     return G.chains(G.undirected(f).select("kg_id", F.col("node").alias("subject"), F.col("other").alias("object")))
 
 
@@ -205,12 +205,12 @@ def entity_chunks(t):
 @query("neighbors", """SELECT kg_id, neighbour, count(*) AS edges FROM (SELECT kg_id, object AS neighbour FROM edges WHERE subject = 'supplier-3' UNION ALL SELECT kg_id, subject FROM edges WHERE object = 'supplier-3')
   GROUP BY ALL ORDER BY edges DESC, kg_id, neighbour LIMIT 50""")
 def neighbors(t):
-    return G.neighbours(t.edges, "supplier-3")
+    return G.neighbours(t.stored_edges, "supplier-3")
 
 
 @query("grouped_facts", "SELECT * FROM grouped", **HOP)
 def grouped_facts(t):
-    f = G.grouped_facts(G.expand_top(t.edges, seeds(t, "supplier-1"), 2))
+    f = G.grouped_facts(G.expand_top(t.stored_edges, seeds(t, "supplier-1"), 2))
     return f.withColumn("docs", F.array_join(F.col("docs").cast("array<string>"), ","))
 
 
@@ -284,7 +284,7 @@ def per_kg_quota(t):
 
 @query("decay_rank", f"SELECT *, row_number() OVER (ORDER BY score DESC, confidence DESC, subject, subject_type, rel_type, verb, object, object_type) AS rank FROM (SELECT kg_id, subject, subject_type, rel_type, verb, object, object_type, confidence, round(confidence * {DECAY_SQL}, 6) AS score FROM best)", **HOP)
 def decay_rank(t):
-    f = G.top_facts(G.grouped_facts(G.expand_top(t.edges, seeds(t, "supplier-1"), 2)))
+    f = G.top_facts(G.grouped_facts(G.expand_top(t.stored_edges, seeds(t, "supplier-1"), 2)))
     return G.decayed(f, now()).select("kg_id", *G.FACT, "confidence", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -364,7 +364,7 @@ def get_or_create(t):
 @query("query_facts", f"""SELECT *, {FACT_SQL} AS fact FROM (SELECT *, row_number() OVER (ORDER BY score DESC, confidence DESC, subject, subject_type, rel_type, verb, object, object_type) AS rank
   FROM (SELECT kg_id, subject, subject_type, rel_type, verb, object, object_type, confidence, docs, round(confidence * {DECAY_SQL}, 6) AS score FROM best))""", **HOP)
 def query_facts(t):
-    f = G.query_facts(t.edges, t.entities, ["Supplier-1"], now())
+    f = G.query_facts(t.stored_edges, t.entities, ["Supplier-1"], now())
     return f.select("kg_id", *G.FACT, "confidence", F.array_join(F.col("docs").cast("array<string>"), ",").alias("docs"), "score", F.col("rank").cast("long").alias("rank"), "fact")
 
 
@@ -374,7 +374,7 @@ def query_facts(t):
   LEFT JOIN (SELECT doc_id, title FROM docs) d ON f.source_doc_id = d.doc_id WHERE rn = 1""", **HOP)
 def provenance_facts(t):
     titles = t.docs.select(F.col("doc_id").alias("source_doc_id"), "title")
-    return G.provenance_facts(t.edges, t.entities, titles, ["supplier-1"], now()).select(*KEY, "confidence", "score", "title")
+    return G.provenance_facts(t.stored_edges, t.entities, titles, ["supplier-1"], now()).select(*KEY, "confidence", "score", "title")
 
 
 REMOTE = "map([" + ", ".join(f"'{k}'" for k in C.REMOTE_LABELS) + "], [" + ", ".join(f"'{v}'" for v in C.REMOTE_LABELS.values()) + "])"
@@ -383,7 +383,7 @@ REMOTE = "map([" + ", ".join(f"'{k}'" for k in C.REMOTE_LABELS) + "], [" + ", ".
 @query("remote_facts", f"SELECT kg_id, '[inst-2] ' || {FACT_SQL.replace(LABELS, REMOTE)} AS fact FROM hit1 ORDER BY subject, rel_type, object, source_doc_id LIMIT 30", **(HOP | {"seeds": "SELECT kg_id, name AS seed FROM entities WHERE name = 'supplier-5'"}))
 def remote_facts(t):
     one = t.entities.where("name = 'supplier-5'").select("kg_id", F.col("name").alias("seed"))
-    hit = G.expand(t.edges, one, 1).orderBy("subject", "rel_type", "object", "source_doc_id").limit(30)
+    hit = G.expand(t.stored_edges, one, 1).orderBy("subject", "rel_type", "object", "source_doc_id").limit(30)
     return hit.select("kg_id", F.concat(F.lit("[inst-2] "), G.fact_text(C.REMOTE_LABELS)).alias("fact"))
 
 

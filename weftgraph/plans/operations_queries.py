@@ -85,7 +85,7 @@ def federated_facts(t):
         def ask(terms):
             if kg == 2:
                 raise ValueError("no such store")
-            edges, entities = t.edges.where(F.col("kg_id") == kg), t.entities.where(F.col("kg_id") == kg)
+            edges, entities = t.stored_edges.where(F.col("kg_id") == kg), t.entities.where(F.col("kg_id") == kg)
             seeds = G.names_containing(entities, terms).select("kg_id", F.col("name").alias("seed"))
             hits = G.expand(edges, seeds, 1).drop("seed").dropDuplicates(["kg_id", *G.KEY])
             return [r["fact"] for r in hits.orderBy(F.desc("confidence"), *G.KEY).limit(30).select(G.fact_text().alias("fact")).collect()]  # 30 at most
