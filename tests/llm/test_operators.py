@@ -242,6 +242,13 @@ def test_suffix_statistics_leave_the_fold_out(spark):
 # --- 5 quality
 
 
+def test_url_sample_counts_copies_and_is_bounded(spark):
+    rows = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 'http://hot.org/a' ELSE concat('http://h', id, '.org/a') END AS url", "'h' AS host", "'/a' AS path", "CAST(0 AS double) AS blocked")
+    whole = {r["url"]: r["copies"] for r in urlfilter.url_sample(rows, 5000, 1).collect()}
+    assert len(whole) == 2001 and whole["http://hot.org/a"] == 1000.0 and set(whole.values()) == {1.0, 1000.0}
+    assert 100 < urlfilter.url_sample(rows, 200, 1).count() < 300
+
+
 def test_statistics_in_pieces(monkeypatch):
     rng = random.Random(9)
     words = ["Ab", "cd.", "中文", "ИКС", "x1", "9", "été,", "$$"]

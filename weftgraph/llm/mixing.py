@@ -42,7 +42,8 @@ def water_fill(sizes: Sequence[float], weights: Sequence[float], total: float, m
         for i in over:
             target[i] = float(max_epochs * sizes[i])
             left -= target[i]
-        free = [i for i in free if i not in set(over)]
+        capped = set(over)
+        free = [i for i in free if i not in capped]
     return target
 
 

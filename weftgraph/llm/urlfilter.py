@@ -103,13 +103,20 @@ def _fold(url: Column) -> Column:
     return F.pmod(F.xxhash64(url, F.lit(31)), F.lit(FOLDS)).cast("int")
 
 
+def url_sample(labelled: DataFrame, bound: int, seed: int) -> DataFrame:
+    """(url, host, path, blocked, copies): about `bound` of the distinct labelled urls, each one row that counts its copies, so a repeated url brings no more rows than another."""
+    urls = labelled.groupBy("url", "host", "path", "blocked").agg(F.count("*").cast("double").alias("copies"))
+    urls = materialise(urls, "url-labels")
+    return hash_sample(urls, F.col("url"), urls.count(), bound, seed)
+
+
 def judge(df: DataFrame, labelled: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str]] = RULES, seed: int = 23) -> DataFrame:
     """Verdict on every url: the longest fitting rule's, else the trees'.
 
     labelled: (url, blocked 0 or 1). By default the urls that the rules decide
     are the labelled ones. The trees are fitted on a seeded hash sample of
-    about FIT_ROWS of them and scored on the JVM in the same pass that judges
-    the rules. Besides lengths, ratios and counts the features are the
+    about FIT_ROWS of the distinct ones, weighed by their copies, and scored
+    on the JVM in the same pass that judges the rules. Besides lengths, ratios and counts the features are the
     smoothed share of blocked urls and the logarithm of the number of urls by
     last host label and by first path segment, over all labelled urls and out
     of fold (`part_statistics`); these tables are broadcast while their counted
@@ -142,10 +149,10 @@ def judge(df: DataFrame, labelled: DataFrame | None = None, id_col: str = "page_
         prior = float(b) / n
         parts = labelled.withColumns(_parts(F.col("host"), F.col("path"))).withColumn("fold", _fold(F.col("url")))
         stats = {part: part_statistics(parts.select(part, "fold", "blocked"), part, prior) for part in ("suffix", "segment")}
-        sample = lexical(hash_sample(labelled, F.col("url"), n, FIT_ROWS, seed))
+        sample = lexical(url_sample(labelled, FIT_ROWS, seed))
         vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="vector")
-        trees = GBTClassifier(featuresCol="vector", labelCol="blocked", maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=seed, cacheNodeIds=False)
-        data = vectors.transform(_with_parts(sample, stats, _fold(F.col("url")), prior)).select("vector", "blocked")
+        trees = GBTClassifier(featuresCol="vector", labelCol="blocked", weightCol="copies", maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=seed, cacheNodeIds=False)
+        data = vectors.transform(_with_parts(sample, stats, _fold(F.col("url")), prior)).select("vector", "blocked", "copies")
         model = trees.fit(materialise(data.repartition(4, F.xxhash64("blocked", vector_to_array("vector"))), "url-sample"))
         scored = model.transform(vectors.transform(_with_parts(lexical(base), stats, F.lit(-1), prior))).withColumn("score", vector_to_array("probability")[1])
     verdict = F.coalesce(F.col("by_rule"), F.when(F.col("score") > 0.5, "block").otherwise("allow"))
