@@ -16,8 +16,8 @@ from weftgraph.operators.components import connected_components
 from weftgraph.operators.joins import spread_join
 from weftgraph.session import materialise, ship_package
 
-#: Rows of a block, centres (which are the pivots too), rings of a cell by the angle to its centre, and rows that centres are fitted on.
-BLOCK, CENTRES, RINGS, FIT_ROWS = 1024, 256, 64, 20_000
+#: Rows of a block, rows of one matrix product's strip, centres (which are the pivots too), rings of a cell by the angle to its centre, and rows that centres are fitted on.
+BLOCK, STRIP, CENTRES, RINGS, FIT_ROWS = 4096, 512, 256, 64, 20_000
 #: Pairs of blocks are ruled out only beyond this much of angle, and cosines are taken again in full from this much below the limit: both far above rounding errors.
 ANGLE_SLACK, COS_SLACK = 1e-6, 1e-6
 #: Half of the last place of a similarity, which is rounded to 6 places.
@@ -34,8 +34,12 @@ def cosines_from(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, l
     A matrix product finds the candidates; their cosines are then summed from
     the first component to the last, as the SQL expression does.
     """
-    rough = (a / na[:, None]) @ (b / nb[:, None]).T >= least - COS_SLACK
-    i, j = np.nonzero(np.triu(rough, 1) if same else rough)
+    ua, ub, found = a / na[:, None], (b / nb[:, None]).T, []
+    for at in range(0, len(a), STRIP):
+        x, y = np.nonzero(ua[at : at + STRIP] @ ub >= least - COS_SLACK)
+        keep = y > x + at if same else slice(None)
+        found.append((x[keep] + at, y[keep]))
+    i, j = (np.concatenate(c) for c in zip(*found, strict=True))
     total = np.zeros(len(i))
     for d in range(a.shape[1]):
         total += a[i, d] * b[j, d]
@@ -65,7 +69,7 @@ class SelfJoin:
     """All pairs of rows (key, vector) whose cosine, rounded to 6 places, is at least `least`.
 
     Every vector stands in the cell of its nearest centre, and in a block of
-    about BLOCK rows among those of its cell at like angles to it (equal
+    at most about BLOCK rows among those of its cell at like angles to it (equal
     vectors without end fall into many blocks of one ring). A block knows the
     least and greatest angle of its rows to every centre. Angles obey the
     triangle inequality, so two blocks whose angles to any one centre lie
@@ -100,7 +104,7 @@ class SelfJoin:
         fit = self.rows.select(F.transform("v", lambda x: x / F.col("norm")).alias("u"))
         if n > FIT_ROWS:  # by key and vector, so that copies of one vector come in their share
             fit = self.rows.where(F.pmod(F.xxhash64("key", "v", F.lit(self.seed)), F.lit(1 << 30)) < int(FIT_ROWS / n * (1 << 30))).select(F.transform("v", lambda x: x / F.col("norm")).alias("u"))
-        k = self.wanted or min(CENTRES, int(n**0.5))
+        k = self.wanted or min(CENTRES, n // self.block)
         if k < 2 or n <= self.block:
             first = self.rows.orderBy("key").limit(1).select("v", "norm").first()
             return np.asarray([first["v"]]) / first["norm"]
@@ -125,11 +129,15 @@ class SelfJoin:
                 v = _matrix(b.column(1), width)
                 angle = np.arccos(np.clip(v / np.asarray(b.column(2))[:, None] @ centres.T, -1.0, 1.0))
                 cell = angle.argmin(axis=1)
-                ring = np.minimum((angle[np.arange(len(cell)), cell] * (RINGS / np.pi)).astype(np.int64), RINGS - 1)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int64()), pa.array(ring, pa.int64())], names=["key", "v", "norm", "cell", "ring"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int64()), pa.array(angle.min(axis=1))], names=["key", "v", "norm", "cell", "angle"])
 
-        schema = T.StructType([*self.rows.schema.fields, T.StructField("cell", T.LongType()), T.StructField("ring", T.LongType())])
+        schema = T.StructType([*self.rows.schema.fields, T.StructField("cell", T.LongType()), T.StructField("angle", T.DoubleType())])
         placed = materialise(self.rows.mapInArrow(place, schema), "selfjoin-rows")
+        # a cell of one block has one ring
+        rings = placed.groupBy("cell").agg(F.least(F.ceil(F.count("*") / block), F.lit(RINGS)).alias("rings"), F.min("angle").alias("from"), F.max("angle").alias("to"))
+        wide = F.col("to") - F.col("from")
+        ring = F.when(wide > 0, F.least(F.floor((F.col("angle") - F.col("from")) / wide * F.col("rings")), F.col("rings") - 1)).otherwise(F.lit(0)).cast("long")
+        placed = placed.join(F.broadcast(rings), "cell").withColumn("ring", ring).select("key", "v", "norm", "cell", "ring")
         sizes = placed.groupBy("cell", "ring").agg(F.ceil(F.count("*") / block).alias("parts"))  # CENTRES * RINGS rows at most
         numbered = placed.join(F.broadcast(sizes), ["cell", "ring"]).withColumn("part", F.pmod(F.xxhash64("key", F.lit(self.seed)), F.col("parts")))
 
