@@ -10,7 +10,12 @@ from pyspark.sql.window import Window as W
 
 from weftgraph.functions import constants as C
 from weftgraph.functions.vectors import alignment, cosine_of, dot, magnitude, norm
+from weftgraph.operators.joins import spread_join
 from weftgraph.operators.selfjoin import similar_pairs
+from weftgraph.session import materialise
+
+#: Concepts of one owner in a part, and pairs that a task makes, about.
+PART, TASK_PAIRS = 1_000, 2_000_000
 
 
 def pairs(queries: DataFrame, concepts: DataFrame, floor: float | None = C.COS_FLOOR) -> DataFrame:
@@ -93,6 +98,46 @@ def mean_pair_cosine(vectors: DataFrame, group: str, vector: str = "q_vector") -
 
 
 def co_occurring(links: DataFrame, owner: str = "owner_id") -> DataFrame:
-    """(a, b, n) of concept pairs of one owner, a < b, with the number of owners."""
-    a, b = links.select(owner, F.col("name").alias("a")).distinct(), links.select(owner, F.col("name").alias("b")).distinct()
-    return a.join(b, owner).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    """(a, b, n) of concept pairs of one owner, a < b, with the number of owners.
+
+    The pairs are as many as the squares of the owners' concepts, so none is
+    shuffled that needs no counting: a pair with a concept of one owner has
+    that owner alone. An owner's concepts are dealt to parts that meet all of
+    them, and the tasks are as many as the pairs ask for, not the input.
+    """
+    rows = materialise(links.select(owner, "name").where(F.col(owner).isNotNull() & F.col("name").isNotNull()).distinct(), "pairs-rows")
+    total = rows.count()
+    names = rows.groupBy("name").agg(F.count("*").alias("owners")).withColumn("rows", F.col("owners"))
+    sizes = materialise(rows.groupBy(owner).agg(F.count("*").alias("size")).withColumn("rows", F.col("size")), "pairs-sizes")
+    known = spread_join(spread_join(rows, names, ["name"], "rows", total), sizes, [owner], "rows", total)
+    known = materialise(known.select(owner, "name", "owners", F.ceil(F.col("size") / PART).alias("parts")), "pairs-known")
+
+    def met(side: DataFrame) -> DataFrame:
+        pairs = side.groupBy(owner).agg(F.count("*").alias("n")).agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0
+        tasks = int(min(10_000, max(1, pairs / 2 // TASK_PAIRS)))
+        a = side.select(owner, F.col("name").alias("a"), F.col("owners").alias("owners_a"), F.pmod(F.xxhash64("name"), F.col("parts")).alias("part"))
+        b = side.select(owner, F.col("name").alias("b"), F.col("owners").alias("owners_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+        return a.repartition(tasks, owner, "part").join(b.repartition(tasks, owner, "part"), [owner, "part"]).where("a < b")
+
+    lone = met(known).where("owners_a = 1 or owners_b = 1").select("a", "b", F.lit(1).cast("long").alias("n"))
+    several = known.where("owners > 1")
+    if several.isEmpty():
+        return lone
+    return lone.unionByName(met(several).groupBy("a", "b").agg(F.count("*").alias("n")))
+
+
+def first_pairs(links: DataFrame, most: int, owner: str = "owner_id") -> DataFrame:
+    """(a, b): the first `most` concept pairs of one owner, a < b, in order.
+
+    Every concept before the last of one of its owners begins a pair, so the
+    first `most` of these begin all pairs wanted. All concepts before one of
+    them in an owner are of them too, so their places there are `most` at
+    most, and those of the first `most` partners of each twice as many.
+    """
+    rows = links.select(owner, "name").where(F.col(owner).isNotNull() & F.col("name").isNotNull()).distinct()
+    place = F.row_number().over(W.partitionBy(owner).orderBy("name"))
+    rows = materialise(rows.withColumn("place", place).where(F.col("place") <= 2 * most).drop("place"), "pairs-heads")
+    last = rows.groupBy(owner).agg(F.max("name").alias("last"))
+    begin = rows.join(last, owner).where("name < last").select("name").distinct().orderBy("name").limit(most)
+    own = rows.join(F.broadcast(begin), "name").select(owner, F.col("name").alias("a"))
+    return rows.withColumnRenamed("name", "b").join(own, owner).where("a < b").select("a", "b").distinct().orderBy("a", "b").limit(most)
