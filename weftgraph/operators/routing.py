@@ -13,7 +13,7 @@ from pyspark.sql.window import Window as W
 from weftgraph.functions import constants as C
 from weftgraph.functions.vectors import norm
 from weftgraph.operators.joins import spread_join
-from weftgraph.operators.scoring import co_occurring, match_scores, two_stage
+from weftgraph.operators.scoring import first_pairs, match_scores, two_stage
 from weftgraph.session import materialise, ship_package
 
 #: Vectors of names are broadcast to the links of up to this many links; beyond it they are joined by a shuffle.
@@ -200,9 +200,9 @@ def refresh_concepts(kgs: DataFrame, kg_documents: DataFrame, doc_concepts: Data
 
 def contrastive_pairs(doc_concepts: DataFrame, kg_concepts: DataFrame, enough: int = 20, most: int = 500) -> DataFrame:
     """(a, b): concept pairs of one document in order, at most `most`; pairs of one graph fill up where there are under `enough`."""
-    own = co_occurring(doc_concepts).select("a", "b").orderBy("a", "b").limit(most)
+    own = materialise(first_pairs(doc_concepts, most), "contrastive-own")
     n = F.broadcast(own.agg(F.count("*").alias("n")))
-    more = co_occurring(kg_concepts).select("a", "b").join(own, ["a", "b"], "left_anti").orderBy("a", "b").limit(most).join(n, F.lit(True)).where(F.col("n") < enough)
+    more = first_pairs(kg_concepts, 2 * most).join(own, ["a", "b"], "left_anti").orderBy("a", "b").limit(most).join(n, F.lit(True)).where(F.col("n") < enough)
     rank = F.row_number().over(W.partitionBy("n").orderBy("a", "b"))
     return own.unionByName(more.withColumn("rn", rank).where(F.col("rn") <= F.lit(most) - F.col("n")).select("a", "b"))
 
