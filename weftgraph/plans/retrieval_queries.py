@@ -392,8 +392,9 @@ def aligned_stats(t):
 
 @query("union_shards", "SELECT fact, arg_min(shard, shard * 1000000000 + seq) AS shard FROM (SELECT kg_id AS shard, row_number() OVER (PARTITION BY kg_id ORDER BY object, rel_type, subject, source_doc_id) AS seq, object AS fact FROM edges WHERE kg_id <> 2) GROUP BY fact")
 def union_shards(t):
-    order = W.partitionBy("kg_id").orderBy("object", "rel_type", "subject", "source_doc_id")
-    f = t.edges.select(F.col("kg_id").alias("shard"), F.row_number().over(order).alias("seq"), F.when(F.col("kg_id") == 2, "timeout").otherwise("ok").alias("status"), F.col("object").alias("fact"))
+    # a shard's order begins with the fact, so a fact's rows are ordered among themselves and no task numbers a shard
+    seq = F.struct("object", "rel_type", "subject", "source_doc_id")
+    f = t.edges.select(F.col("kg_id").alias("shard"), seq.alias("seq"), F.when(F.col("kg_id") == 2, "timeout").otherwise("ok").alias("status"), F.col("object").alias("fact"))
     return D.shard_union(f).select("fact", "shard")
 
 
