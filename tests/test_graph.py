@@ -133,3 +133,19 @@ def test_history(spark):
 def test_limiter_forgets_rejected_requests():
     assert limit_requests([(0, 0), (1, 0), (2, 0), (60.5, 0), (61.5, 0)], limit=2) == [True, True, False, True, True]
     assert all(limit_requests([(0, 0)] * 50, limit=0))
+
+
+def test_a_short_frontier_writes_no_neighbours_of_all_nodes(spark, monkeypatch):
+    """Only what a short frontier meets is shuffled; a longer one needs the neighbours, with the same result."""
+    from weftgraph.operators import graph
+
+    rows = [(0, f"s{i % 7}", "USES", f"p{i}", 1, 1) for i in range(40)] + [(0, "s1", "USES", "p0", 2, 1), (0, "s2", "USES", "s2", 3, 1)]
+    edges = spark.createDataFrame(rows, "kg_id long, subject string, rel_type string, object string, source_doc_id long, confidence long")
+    seeds = spark.createDataFrame([(0, "s1"), (0, "p0"), (0, "absent")], "kg_id long, seed string")
+    made = []
+    write = graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, name: made.append(name) or write(df, name))
+    reached = {k: sorted(map(tuple, graph.reach(edges, seeds, k).collect())) for k in (1, 3)}
+    assert "expand-near" not in made
+    monkeypatch.setattr(graph, "FEW", 0)
+    assert {k: sorted(map(tuple, graph.reach(edges, seeds, k).collect())) for k in (1, 3)} == reached and "expand-near" in made

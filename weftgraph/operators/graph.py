@@ -17,11 +17,14 @@ KEY = ("subject", "rel_type", "object", "source_doc_id")
 FACT = ("subject", "subject_type", "rel_type", "verb", "object", "object_type")
 
 
+def _both_ways(edges: DataFrame) -> DataFrame:
+    there = edges.select("kg_id", F.col("subject").alias("node"), F.col("object").alias("other"))
+    return there.unionByName(edges.select("kg_id", F.col("object").alias("node"), F.col("subject").alias("other")))
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """(kg_id, node, other) of both directions, distinct."""
-    there = edges.select("kg_id", F.col("subject").alias("node"), F.col("object").alias("other"))
-    back = edges.select("kg_id", F.col("object").alias("node"), F.col("subject").alias("other"))
-    return there.unionByName(back).distinct()
+    return _both_ways(edges).distinct()
 
 
 def names_containing(entities: DataFrame, terms: list[str]) -> DataFrame:
@@ -54,8 +57,8 @@ def seed_neighbours(edges: DataFrame, seeds: DataFrame, limit: int = C.SEED_NEIG
     return seeds.select("kg_id", "seed").unionByName(near)
 
 
-#: Rows of a frontier that are broadcast at most; beyond it a frontier is joined by a shuffle.
-FEW = 100_000
+#: Rows of a frontier that are broadcast at most (about 100 bytes each); beyond it a frontier is joined by a shuffle.
+FEW = 200_000
 
 
 class Adjacency:
@@ -100,15 +103,22 @@ def reach(edges: DataFrame, seeds: DataFrame, steps: int) -> DataFrame:
     """(kg_id, seed, node) of all nodes at undirected distance `steps` or less from each seed, as a written table.
 
     The frontier keeps the seed; nodes already reached leave it by an anti
-    join. Neighbours and each frontier are written once, so a step adds a
-    constant to the plan.
+    join. A frontier of FEW rows at most goes to the edges themselves, so only
+    what it meets is shuffled; the distinct neighbours of all nodes are
+    written for the first longer one. Each frontier is written once, so a step
+    adds a constant to the plan.
     """
     reached = frontier = materialise(seeds.select("kg_id", "seed", F.col("seed").alias("node")).distinct(), "expand-seeds")
-    if steps > 0:
-        near = materialise(undirected(edges), "expand-near")
-        met = Adjacency(near, near.count(), ("other",))
+    met = None
     for _ in range(steps):
-        step = met.meet(frontier).select("kg_id", "seed", F.col("other").alias("node")).distinct()
+        if met is None and frontier.count() <= FEW:
+            step = _both_ways(edges).join(F.broadcast(frontier), ["kg_id", "node"])
+        else:
+            if met is None:
+                near = materialise(undirected(edges), "expand-near")
+                met = Adjacency(near, near.count(), ("other",))
+            step = met.meet(frontier)
+        step = step.select("kg_id", "seed", F.col("other").alias("node")).distinct()
         frontier = materialise(step.join(reached, ["kg_id", "seed", "node"], "left_anti"), "expand-frontier")
         reached = reached.unionByName(frontier)
     return reached
