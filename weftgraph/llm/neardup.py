@@ -222,12 +222,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with one row of each component of near copies by exact Jaccard: the one with the smallest id, then row hash; columns unchanged.
 
+    SimHash fingerprints of five-word shingles find near copies first, as in
+    operator 10; each link is checked by its Jaccard, and a join that loses no
+    pair adds what lies further apart.
+
     Rows are told apart by all their columns: two texts under one id are two
     rows, and rows that are equal in every column leave one. A component of
     null ids alone leaves one row too. Odd rows as in `similar_components`.
     """
     with temporary(df.sparkSession) as kept:
-        others = materialise(similar_components(df, id_col, text_col).where("place <> keep_place").select("row", "keep_row"), "near-others")
+        others = materialise(similar_components(df, id_col, text_col, fingerprint=simhash, links=fingerprint_links).where("place <> keep_place").select("row", "keep_row"), "near-others")
         gone = materialise(others.where("row <> keep_row").select("row").distinct(), "near-gone")
         once = materialise(others.where("row = keep_row").select("row").distinct(), "near-once")
         kept.extend((gone, once))

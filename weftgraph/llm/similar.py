@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ from weftgraph.operators.joins import HOT_ROWS, spread_join
 
 #: Words of a shingle, and the Jaccard from which two texts are near copies.
 SHINGLE, SIMILARITY = 5, 0.8
+#: Bits in which the fingerprints of pairs that are checked first differ at most.
+FINGERPRINT_BITS = 3
 #: Texts sampled for the order of shingles, and the frequent shingles it lists. They decide the cost, never the result.
 ORDER_ROWS, ORDER_SHINGLES = 10_000, 100_000
 #: A shingle of more texts is first linked sparsely, then only across the components found.
@@ -97,18 +100,18 @@ def _sets(df: DataFrame, keep: list[str], shingle: int) -> DataFrame:
     return per_text(df, F.col("text"), keep, [("node", "long"), ("n", "int"), ("x", "array<long>")], work)
 
 
-def _prints(df: DataFrame, keep: list[str], shingle: int, common, similarity: float) -> DataFrame:
-    """Columns `keep` of df, node, n, odd (parity of the set), x (its prefix)."""
+def _prints(df: DataFrame, keep: list[str], shingle: int, common, similarity: float, fingerprint: Callable[[str | None, int], int]) -> DataFrame:
+    """Columns `keep` of df, node, n, odd (parity of the set), fp (the text's fingerprint), x (the set's prefix)."""
 
     def work():
         def hashed(texts):
             sets = [shingle_set(t, shingle) for t in texts]
             node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64)
-            return [pa.array(node.view(np.int64)), pa.array([len(s) for s in sets], pa.int32()), pa.array([parity(s) for s in sets], pa.binary()), _lists([prefix(s, *common.value, similarity) for s in sets])]
+            return [pa.array(node.view(np.int64)), pa.array([len(s) for s in sets], pa.int32()), pa.array([parity(s) for s in sets], pa.binary()), pa.array(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)), _lists([prefix(s, *common.value, similarity) for s in sets])]
 
         return hashed
 
-    return per_text(df, F.col("text"), keep, [("node", "long"), ("n", "int"), ("odd", "binary"), ("x", "array<long>")], work)
+    return per_text(df, F.col("text"), keep, [("node", "long"), ("n", "int"), ("odd", "binary"), ("fp", "long"), ("x", "array<long>")], work)
 
 
 def shingle_order(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -269,15 +272,26 @@ def merged(links: DataFrame, labels: DataFrame | None) -> DataFrame:
     return materialise(connected_components(links), "similar-parts")
 
 
-def link(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def fingerprint_pairs(nodes: DataFrame, links: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """(u, v), u < v: nodes (node, n, fp) of fingerprints within FINGERPRINT_BITS, each fingerprint by its least node, and with that node its others."""
+    worded = nodes.where("n > 0").select("node", "fp")
+    least = materialise(worded.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("rows")), "similar-fingerprints")
+    same = spread_join(worded, least, ["fp"], "rows").where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
+    ends = [least.select(F.col("fp").alias(c), F.col("least").alias(f"node_{c}")) for c in "uv"]
+    near = links(least.select("fp"), FINGERPRINT_BITS).join(ends[0], "u").join(ends[1], "v")
+    return same.unionByName(near.select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v"))).distinct()
+
+
+def link(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float, near: DataFrame) -> DataFrame:
     """Components (node, component) of the pairs that are similar.
 
-    Each node's pair with its least partner is checked first; what that joins
-    needs no other pair. All pairs that then still cross components are
+    The pairs `near` of like fingerprints and each node's pair with its least
+    partner are checked first; what that joins needs no other pair. All pairs that then still cross components are
     checked, so no link between components is lost.
     """
-    likely = plausible(pairs, nodes, similarity)
-    found = merged(verified(likely.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), docs, nodes, shingle, similarity), None)
+    likely, near = plausible(pairs, nodes, similarity), plausible(near, nodes, similarity)
+    first = near.unionByName(likely.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")).distinct()
+    found = merged(verified(first, docs, nodes, shingle, similarity), None)
     rest = likely.join(found.toDF("u", "part_u"), "u", "left").join(found.toDF("v", "part_v"), "v", "left")
     rest = materialise(rest.where("coalesce(part_u, u) <> coalesce(part_v, v)").select("u", "v"), "similar-rest")
     return found if rest.isEmpty() else merged(verified(rest, docs, nodes, shingle, similarity), found)
@@ -305,9 +319,14 @@ def link_across(rows: DataFrame, labels: DataFrame, docs: DataFrame, nodes: Data
         labels, most = merged(links, labels), most * 8
 
 
-def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, fingerprint: Callable[[str | None, int], int] | None = None, links: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """Component of every row: components link texts whose shingle sets have the Jaccard `similarity` or more.
 
+    Fingerprints (`fingerprint` of text and shingle, `links` within a number
+    of bits) find the near copies first. They miss pairs further apart, so a
+    join that loses none follows for what they have not joined, and all links
+    are checked exactly.
+
     In any fixed order of all shingles two similar sets share one of the
     first n - ceil(similarity * n) + 1 elements of each, so texts meet by the
     elements of these prefixes; sizes and positions rule pairs out, then
@@ -327,9 +346,13 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     id, null if all are null), keep_row and keep_place (the row that comes
     first by id, then row hash, then place).
     """
+    if fingerprint is None or links is None:
+        from weftgraph.llm.neardup import fingerprint_links, simhash  # it imports this module
+
+        fingerprint, links = fingerprint or simhash, links or fingerprint_links
     docs = df.select(F.col(f"`{id_col}`").alias("id"), row_hash(df).alias("row"), F.col(f"`{text_col}`").alias("text"))
     common = df.sparkSession.sparkContext.broadcast(shingle_order(docs, shingle))
-    prints = _prints(docs, ["id", "row"], shingle, common, similarity).withColumn("place", F.monotonically_increasing_id())
+    prints = _prints(docs, ["id", "row"], shingle, common, similarity, fingerprint).withColumn("place", F.monotonically_increasing_id())
     prints = materialise(prints, "similar-prints")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "place")).alias("first")
     heads = materialise(prints.groupBy("node").agg(first, F.count("*").alias("rows")), "similar-heads")
@@ -338,10 +361,10 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     lone = prints.join(F.broadcast(copied.where(F.col("rows") > HOT_ROWS).select("node")), "node", "left_anti")
     lone = lone.join(few(materialise(copied.where(F.col("rows") <= HOT_ROWS).select("node"), "similar-copied")), "node", "left_anti")
     one = lone.unionByName(prints.join(few(materialise(copied.select("node", "place"), "similar-firsts")), ["node", "place"], "left_semi").select(*lone.columns))
-    nodes = materialise(one.select("node", "n", "row", "odd"), "similar-nodes")
+    nodes = materialise(one.select("node", "n", "row", "odd", "fp"), "similar-nodes")
     rows = one.select("node", "n", F.posexplode("x").alias("pos", "x"))
     found = materialise(candidates(rows, similarity), "similar-candidates")
-    labels = link(found.where("v is not null"), docs, nodes, shingle, similarity)
+    labels = link(found.where("v is not null"), docs, nodes, shingle, similarity, fingerprint_pairs(nodes, links))
     big = materialise(found.where("v is null").select(F.col("u").alias("x")).distinct(), "similar-big")
     if not big.isEmpty():
         inside = one.select("node", "n", "odd", F.posexplode("x").alias("pos", "x")).join(few(big), "x", "left_semi")
