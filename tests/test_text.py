@@ -88,3 +88,31 @@ def test_list_items_lose_numbers_bullets_and_quotes(spark):
     lines = ["1. one", "- \"two\"", " 3) 「三」 ", "• - four", "plain", "", None]
     rows = spark.createDataFrame(list(enumerate(lines)), "i int, s string").select("i", X.list_item(F.col("s")).alias("t")).orderBy("i").collect()
     assert [r["t"] for r in rows] == ["one", "two", "三", "four", "plain", "", None]
+
+
+def test_embedding_hashes_every_trigram_once(monkeypatch):
+    """The vectors are those of hashing each place; the hashes are as many as the different trigrams."""
+    import hashlib
+
+    import numpy as np
+
+    from weftgraph.functions import providers
+
+    def plain(texts, dim):
+        out = np.zeros((len(texts), dim), np.float32)
+        for row, text in enumerate(texts):
+            for i in range(max(0, len(text) - 2)):
+                h = int.from_bytes(hashlib.blake2b(text[i : i + 3].lower().encode(), digest_size=8).digest(), "little")
+                out[row, (h >> 1) % dim] += 1 if h & 1 else -1
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        return out / np.where(norm < 1e-9, 1, norm)
+
+    texts = ["", "a", "ab", "abc", "İΣΣ ΑΣ", "\U0001f600\U0010ffff\U0001f601x", "知識圖譜知識", "the and the", "x" * 500] * 3
+    monkeypatch.setattr(providers, "ROWS", 4)
+    assert np.array_equal(providers.HashEmbedding(16).encode_batch(texts), plain(texts, 16))
+    calls = []
+    real = hashlib.blake2b
+    monkeypatch.setattr(providers.hashlib, "blake2b", lambda *a, **k: calls.append(1) or real(*a, **k))
+    monkeypatch.setattr(providers, "ROWS", 1024)
+    assert providers.HashEmbedding(16).encode_batch(["x" * 500] * 50).shape == (50, 16) and len(calls) == 1
+    assert providers.HashEmbedding(16).encode_batch([]).shape == (0, 16)
