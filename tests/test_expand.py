@@ -37,3 +37,15 @@ def test_few_rows_of_a_seed_reach_its_rank(spark, monkeypatch):
     monkeypatch.setattr(graph, "seed_top", lambda hits, *a: seen.append(hits.count()) or real(hits, *a))
     got = graph.expand_top(edges, spark.createDataFrame([(0, "s")], "kg_id long, seed string"), 2, 20)
     assert got.count() == 20 and seen == [20]
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_edges_beside_nodes_come_once_without_a_row_per_node(spark, monkeypatch, few):
+    edges = edges_of(spark, 9).localCheckpoint()
+    nodes = edges.select("kg_id", F.col("subject").alias("node")).where("node like 'n1%' or node in ('hub', 'x')")
+    want = sorted(map(tuple, graph.expand(edges, nodes.withColumnRenamed("node", "seed").distinct(), 1).drop("seed").dropDuplicates(["kg_id", *graph.KEY]).select(*edges.columns).collect()))
+    monkeypatch.setattr(graph, "FEW", few)
+    got = graph.beside(edges, nodes)
+    assert sorted(map(tuple, got.select(*edges.columns).collect())) == want
+    if few:  # the edges stay where they are
+        assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()

@@ -138,6 +138,16 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return met.meet(reach(edges, seeds, hops - 1)).drop("node").dropDuplicates(["kg_id", "seed", *KEY])
 
 
+def beside(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges (one row per key) with an end among nodes (kg_id, node), each once: no row per node is made, so none is sorted out again."""
+    few = nodes.select("kg_id", "node").distinct()
+    few = materialise(few, "expand-beside")
+    at = F.broadcast if few.count() <= FEW else lambda df: df
+    subjects, objects = (at(few.select("kg_id", F.col("node").alias(end))) for end in ("subject", "object"))
+    there = edges.join(subjects, ["kg_id", "subject"], "left_semi")
+    return there.unionByName(edges.join(subjects, ["kg_id", "subject"], "left_anti").join(objects, ["kg_id", "object"], "left_semi"))
+
+
 def seed_top(hits: DataFrame, limit: int = C.SEED_FACTS, min_conf: int = 1) -> DataFrame:
     """The `limit` edges of highest confidence per seed; the confidence filter comes after the expansion."""
     order = W.partitionBy("kg_id", "seed").orderBy(F.desc("confidence"), *KEY)
@@ -210,7 +220,7 @@ def query_facts(edges: DataFrame, entities: DataFrame, terms: list[str], now: Co
 def provenance_facts(edges: DataFrame, entities: DataFrame, titles: DataFrame, terms: list[str], now: Column, hops: int = 1, limit: int = C.FACT_LIMIT, min_conf: int = 1) -> DataFrame:
     """Ungrouped facts with titles: limit first, then decay order, then the first of each (subject, rel_type, object)."""
     seeds = names_containing(entities, terms).select("kg_id", F.col("name").alias("seed"))
-    hits = expand(edges, seeds, hops).where(F.col("confidence") >= min_conf).drop("seed").dropDuplicates(["kg_id", *KEY])
+    hits = beside(edges, reach(edges, seeds, hops - 1)).where(F.col("confidence") >= min_conf)
     few = hits.orderBy(F.desc("confidence"), "kg_id", *KEY).limit(limit)
     few = few.withColumn("score", F.round(F.col("confidence") * decay(F.col("created_at"), now), 6))
     first = W.partitionBy("subject", "rel_type", "object").orderBy(F.desc("score"), F.desc("confidence"), "kg_id", "source_doc_id")
