@@ -96,3 +96,21 @@ def test_unmatched_documents_are_clustered_alone(spark):
     got = cluster.cluster_documents(mean, "owner_id", cluster.unmatched(links, scores)).collect()
     assert [(r["component"], r["size"], r["similarity"], r["top_concepts"]) for r in got] == [(1, 2, 0.995, "x")]
     assert scoring.pair_similarity(mean, "owner_id", 0.9).count() == 1
+
+
+def test_blocks_are_sent_in_groups(spark, monkeypatch):
+    """A block goes to every group that it meets: under half of the rows, the same pairs."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from weftgraph.operators import selfjoin
+
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(f"v{i:04d}", rng.normal(size=6).tolist()) for i in range(600)], "name string, v array<double>").localCheckpoint()
+    plain = selfjoin.SelfJoin(rows, "name", "v", 0.5, block=10)
+    monkeypatch.setattr(selfjoin, "TOGETHER", 1)
+    want = sorted(map(tuple, plain.pairs().collect()))
+    monkeypatch.setattr(selfjoin, "TOGETHER", 8)
+    sent = plain.sent()
+    assert sent.count() * 2 < 2 * plain.plan.count() and sent.agg(F.sum(F.size("mates"))).first()[0] == plain.plan.count()
+    assert len(want) > 1000 and sorted(map(tuple, plain.pairs().collect())) == want

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from weftgraph.functions.vectors import norm
 from weftgraph.operators.components import connected_components
@@ -18,6 +19,8 @@ from weftgraph.session import materialise, ship_package
 
 #: Rows of a block, rows of one matrix product's strip, centres (which are the pivots too), rings of a cell by the angle to its centre, and rows that centres are fitted on.
 BLOCK, STRIP, CENTRES, RINGS, FIT_ROWS = 4096, 512, 256, 64, 20_000
+#: Blocks that a task takes from each side at most, and groups that there are at least before blocks go together.
+TOGETHER, LEAST_GROUPS = 8, 8
 #: Pairs of blocks are ruled out only beyond this much of angle, and cosines are taken again in full from this much below the limit: both far above rounding errors.
 ANGLE_SLACK, COS_SLACK = 1e-6, 1e-6
 #: Half of the last place of a similarity, which is rounded to 6 places.
@@ -179,29 +182,42 @@ class SelfJoin:
         """Pairs of rows that the join looks at."""
         return self.plan.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first()["n"] if self.count else 0
 
+    def sent(self) -> DataFrame:
+        """(group_a, group_b, block, mates): the blocks of each task, and the blocks that each is compared with there."""
+        # neighbours by name stand in one group; their names alone pass one task
+        blocks = self.blocks.select("block")
+        together = max(1, min(TOGETHER, blocks.count() // LEAST_GROUPS))
+        group = F.floor((F.row_number().over(W.orderBy("block")) - 1) / together)
+        group = blocks.select("block", group.alias("group"))
+        met = self.plan.select("a", "b")
+        for side in ("a", "b"):
+            met = met.join(F.broadcast(group.select(F.col("block").alias(side), F.col("group").alias(f"group_{side}"))), side)
+        met = met.select("group_a", "group_b", F.explode(F.array(F.struct(F.col("a").alias("block"), F.col("b").alias("mate")), F.struct(F.col("b").alias("block"), F.lit(None).cast("string").alias("mate")))).alias("e"))
+        return met.select("group_a", "group_b", "e.*").groupBy("group_a", "group_b", "block").agg(F.collect_set("mate").alias("mates"))
+
     def _compared(self, emit: Callable, fields: str) -> DataFrame:
-        """emit's table of every pair of blocks in the plan; a task holds two blocks at a time."""
+        """emit's table of every pair of blocks in the plan; a task holds two groups of TOGETHER blocks, so a block is sent once per group, not per block, that it meets."""
         kind = self.rows.schema["key"].dataType.simpleString()
         schema = fields.replace("KEY", kind)
         if not self.count:
             return self.spark.createDataFrame([], schema)
         least = self.least
-        sides = self.plan.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
-        given = sides.join(self.blocks.select("block", "keys", "v", "norms"), "block")
-
-        def compare(t: pa.Table) -> pa.Table:
-            names = t.column("block").to_pylist()
-            a, b = t.column("a")[0].as_py(), t.column("b")[0].as_py()
-
-            def side(block: str):
-                at = names.index(block)
-                norms = np.frombuffer(t.column("norms")[at].as_py())
-                return t.column("keys")[at].values, np.frombuffer(t.column("v")[at].as_py()).reshape(len(norms), -1), norms
-
-            (ka, va, na), (kb, vb, nb) = side(a), side(b)
-            return emit(ka, kb, *cosines_from(va, na, vb, nb, least, a == b), a == b)
-
-        return given.groupBy("a", "b").applyInArrow(compare, schema)
+        sides = self.sent()
+        given = sides.join(self.blocks.select("block", "keys", "v", "norms"), "block").select("group_a", "group_b", "block", "mates", "keys", "v", "norms")
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sides, mates = {}, {}
+            for t in batches:
+                for at, block in enumerate(t.column("block").to_pylist()):
+                    norms = np.frombuffer(t.column("norms")[at].as_py())
+                    sides[block] = t.column("keys")[at].values, np.frombuffer(t.column("v")[at].as_py()).reshape(len(norms), -1), norms
+                    mates[block] = sorted(t.column("mates")[at].as_py())
+            for a in sorted(mates):
+                for b in mates[a]:
+                    (ka, va, na), (kb, vb, nb) = sides[a], sides[b]
+                    yield from emit(ka, kb, *cosines_from(va, na, vb, nb, least, a == b), a == b).to_batches(max_chunksize=100_000)
+
+        return given.groupBy("group_a", "group_b").applyInArrow(compare, schema)
 
     def pairs(self) -> DataFrame:
         """(a, b, sim) of all pairs, a < b, sim rounded to 6 places."""
