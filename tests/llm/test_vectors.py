@@ -132,6 +132,18 @@ def test_encoding_equals_the_library(spark, model_path):
     assert bpe.encode(df.limit(0), model_path).count() == 0
 
 
+def test_plain_texts_are_cut_without_the_unicode_engine(model_path, monkeypatch):
+    import regex
+
+    split, full = bpe.Splitter(model_path, ""), regex.compile(bpe.PATTERN).findall
+    characters = [chr(i) for i in range(128)]
+    texts = [form.format(a, b) for a in characters for b in characters for form in ("{}{}", "x{}{} y", " {}'{}s 1  ")]
+    texts += ["it's we'll  they've 'Tis 12 3a\n\n b\t", "d'été où l'on s'en va 1² 'll", "\u3000 a\u2028b  é's"]
+    assert [split(t) for t in texts] == [full(t) for t in texts]
+    monkeypatch.setattr(split, "words", None)
+    assert split("plain text's 7 words") == ["plain", " text", "'s", " 7", " words"]
+
+
 def test_splits_equal_the_library_at_every_code_point(model_path):
     from tokenizers import Tokenizer
 

@@ -27,6 +27,10 @@ from weftgraph.llm.common import discard, materialise, per_text, python_ready, t
 LEXICON_WORDS, WORD_BYTES, CACHE_WORDS, COUNTED_WORDS = 65_536, 48, 100_000, 200_000
 #: The byte-level splitting pattern: a fixed value of the format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: It with letters first, which begin no other part: the same cuts, found with fewer trials.
+LETTERS_FIRST = r" ?\p{L}+|'(?:s|t|re|ve|m|ll|d)| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for texts of ASCII alone, where the standard library's engine is several times as fast; letters first, as no other part begins like one.
+ASCII_PATTERN = r" ?[A-Za-z]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 #: Planes of Unicode with letters, digits or blanks; the others are private or unassigned and alike for every library.
 PLANES = (0, 1, 2, 3, 14)
 
@@ -97,15 +101,22 @@ class Model:
         by_rank[ranks] = new
         return keys[order := np.argsort(keys)], ranks[order], by_rank
 
-    def merged_together(self, words: list[bytes]) -> list[np.ndarray]:
-        """`merged` of many words: those of one length step together, each merging its leftmost pair of least rank."""
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids; the number of ranks for a pair that doesn't merge."""
         keys, ranks, new = self._pairs
-        none, start = len(new), np.array(self.start, np.int64)
+        at = np.minimum(np.searchsorted(keys, key := a << 32 | b), len(keys) - 1)
+        return np.where(keys[at] == key, ranks[at], len(new))
 
-        def rank(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            at = np.minimum(np.searchsorted(keys, key := a << 32 | b), len(keys) - 1)
-            return np.where(keys[at] == key, ranks[at], none)
+    @functools.cached_property
+    def _first(self) -> np.ndarray:
+        """Rank of each pair of bytes."""
+        start = np.array(self.start, np.int64)
+        return self._ranks(start[:, None], start[None, :])
 
+    def merged_together(self, words: list[bytes]) -> list[np.ndarray]:
+        """`merged` of many words: those of one length step together, each merging its leftmost pair of least rank."""
+        new, rank = self._pairs[2], self._ranks
+        none, start = len(new), np.array(self.start, np.int64)
         out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
         by_length = defaultdict(list)
         for i, w in enumerate(words):
@@ -113,8 +124,8 @@ class Model:
         for n, places in by_length.items():
             if not n:
                 continue
-            rows, where = start[np.frombuffer(b"".join([words[i] for i in places]), np.uint8).reshape(-1, n)], np.array(places)
-            left = rank(rows[:, :-1], rows[:, 1:])
+            given, where = np.frombuffer(b"".join([words[i] for i in places]), np.uint8).reshape(-1, n), np.array(places)
+            rows, left = start[given], self._first[given[:, :-1], given[:, 1:]]
             while len(rows):
                 least = left.min(1, initial=none)
                 for i in np.flatnonzero(least == none).tolist():
@@ -192,7 +203,10 @@ class Splitter:
     def __init__(self, path: str, odd: str):
         import regex
 
-        self.path, self.words, self.odd = path, regex.compile(PATTERN).findall, re.compile(odd).search if odd else lambda _: None
+        self.path, self.words, self.plain = path, regex.compile(LETTERS_FIRST).findall, re.compile(ASCII_PATTERN).findall
+        ranges = re.findall(r"\\U([0-9a-f]{8})-\\U([0-9a-f]{8})", odd)
+        # a look-up per character is faster than a search for a class of many ranges
+        self.even = frozenset(chr(c) for a, b in ranges for c in range(int(a, 16), int(b, 16) + 1)).isdisjoint
 
     @functools.cached_property
     def library(self):
@@ -201,7 +215,9 @@ class Splitter:
         return Tokenizer.from_file(self.path).pre_tokenizer
 
     def __call__(self, text: str) -> list[str]:
-        if text.isascii() or not self.odd(text):
+        if text.isascii():
+            return self.plain(text)
+        if self.even(text):
             return self.words(text)
         return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
 
