@@ -1,10 +1,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.operators import graph as G
+from weftgraph.operators import indexes
 from weftgraph.operators.indexes import NameIndex, VectorIndex
 
 VECTORS = "name string, q_vector array<double>"
@@ -85,3 +87,24 @@ def test_a_prefix_reads_its_range_alone(spark, tmp_path):
     assert found.count() == 10 and "StringStartsWith(word,w0012)" in found._jdf.queryExecution().executedPlan().toString()
     sizes = [r["n"] for r in index.postings(["every"]).groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
     assert sum(sizes) == 20_000 and max(sizes) < 9_000  # a word of every name is split over files
+
+
+def test_blocks_find_what_pairs_find(spark, monkeypatch):
+    odd = [("null", None), ("zero", [0.0] * 8), (None, [1.0] * 8)]
+    rows = vectors(500, 3) + odd + [(f"copy{i}", [0.5, 1.0] * 4) for i in range(150)]
+    queries = vectors(30, 4) + [("q-zero", [0.0] * 8), ("q-short", [1.0, 1.0]), ("q-copy", [0.5, 1.0] * 4), ("q-null", None)]
+    index = VectorIndex.build(spark.createDataFrame(rows, VECTORS).repartition(5))
+    asked = spark.createDataFrame(queries, "q_name string, q_vec array<double>")
+    found = lambda **how: sorted((r["q_name"], r["rank"], r["name"] or "", str(r["cos"])) for r in index.search(asked, 7, **how).collect())
+    exact, near = found(exact=True), found(probes=3)
+    for name, n in (("PRODUCT_PAIRS", 0), ("BLOCK_ROWS", 40), ("BLOCK_QUERIES", 8), ("STRIP", 5)):
+        monkeypatch.setattr(indexes, name, n)
+    paired, seen = VectorIndex._paired, []
+    monkeypatch.setattr(VectorIndex, "_paired", lambda self, rows, asked, *more: seen.append(min(rows.count(), asked.count())) or paired(self, rows, asked, *more))
+    assert found(exact=True) == exact and found(probes=3) == near
+    assert max(seen, default=0) <= len(odd)  # only odd vectors become pairs
+
+
+def test_rounding_is_that_of_decimal_digits():
+    x = np.array([0.0000005, -0.0000005, 0.1234565, 0.12345649999999999, 1.0, -1.0, 0.0, -1e-9])
+    assert indexes.millionths(x).tolist() == [1, -1, 123457, 123456, 1e6, -1e6, 0, 0]

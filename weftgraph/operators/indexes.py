@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from decimal import ROUND_HALF_UP, Decimal
+from functools import cached_property, reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,12 +15,14 @@ from pyspark.sql.window import Window as W
 
 from weftgraph.functions import vectors as V
 from weftgraph.operators.joins import HOT_ROWS
-from weftgraph.session import materialise, scratch_path
+from weftgraph.session import materialise, scratch_path, ship_package
 
 #: Cells of a vector index at most, vectors that its centres are fitted on, and queries that are broadcast.
 CELLS, FIT_ROWS, BROADCAST_QUERIES = 1024, 20_000, 20_000
 #: Rows whose neighbours are looked up to choose how many cells a search opens, how many neighbours of each, and the share of them to be found.
 TRIAL_ROWS, TRIAL_NEIGHBOURS, RECALL = 64, 10, 0.97
+#: Pairs from which a search multiplies blocks of rows and queries, rows and queries of a block about, queries of one product, pairs of a task about, and the greatest norm for which no product overflows.
+PRODUCT_PAIRS, BLOCK_ROWS, BLOCK_QUERIES, STRIP, TASK_PAIRS, GREATEST = 200_000, 4096, 2048, 128, 50_000_000, 1e150
 
 
 def unit(v):
@@ -34,6 +40,45 @@ def _angle(cosine):
     return F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cosine)))
 
 
+def millionths(cos: np.ndarray) -> np.ndarray:
+    """Cosines as rounded to six decimals, half away from zero by their decimal digits, times 10^6."""
+    y = np.abs(cos) * 1e6
+    r = np.floor(y + 0.5)
+    for i in np.flatnonzero(np.abs(y - np.floor(y) - 0.5) < 1e-6).tolist():
+        r[i] = int(Decimal(repr(float(abs(cos[i])))).scaleb(6).quantize(Decimal(1), ROUND_HALF_UP))
+    return np.copysign(r, cos) + 0.0
+
+
+def best_of_block(q: np.ndarray, q_norm: np.ndarray, v: np.ndarray, norm: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, cosine) of the k rows of highest rounded cosine of each query, ties by the row's place.
+
+    A matrix product rules out what is behind the k-th by more than rounding
+    can change; the others' cosines are summed up in the order of the
+    components, as the expression on columns does.
+    """
+    scale = lambda n: np.where(n < 1e-9, 0.0, 1 / np.maximum(n, 1e-9))[:, None]
+    turn, out = np.ascontiguousarray((v * scale(norm)).T), []
+    units, columns = q * scale(q_norm), np.ascontiguousarray(v.T)
+    for at in range(0, len(q), STRIP):
+        near = units[at : at + STRIP] @ turn
+        if len(v) > k:
+            x, y = np.nonzero(near >= np.partition(near, len(v) - k, axis=1)[:, len(v) - k, None] - 2e-6)
+        else:
+            x, y = (i.ravel() for i in np.indices(near.shape))
+        x = x + at
+        total = np.zeros(len(x))
+        for j in range(v.shape[1]):
+            total += columns[j][y] * q[x, j]
+        flat = (norm[y] < 1e-9) | (q_norm[x] < 1e-9)
+        cos = np.where(flat, 0.0, np.clip(total / np.where(flat, 1.0, norm[y] * q_norm[x]), -1.0, 1.0))
+        order = np.lexsort((y, -millionths(cos), x))
+        x, y, cos = x[order], y[order], cos[order]
+        first = np.searchsorted(x, x)
+        top = np.arange(len(x)) - first < k
+        out.append((x[top], y[top], cos[top]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 class VectorIndex:
     """An inverted file: every vector stands in the partition of its nearest centre.
 
@@ -109,12 +154,65 @@ class VectorIndex:
         pairs = pairs.select("q_name", "cell", "n", angle.alias("angle"), F.when(F.col("centre").isNotNull() & F.col("qu").isNotNull(), F.cos(F.greatest(F.lit(0.0), angle - F.col("radius")))).otherwise(0.0).alias("most"))
         return pairs.withColumn("rank", F.row_number().over(W.partitionBy("q_name").orderBy(F.col("angle").asc_nulls_last(), "cell")))
 
-    def _within(self, queries: DataFrame, opened: DataFrame) -> DataFrame:
-        """(q_name, name, cos) of the rows in the cells opened (q_name, cell) for each query."""
-        opened = materialise(opened.select("q_name", "cell").join(queries.select("q_name", "q_vec", V.norm(F.col("q_vec")).alias("q_norm")), "q_name"), "index-opened")
+    def _within(self, queries: DataFrame, opened: DataFrame, k: int) -> DataFrame:
+        """(q_name, name, cos) of the rows in the cells opened (q_name, cell, n) for each query; of many, those that can be among its k best."""
+        asked = queries.select("q_name", "q_vec", V.norm(F.col("q_vec")).alias("q_norm"))
+        opened = materialise(opened.select("q_name", "cell", "n"), "index-opened")
         ids = [r["cell"] for r in opened.select("cell").distinct().collect()]  # CELLS at most; the scan lists these folders alone
-        few = F.broadcast(opened) if opened.count() <= BROADCAST_QUERIES else opened
-        return self.rows().where(F.col("cell").isin(ids)).join(few, "cell").select("q_name", "name", F.round(V.cosine_of(V.dot(F.col("v"), F.col("q_vec")), F.col("norm"), F.col("q_norm")), 6).alias("cos"))
+        rows = self.rows().where(F.col("cell").isin(ids))
+        size = opened.agg(F.count("*").alias("opened"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs")).first()
+        if size["pairs"] < PRODUCT_PAIRS:
+            return self._paired(rows, asked, opened, size["opened"])
+        width = (rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first() or [0])["w"]
+
+        def plain(v: str, norm: str):
+            return F.coalesce((F.size(v) == width) & (F.col(norm) < GREATEST) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)), F.lit(False))
+
+        asked = materialise(asked.withColumn("q_vec", F.col("q_vec").cast("array<double>")).withColumn("plain", plain("q_vec", "q_norm")), "index-asked")
+        found = [self._products(rows.where(plain("v", "norm")), asked.where("plain").drop("plain"), opened, k, width, size["pairs"])]
+        # vectors of another width, or with nulls or numbers too great, are few: pair by pair
+        odd, strange = rows.where(~plain("v", "norm")), asked.where("not plain").drop("plain")
+        if not odd.isEmpty():
+            found.append(self._paired(odd, asked.drop("plain"), opened, size["opened"]))
+        if not strange.isEmpty():
+            found.append(self._paired(rows.where(plain("v", "norm")), strange, opened, size["opened"]))
+        return reduce(DataFrame.unionByName, found)
+
+    def _paired(self, rows: DataFrame, asked: DataFrame, opened: DataFrame, n: int) -> DataFrame:
+        opened = opened.drop("n").join(asked, "q_name")
+        few = F.broadcast(opened) if n <= BROADCAST_QUERIES else opened
+        return rows.join(few, "cell").select("q_name", "name", F.round(V.cosine_of(V.dot(F.col("v"), F.col("q_vec")), F.col("norm"), F.col("q_norm")), 6).alias("cos"))
+
+    def _products(self, rows: DataFrame, asked: DataFrame, opened: DataFrame, k: int, width: int, pairs: int) -> DataFrame:
+        """`_within` by matrix products: a cell's rows in blocks meet the queries that open it in blocks, and each query keeps the k best of a block.
+
+        No pair is a row; a task holds two blocks. Work is that of the pairs,
+        what is shuffled that of rows and opened cells.
+        """
+        ship_package(self.spark)
+        q_parts = max(1, -(-asked.count() // BLOCK_QUERIES))
+        tasks = min(10_000, max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), pairs // TASK_PAIRS))
+        key = ["cell", "r_part", "q_part"]
+        blocks = F.broadcast(self.cells().select("cell", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")))
+        parts = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        left = rows.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int").alias("r_part"), parts(F.lit(q_parts)).alias("q_part"), "name", "v", "norm")
+        right = opened.join(blocks, "cell").select("q_name", "cell", parts(F.col("blocks")).alias("r_part")).join(asked, "q_name").withColumn("q_part", F.pmod(F.xxhash64("q_name"), F.lit(q_parts)).cast("int"))
+        left, right = (side.repartition(tasks, *key).groupBy(*key) for side in (left, right))
+
+        def matrix(t: pa.Table, column: str) -> np.ndarray:
+            return np.asarray(t.column(column).combine_chunks().flatten()).reshape(len(t), width)
+
+        def best(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+            if not len(mine) or not len(theirs):
+                return pa.table({"q_name": theirs.column("q_name")[:0], "name": pa.array([], pa.string()), "cos": pa.array([], pa.float64())})
+            # in the order of names, so that places order ties
+            mine = mine.take(pc.sort_indices(mine, sort_keys=[("name", "ascending")], null_placement="at_start"))
+            x, y, cos = best_of_block(matrix(theirs, "q_vec"), theirs.column("q_norm").to_numpy(), matrix(mine, "v"), mine.column("norm").to_numpy(), k)
+            return pa.table({"q_name": theirs.column("q_name").take(pa.array(x)), "name": mine.column("name").take(pa.array(y)), "cos": pa.array(cos)})
+
+        kind = asked.schema["q_name"].dataType.simpleString()
+        found = left.cogroup(right).applyInArrow(best, f"q_name {kind}, name string, cos double")
+        return found.withColumn("cos", F.round("cos", 6))
 
     def search(self, queries: DataFrame, k: int, probes: int | None = None, exact: bool = False) -> DataFrame:
         """(q_name, name, cos, rank): the k rows of highest cosine of each query (q_name, q_vec), ties by name.
@@ -125,7 +223,7 @@ class VectorIndex:
         """
         probes = probes or self.probes
         bounds = materialise(self.bounds(queries), "index-bounds")
-        found = self._within(queries, bounds.where((F.col("rank") <= probes) & (F.col("cell") >= 0)))
+        found = self._within(queries, bounds.where((F.col("rank") <= probes) & (F.col("cell") >= 0)), k)
         best = F.row_number().over(W.partitionBy("q_name").orderBy(F.desc("cos"), "name"))
         if exact:
             found = materialise(found.withColumn("rank", best).where(F.col("rank") <= k).drop("rank"), "index-found")
@@ -133,7 +231,7 @@ class VectorIndex:
             rest = bounds.where((F.col("rank") > probes) | (F.col("cell") < 0)).join(full, "q_name", "left")
             # cosines are compared as they are rounded
             rest = rest.where((F.coalesce("found", F.lit(0)) < k) | (F.col("most") + 1e-6 >= F.col("least")))
-            found = found.unionByName(self._within(queries, rest))
+            found = found.unionByName(self._within(queries, rest, k))
         return found.withColumn("rank", best).where(F.col("rank") <= k)
 
     def scanned(self, queries: DataFrame, probes: int | None = None) -> DataFrame:
