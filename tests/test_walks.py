@@ -80,3 +80,21 @@ def test_vectors_of_one_clique_are_near(spark, numbers):
     cos = lambda a, b: float(v[a] @ v[b] / np.linalg.norm(v[a]) / np.linalg.norm(v[b]))
     inner = np.mean([cos(f"{g}{i}", f"{g}{j}") for g in "xy" for i in range(1, 6) for j in range(1, i)])
     assert inner > np.mean([cos(f"x{i}", f"y{j}") for i in range(1, 6) for j in range(1, 6)]) + 0.2
+
+
+def test_sketch_tasks_follow_the_walks(spark, monkeypatch):
+    rows = [(f"w{i}", [f"n{(i * 7 + j * j) % 23}" for j in range(12)]) for i in range(120)] + [("same", [f"n{j * j % 23}" for j in range(12)])]
+    walked = spark.createDataFrame(rows, "walk_id string, nodes array<string>")
+    vectors = lambda: {r["name"]: np.array(r["vector"]) for r in walks.context_sketch(walked, 16, 3, 42).collect()}
+    want, tasks, write = vectors(), {}, walks.materialise
+
+    def noted(df, name):
+        tasks[name] = df.rdd.getNumPartitions()
+        return write(df, name)
+
+    monkeypatch.setattr(walks, "materialise", noted)
+    monkeypatch.setattr(walks, "TASK_WALKS", 10)
+    monkeypatch.setattr(walks, "HOT_ROWS", 12)  # nodes with more contexts are summed where they are
+    got = vectors()
+    assert tasks["walk-contexts"] == 13
+    assert want.keys() == got.keys() and all(np.allclose(want[k], got[k]) for k in want)
