@@ -49,3 +49,13 @@ def test_edges_beside_nodes_come_once_without_a_row_per_node(spark, monkeypatch,
     assert sorted(map(tuple, got.select(*edges.columns).collect())) == want
     if few:  # the edges stay where they are
         assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_edge_is_shuffled_to_be_found_twice(spark):
+    rows = [(0, s, "USES", o, 1, 1) for s, o in (("a", "b"), ("b", "a"), ("b", "c"), ("c", "c"), ("c", "d"), ("x", "b"))] + [(0, "a", "USES", "b", 2, 1), (1, "a", "USES", "b", 1, 1)]
+    edges = spark.createDataFrame(rows, "kg_id long, subject string, rel_type string, object string, source_doc_id long, confidence long")
+    got = graph.expand(edges, spark.createDataFrame([(0, "a"), (0, "c")], "kg_id long, seed string"), 2)
+    near = {"a": "ab", "c": "bcd"}
+    want = sorted((r[0], seed, *r[1:]) for seed, reached in near.items() for r in rows if r[0] == 0 and (r[1] in reached or r[3] in reached))
+    assert sorted(tuple(r) for r in got.collect()) == want
+    assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()

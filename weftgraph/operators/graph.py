@@ -129,13 +129,18 @@ def _ends(edges: DataFrame) -> DataFrame:
 
 
 def expand(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """(kg_id, seed, edge...) of all edges on undirected paths of at most `hops` edges from each seed.
+    """(kg_id, seed, edge...) of all edges (one row per key) on undirected paths of at most `hops` edges from each seed.
 
     Those are the edges with an endpoint at distance hops - 1 or less, so only
     hops - 1 frontier joins run and paths are never listed.
     """
     met = Adjacency(_ends(edges), 2 * edges.count(), KEY)
-    return met.meet(reach(edges, seeds, hops - 1)).drop("node").dropDuplicates(["kg_id", "seed", *KEY])
+    reached = reach(edges, seeds, hops - 1)
+    # an edge is met twice where both ends are reached: it stays at its subject, so no edge is shuffled to be told from its like
+    first = reached.join(edges.select("kg_id", F.col("subject").alias("node")).distinct(), ["kg_id", "node"], "left_semi")
+    first = materialise(first.select("kg_id", "seed", F.col("node").alias("subject"), F.lit(True).alias("twice")), "expand-subjects")
+    at = F.broadcast(first) if first.count() <= FEW else first
+    return met.meet(reached).join(at, ["kg_id", "seed", "subject"], "left").where("node = subject or twice is null").select("kg_id", "seed", *[c for c in edges.columns if c != "kg_id"])
 
 
 def beside(edges: DataFrame, nodes: DataFrame) -> DataFrame:
