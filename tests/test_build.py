@@ -5,7 +5,10 @@ from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
+from weftgraph.functions import providers
+from weftgraph.operators import build
 from weftgraph.plans import build_queries, views
+from weftgraph.session import scratch_path
 
 
 def test_build_equals_a_plain_build(spark):
@@ -43,3 +46,15 @@ def test_communities_use_all_edges_and_walks_their_defaults(spark):
     walked = build_queries.walks(t).collect()
     assert len(walked) == 4 * 10 and {len(r["nodes"]) for r in walked} == {40}
     assert {len(r["vector"]) for r in build_queries.graph_vectors(t).collect()} == {384}
+
+
+def test_a_new_store_costs_no_join_and_texts_without_verbs_no_pattern(spark, monkeypatch):
+    store = build.GraphStore(spark, scratch_path(spark, "new-store"))
+    docs = spark.range(5).select("id", F.lit(0).cast("long").alias("kg_id"), F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    left = build.without_known(docs, store.read("documents").where("processed"), ("kg_id", "doc_id"))
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "ExistingRDD" not in store.read("progress")._jdf.queryExecution().executedPlan().toString() and left.count() == 5
+    rules = providers.RuleLanguage()
+    assert rules.triples("Alpha uses beta, so uses\nuses it") == ["Alpha|概念|USES|uses|beta|概念"]
+    monkeypatch.setattr(providers.re, "findall", lambda *a: 1 / 0)
+    assert rules.triples("Nothing reuses this; he uses. It uses\n") == []

@@ -1,4 +1,5 @@
 import io
+import random
 import zipfile
 
 from pyspark.sql import functions as F
@@ -116,3 +117,22 @@ def test_embedding_hashes_every_trigram_once(monkeypatch):
     monkeypatch.setattr(providers, "ROWS", 1024)
     assert providers.HashEmbedding(16).encode_batch(["x" * 500] * 50).shape == (50, 16) and len(calls) == 1
     assert providers.HashEmbedding(16).encode_batch([]).shape == (0, 16)
+
+
+def test_strip_takes_every_white_space_from_both_ends_only(spark):
+    rng = random.Random(9)
+    signs = [" ", "\n", "\r", "\t", "　", " ", "\x85", "\xa0", "a", "。", "\U0001f600"]
+    texts = ["", " ", "\n", " \r\n", "a", "a\n", "a \n\n", *("".join(rng.choices(signs, k=rng.randrange(9))) for _ in range(300))]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    plain = F.regexp_replace("t", r"(?U)^\s+|\s+$", "")
+    assert df.where(~X.strip(F.col("t")).eqNullSafe(plain)).isEmpty()
+    assert [r[0] for r in df.select(F.size(X.sentences(F.col("t"))) == 0).collect()] == [r[0] for r in df.select(F.length(F.coalesce(plain, F.lit(""))) == 0).collect()]
+
+
+def test_a_line_is_parsed_once(spark):
+    """No condition of a filter may hold the parsing, which then ran once for each of them."""
+    df = spark.createDataFrame([(1, "a|uses|b\nc|d\n#x|y|z\ne｜概念｜USES｜uses｜f｜概念")], "k long, raw string")
+    rows = X.parse_lines(df, "raw", ("k",))
+    assert sorted((r["subject"], r["rel_type"], r["verb"], r["object"]) for r in rows.collect()) == [("a", "RELATED_TO", "uses", "b"), ("e", "USES", "uses", "f")]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "split(" in line]

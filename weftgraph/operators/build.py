@@ -15,7 +15,7 @@ from weftgraph.functions import constants as C
 from weftgraph.functions import text as X
 from weftgraph.functions.providers import Language, language
 from weftgraph.operators import store as M
-from weftgraph.operators.tablelog import TableLog
+from weftgraph.operators.tablelog import TableLog, empty
 from weftgraph.session import materialise, ship_package, temporary
 
 #: Rounds in which failed chunks are tried again, tries of one extraction, and relation types one run may add.
@@ -67,7 +67,7 @@ def extract_verified(chunks: DataFrame, keys: tuple[str, ...], known: tuple[str,
 
 def triples_of(extracted: DataFrame, keys: tuple[str, ...], rels: tuple[str, ...]) -> DataFrame:
     """Valid, grounded, normalised triples (keys, subject, rel_type, verb, object) of extracted rows (keys, raw, text)."""
-    rows = X.parse_lines(extracted, "raw", (*keys, "text"), rels).where(X.grounded(F.col("subject"), F.col("object"), F.col("text")))
+    rows = X.parse_lines(extracted.where("raw <> ''"), "raw", (*keys, "text"), rels).where(X.grounded(F.col("subject"), F.col("object"), F.col("text")))
     return rows.withColumns({"subject": X.normalise_name(F.col("subject")), "object": X.normalise_name(F.col("object"))}).where("subject <> '' and object <> ''").drop("text")
 
 
@@ -143,7 +143,7 @@ def build_graph(store: GraphStore, docs: DataFrame, provider: Callable[[], Langu
                     for table in ("edges", "types", "progress", "documents", "chunks"):
                         for kg in cleared:
                             change.clear(table, "kg_id", kg)
-                left, known = some, spark.createDataFrame([], PROGRESS)
+                left, known = some, empty(spark, store.schemas["progress"])
             else:
                 left, known = without_known(some, store.read("documents", state).where("processed"), ("kg_id", "doc_id")), store.read("progress", state).where("processed")
             left = left.select("doc_id", "kg_id", "text")
@@ -151,13 +151,16 @@ def build_graph(store: GraphStore, docs: DataFrame, provider: Callable[[], Langu
                 if change.cleared:
                     change.commit({"batch": batch})
                 continue
-            cut = X.chunks(left.select(F.struct("kg_id", "doc_id").alias("key"), "doc_id", "text"), "key", "text").select("key.kg_id", "key.doc_id", F.format_string("%s_%04d", F.col("key.doc_id"), F.col("idx")).alias("chunk_id"), "idx", "sentences", "text")
+            # dealt anew: a file may hold all texts in one piece, and so would be cut in one task
+            cut = X.chunks(left.repartition("kg_id", "doc_id").select(F.struct("kg_id", "doc_id").alias("key"), "doc_id", "text"), "key", "text").select("key.kg_id", "key.doc_id", F.format_string("%s_%04d", F.col("key.doc_id"), F.col("idx")).alias("chunk_id"), "idx", "sentences", "text")
             chunks = change.write("chunks", cut)
             keys = ("kg_id", "doc_id", "chunk_id", "idx", "text")
             todo = without_known(chunks, known, ("kg_id", "chunk_id")).select(*keys)
             done, attempts = None, []
             for attempt in range(1, rounds + 1):
-                got = materialise(extract_verified(todo, keys, rels, provider), "build-extracted")
+                # a text is read again where it has lines, or is tried again
+                got = extract_verified(todo, keys, rels, provider).withColumn("text", F.when(F.col("error").isNotNull() | (F.col("raw") != ""), F.col("text")))
+                got = materialise(got, "build-extracted")
                 attempts.append(got.select(*keys[:4], F.col("error").isNull().alias("processed"), F.lit(attempt).alias("attempt"), "error"))
                 good = got.where("error is null")
                 done = good if done is None else done.unionByName(good)
