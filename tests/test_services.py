@@ -1,5 +1,6 @@
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +110,24 @@ def test_chunk_choice(spark):
     assert got[1].split("\n\n---\n\n") == [parts[4], parts[2]] and got[2] == "short" and got[3] is None
 
 
+def test_chunks_of_long_documents_are_all_weighed(spark):
+    """The best chunk of 410 stands at an odd place, without hits or a neighbour with any; of another text the hits alone fill the budget."""
+    long = [f"part {i} " + "z" * 300 for i in range(410)]
+    full = [("needle " if i % 3 == 0 else "") + f"part {i} " + "z" * (200 + i % 90) for i in range(250)]
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("array<double>")
+    def embed(s: pd.Series) -> pd.Series:
+        seen.add(len(s))
+        return s.map(lambda x: [1.0, 0.0] if "part 301 " in x else [0.6, 0.8] if "part 7" in x else [0.0, 1.0])
+
+    doc = spark.createDataFrame([(1, "\n\n".join(long)), (2, "\n\n".join(full))], "d int, t string")
+    got = {r["d"]: r["snippet"] for r in retrieval.pick_chunks(doc, "d", "t", [("needle", [1.0, 0.0])], [], 700, embed).collect()}
+    assert got[1].split("\n\n---\n\n") == [long[301], long[7]]
+    assert got[2].split("\n\n---\n\n") == [full[72], full[75]]
+    assert seen.value == 410 + 84
+
+
 def test_limiter_in_batch_equals_fold(spark):
     rows = [(u, i, float((i * 37) % 100)) for u in (1, 2) for i in range(30)]
     df = spark.createDataFrame(rows, "user_id long, event_id long, s double").withColumn("ts", F.timestamp_seconds("s"))
