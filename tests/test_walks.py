@@ -2,6 +2,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftgraph.operators import walks
 
@@ -98,3 +99,45 @@ def test_sketch_tasks_follow_the_walks(spark, monkeypatch):
     got = vectors()
     assert tasks["walk-contexts"] == 13
     assert want.keys() == got.keys() and all(np.allclose(want[k], got[k]) for k in want)
+
+
+def test_sketch_writes_no_pairs_and_equals_its_definition(spark, monkeypatch):
+    """Numbers as nodes, some of them crowded; a row per pair of a node and its context is never written."""
+    rows = [(i, [i % 40] + [(i * 7 + j * j) % 41 if j % 2 else -1 - i % 3 for j in range(i % 11)]) for i in range(300)]
+    near, mass = Counter(), Counter()
+    for _, w in rows:
+        for i, node in enumerate(w):
+            for j in range(max(0, i - 3), min(len(w), i + 4)):
+                if j != i:
+                    near[node, w[j]] += 1
+                    mass[node] += 1
+    walked, written, write = spark.createDataFrame(rows, "walk_id long, nodes array<long>").repartition(5), {}, walks.materialise
+
+    def noted(df, name):
+        out = write(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(walks, "materialise", noted)
+    monkeypatch.setattr(walks, "TASK_WALKS", 50)
+    monkeypatch.setattr(walks, "HOT_ROWS", 400)
+    hashes = {r["context"]: r["h"] for r in spark.createDataFrame([(n,) for n in mass], "context long").select("context", F.xxhash64("context", F.lit(42)).alias("h")).collect()}
+    total, want = sum(mass.values()), {n: np.zeros(16) for n in mass}
+    for (node, context), n in near.items():
+        x = np.log(n * total / mass[node] / mass[context])
+        for s in range(walks.SPOTS if x > 0 else 0):
+            at, sign = walks.spots(np.array([hashes[context]]), s, 16)
+            want[node][int(at[0])] += sign[0] * x / walks.SPOTS**0.5
+    for masses in (1 << 20, 0):  # broadcast, or met by a shuffle
+        monkeypatch.setattr(walks, "MASSES", masses)
+        got = {r["name"]: np.array(r["vector"]) for r in walks.context_sketch(walked, 16, 3, 42).collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[n], want[n]) for n in want)
+    assert max(mass.values()) > 400 and max(written.values()) < 2 * len(mass) < len(near)
+
+
+def test_walks_on_numbers_follow_edges(spark):
+    near = {(2, 1), (2, 3), (4, 3), (4, -5)}
+    found = walks.walks(spark.createDataFrame(sorted(near), "a long, b int"), per_node=3, length=7, p=0.5, q=2.0)
+    assert found.schema["nodes"].dataType.elementType.typeName() == "long"
+    rows = [r["nodes"] for r in found.collect()]
+    assert len(rows) == 15 and all(len(w) == 7 and all((x, y) in near or (y, x) in near for x, y in zip(w, w[1:], strict=False)) for w in rows)
